@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,22 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyhelix_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="tallyhelix-")) / "tallyhelix_modules.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(at))
+    sc._tallyhelix_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

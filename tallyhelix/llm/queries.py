@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, urlfilter
+from . import bpe, mixing, sharding, tokenfile, urlfilter
 
 QUERIES = {
     "op4_urls": urlfilter.op4_urls,
+    "op6_tokens": tokenfile.op6_tokens,
     "op7_mix": mixing.op7_mix,
     "op8_shard": sharding.op8_shard,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 SQL = {
