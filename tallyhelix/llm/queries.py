@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding, tokenfile, urlfilter
+from . import bpe, media, mixing, sharding, tokenfile, toxicity, urlfilter
 
 QUERIES = {
+    "op2_jpeg": media.op2_jpeg,
     "op4_urls": urlfilter.op4_urls,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_tokens": tokenfile.op6_tokens,
     "op7_mix": mixing.op7_mix,
     "op8_shard": sharding.op8_shard,
