@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, sharding, tokenfile, toxicity, urlfilter
+from . import ann, bpe, media, mixing, sharding, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op2_jpeg": media.op2_jpeg,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_mix": mixing.op7_mix,
     "op8_shard": sharding.op8_shard,
     "op9_bpe": bpe.op9_bpe,
+    "op10_ann": ann.op10_ann,
 }
 
 SQL = {
