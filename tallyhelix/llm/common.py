@@ -111,41 +111,44 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return comps.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
 
 
-def linked(scratch: Scratch, postings: DataFrame, verify, rounds: int = 2) -> DataFrame:
+def linked(scratch: Scratch, postings: DataFrame, verify, fits: str = "true", rounds: int = 2) -> DataFrame:
     """Components (id, comp) of the graph of verified links among ids that share a key.
 
-    postings(key, id): two ids are candidates when they share a key. ``verify(pairs)`` takes
+    postings(key, id, ...): two ids are candidates when they share a key and ``fits`` holds, a
+    symmetric SQL condition on the other columns as ``x.name`` and ``y.name``. ``verify(pairs)`` takes
     (a, b), a < b, and returns those that link. Pairs within one component already found are not
     tested any more, as they cannot change a component: first every id is tested against one
     leader of each of its keys (linear in the postings), and only ids of one key that are then
     still in different components meet each other. No link between components is lost.
     """
     spark = scratch.spark
-    many = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    p = scratch.table(postings.join(many, "key").select("key", "id"), "postings")
-    none = spark.createDataFrame([], "a long, b long")
-    links, tested, comps = none, none, spark.createDataFrame([], "id long, comp long")
+    many = postings.groupBy("key").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 <> i1").select("key")
+    p = scratch.table(postings.join(many, "key").distinct(), "postings")
+    more = [c for c in p.columns if c not in ("key", "id")]
+    side = lambda df, extra: df.select("key", F.struct("id", *more, *extra).alias("x"))
+    tested, links = None, None
+    comps = spark.createDataFrame([], "id long, comp long")
     for r in range(rounds + 1):
-        here = p.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        order = F.struct(F.col("id") if r == 0 else F.xxhash64("id", F.lit(r)), F.col("id"), F.col("comp"))
-        lead = here.groupBy("key").agg(F.min(order).alias("l"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        lead = lead.where("c0 <> c1").select("key", F.col("l.id").alias("lid"), F.col("l.comp").alias("lcomp"))
+        here = p.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        x = side(here, ["comp"])
+        rank = F.col("x.id") if r == 0 else F.xxhash64("x.id", F.lit(r))
+        lead = x.groupBy("key").agg(F.min(F.struct(rank.alias("o"), "x")).alias("l"), F.min("x.comp").alias("c0"), F.max("x.comp").alias("c1")).where("c0 <> c1")
         if r < rounds:
-            pairs = here.join(lead, "key").where("comp <> lcomp").select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b"))
+            y = lead.select("key", F.col("l.x").alias("y"))
         else:
-            here = scratch.table(here.join(lead, "key", "left_semi"), "mixed")
-            x, y = here.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), here.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b")
-        pairs = pairs.distinct()
-        if r:
+            x = scratch.table(x.join(lead, "key", "left_semi"), "mixed")
+            y = x.select("key", F.col("x").alias("y"))
+        pairs = x.join(y, "key").where(f"x.comp <> y.comp and ({fits})")
+        if r == rounds:
+            pairs = pairs.where("x.id < y.id")
+        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, "pairs")
         found = scratch.table(verify(pairs), "links")
-        tested = pairs if r == 0 else tested.unionByName(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if found.isEmpty():
             continue
-        links = links.unionByName(found)
-        old = comps
+        links = found if links is None else links.unionByName(found)
         comps = scratch.table(components(scratch, links), "comps")
-        scratch.drop(old)
     return comps

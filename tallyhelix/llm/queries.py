@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, media, mixing, sharding, tokenfile, toxicity, urlfilter
+from . import ann, bpe, media, mixing, ngram, sharding, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op2_jpeg": media.op2_jpeg,
+    "op3_jaccard": ngram.op3_jaccard,
     "op4_urls": urlfilter.op4_urls,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_tokens": tokenfile.op6_tokens,
