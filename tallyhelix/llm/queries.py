@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, media, mixing, ngram, sharding, tokenfile, toxicity, urlfilter
+from . import ann, bpe, linededup, media, mixing, ngram, sharding, tokenfile, toxicity, urlfilter
 
 QUERIES = {
+    "op1_lines": linededup.op1_lines,
     "op2_jpeg": media.op2_jpeg,
     "op3_jaccard": ngram.op3_jaccard,
     "op4_urls": urlfilter.op4_urls,
