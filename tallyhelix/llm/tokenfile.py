@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import uuid
 import zlib
+from array import array
 from urllib.parse import urlparse
 
 import numpy as np
@@ -45,16 +46,21 @@ class Encoder:
     """The tokenizers library with a cache of words, as its merges never cross words."""
 
     def __init__(self, path: str):
+        from tokenizers import pre_tokenizers
+
         self.splitter = Splitter(path)
         self.known: dict[str, bytes] = {}
+        # words are split already: only their bytes are to be mapped before the merges
+        self.of_words = type(self.splitter.tokenizer).from_str(self.splitter.tokenizer.to_str())
+        self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = list(words)
-        for w, e in zip(new, self.splitter.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, e in zip(new, self.of_words.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list) -> list[bytes]:
         out = []
@@ -77,13 +83,22 @@ def encoder(path: str) -> Encoder:
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit values."""
-    v = values.astype("<u4")
-    n = 1 + (v > 0xFF).astype(np.int64) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    v = values.astype(np.uint32, copy=False)
+    n = np.ones(len(v), np.uint8)
+    for top in (0xFF, 0xFFFF, 0xFFFFFF):
+        if len(v) and v.max() > top:
+            n += v > top
     codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     codes[: len(v)] = n - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8)
-    used = np.arange(4) < n[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    at = np.cumsum(n, dtype=np.int64)
+    data = np.zeros(int(at[-1]) if len(v) else 0, np.uint8)
+    at -= n
+    data[at] = v & 0xFF
+    for k in range(1, int(n.max()) if len(v) else 1):
+        more = np.flatnonzero(n > k)
+        data[at[more] + k] = v[more] >> np.uint32(8 * k) & np.uint32(0xFF)
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
