@@ -273,7 +273,7 @@ def encode(df: DataFrame, path: str = TOKENIZER, text: str = "text") -> DataFram
                 part = b.slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], pa.array([len(x) // 4 for x, _ in got], pa.int64()), pa.array([x for x, _ in got], pa.large_binary()).cast(pa.binary()), pa.array([y.decode("utf-8", "surrogatepass") for _, y in got], pa.string())], names=[*[f.name for f in keep], "n_tokens", "token_ids", "decoded"])
 
-    schema = type(df.schema)(keep).add("n_tokens", "long").add("token_ids", "binary").add("decoded", "string")
+    schema = type(df.schema)([*keep]).add("n_tokens", "long").add("token_ids", "binary").add("decoded", "string")
     return df.select(*[f.name for f in keep], text).mapInArrow(run, schema)
 
 

@@ -379,7 +379,7 @@ def to_jpeg(df: DataFrame, text: str = "text") -> DataFrame:
                 part = b.slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], pa.array(media, pa.binary())], names=[*[f.name for f in keep], "media"])
 
-    return df.select(*[f.name for f in keep], text).mapInArrow(run, type(df.schema)(keep).add("media", "binary"))
+    return df.select(*[f.name for f in keep], text).mapInArrow(run, type(df.schema)([*keep]).add("media", "binary"))
 
 
 COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumbnail_sha256 string, thumbnail_hash string, error string"
