@@ -168,6 +168,21 @@ def clusters(cells: DataFrame, kind: str, min_size: int) -> DataFrame:
     return grouped(cells, build, "cluster_id string, fit_with string, valid boolean, s int", kind)
 
 
+def dendrogram(cells: DataFrame, kind: str, min_size: int) -> DataFrame:
+    """(node, c1, c2, size, cluster_id): the cluster that holds all samples of a node, ``V`` where there are several."""
+
+    def build(ids, g, exons):
+        tree, n = linkage(components_of(g, exons)[0]), len(ids)
+        of = {i: f"{kind}_{j + 1:02d}" for j, (own, _) in enumerate(clusters_of(tree, n, min_size)) for i in own}
+        rows = []
+        for i, (a, b, _, size) in enumerate(tree):
+            of[n + i] = of[a] if of[a] == of[b] else "V"
+            rows.append((n + i, a, b, size, of[n + i]))
+        return rows
+
+    return grouped(cells, build, "node int, c1 int, c2 int, size int, cluster_id string", kind)
+
+
 def gender(cells: DataFrame, accepted: DataFrame, membership: DataFrame, compat: bool = False) -> DataFrame:
     """(cluster_id, med_x, med_y, gender): F where the median sum on Y or W is at most the middle of the first large gap.
 

@@ -44,14 +44,14 @@ def density(cells: DataFrame, points: int, upper: float = 0.96) -> DataFrame:
     The bandwidth is Silverman's. Values enter as a histogram of ten bins per grid step, so the
     kernel sum is over bins, not over values.
     """
-    per = cells.groupBy("s").agg(F.percentile("fpm", upper).alias("top"), F.stddev_pop("fpm").alias("sd"), F.count("*").alias("n"))
-    per = per.where("top > 0 and sd > 0").withColumn("h", 0.9 * F.col("sd") * F.pow("n", F.lit(-0.2))).withColumn("step", F.col("top") / (points - 1))
+    per = cells.groupBy("s").agg(F.percentile("fpm", upper).alias("top"), F.stddev_pop("fpm").alias("sd"), F.count("*").alias("total"))
+    per = per.where("top > 0 and sd > 0").withColumn("h", 0.9 * F.col("sd") * F.pow("total", F.lit(-0.2))).withColumn("step", F.col("top") / (points - 1))
     fine = F.floor(F.col("fpm") / (F.col("step") / 10))
-    bins = cells.join(per, "s").groupBy("s", "top", "h", "step", "n", fine.alias("b")).agg(F.count("*").alias("k"))
+    bins = cells.join(per, "s").groupBy("s", "top", "h", "step", "total", fine.alias("b")).agg(F.count("*").alias("k"))
     grid = bins.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     x, v = F.col("i") * F.col("step"), (F.col("b") + 0.5) * F.col("step") / 10
     kernel = lambda d: F.exp(-0.5 * d * d)
-    y = F.sum(F.col("k") * (kernel((x - v) / F.col("h")) + kernel((x + v) / F.col("h")))) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))
+    y = F.sum(F.col("k") * (kernel((x - v) / F.col("h")) + kernel((x + v) / F.col("h")))) / (F.first("total") * F.first("h") * math.sqrt(2 * math.pi))
     return grid.groupBy("s", "i").agg(F.first(x).alias("x"), y.alias("y"))
 
 
@@ -85,22 +85,3 @@ def fitted_distributions(cells: DataFrame, bins: int = 100) -> DataFrame:
     per = grid.select(F.explode(rows).alias("r")).select("r.*")
     return per.groupBy("name").agg(F.round(F.first("a"), 3).alias("a"), F.round(F.first("b"), 3).alias("b"), F.sum("e").alias("sse")).orderBy("sse", "name").withColumn("sse", F.round(F.col("sse") * 1e9, 6))
 
-
-def dendrogram(tree: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(node, c1, c2, size, cluster_id): the cluster that holds all samples of a node; ``V`` where there are several.
-
-    Membership is pushed up the tree one level a round until no node lacks it.
-    """
-    ids = clusters.agg(F.count("*").alias("n"))
-    rank = F.dense_rank().over(Window.orderBy("s")) - 1
-    leaves = clusters.select(rank.alias("node"), F.col("cluster_id").alias("c"))
-    known, todo = leaves, tree.select("node", "c1", "c2").persist()
-    for _ in range(64):
-        a = known.select(F.col("node").alias("c1"), F.col("c").alias("ca"))
-        b = known.select(F.col("node").alias("c2"), F.col("c").alias("cb"))
-        new = todo.join(a, "c1").join(b, "c2").select("node", F.when(F.col("ca") == F.col("cb"), F.col("ca")).otherwise("V").alias("c"))
-        new = new.join(known, "node", "left_anti").collect()  # nodes of a tree of samples
-        if not new:
-            break
-        known = known.unionByName(known.sparkSession.createDataFrame([tuple(r) for r in new], known.schema))
-    return tree.join(known, "node").select("node", "c1", "c2", "size", F.col("c").alias("cluster_id"))

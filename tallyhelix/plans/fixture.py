@@ -58,12 +58,11 @@ TABLES = {
       from lineitem where l_orderkey % 20 = 0) e""",
     "clusters": " union all ".join(f"select '{c}' cluster_id, '{f}' fit_with, '{g}' gender, {v} valid" for c, f, g, v, _ in CLUSTERS),
     "members": " union all ".join(f"select '{c}' cluster_id, s from samples where s % 4 in ({', '.join(map(str, m))})" for c, _, _, _, m in CLUSTERS),
-    "calls": """select cast(l_orderkey % 24 as int) s, cast(case l_linenumber % 3 when 0 then 0 when 1 then 1 else 3 end as int) cn,
-      cast(min(least(l_partkey % 40, l_suppkey % 40)) as bigint) first_w, cast(min(least(l_partkey % 40, l_suppkey % 40)) + min(l_linenumber % 2) as bigint) last_w,
-      cast(min(round(l_extendedprice / 500, 3)) as double) qs
-      from lineitem where l_partkey % 40 % 20 < 18 and l_suppkey % 40 % 20 < 18 group by 1, 2""",
-    "bps": """select s, 'chr1' chrom, cast(case when k % 2 = 0 then 0 else 150 end + k * 100 as bigint) bp_start, cast(k * 1000 + 900 as bigint) bp_end, case when k % 2 = 0 then 'DEL' else 'DUP' end cnvtype, cast(1 + (s + k) % 4 as bigint) n_qnames
-      from samples cross join (select w k from numbers where w < 20) n""",
+    "calls": """select s, cn, cast((s * 7 + cn * 11) % 17 + 20 * ((s + cn) % 2) as bigint) first_w, cast((s * 7 + cn * 11) % 17 + 20 * ((s + cn) % 2) + (s + cn) % 3 as bigint) last_w, qs from (
+      select cast(l_orderkey % 24 as int) s, cast(case l_linenumber % 3 when 0 then 0 when 1 then 1 else 3 end as int) cn, cast(min(round(l_extendedprice / 500, 3)) as double) + 0.0001 qs
+      from lineitem group by 1, 2) c""",
+    "bps": """select s, 'chr1' chrom, cast(k * 1000 - 300 as bigint) bp_start, cast((k + (s + k) % 3) * 1000 + 500 as bigint) bp_end, case when (s + k) % 2 = 0 then 'DEL' else 'DUP' end cnvtype, cast(1 + (s + k) % 4 as bigint) n_qnames
+      from samples cross join (select w k from numbers where w > 0 and w < 20) n""",
     "metadata": """select concat('S', cast(c_custkey as string)) sample_id, case when c_nationkey % 3 = 0 then 'F' when c_nationkey % 3 = 1 then 'M' else '' end sex,
       case when c_custkey % 11 = 0 then 'Sex_Swap' when c_custkey % 13 = 0 then '0' else 'OK' end qc, r_name center, n_name capture, c_mktsegment batch_date
       from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
@@ -109,7 +108,7 @@ class Fixture:
     def fpm(self) -> DataFrame:
         from tallyhelix.operators.models import fpm
 
-        return fpm(self.cells)
+        return fpm(self.cells).persist()
 
     @cached_property
     def autosomes(self) -> DataFrame:
@@ -119,13 +118,13 @@ class Fixture:
     def models(self) -> DataFrame:
         from tallyhelix.operators.models import cn0, ecodes, fitted
 
-        return ecodes(fitted(self.autosomes), cn0(self.fpm))
+        return ecodes(fitted(self.autosomes), cn0(self.fpm)).persist()  # a row per window
 
     @cached_property
     def lik(self) -> DataFrame:
         from tallyhelix.operators.models import likelihoods
 
-        return likelihoods(self.autosomes, self.models)
+        return likelihoods(self.autosomes, self.models).persist()
 
     @cached_property
     def priors(self) -> list[float]:

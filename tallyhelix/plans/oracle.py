@@ -51,8 +51,8 @@ DERIVED = {
     "chrom_rank": """select chrom, dense_rank() over (order by kind, num, bare, chrom)::int rank from (
       select chrom, bare, case when regexp_matches(bare, '^[0-9]+$') then 0 when bare = 'X' then 1 when bare = 'Y' then 2 when bare = 'M' then 3 when bare = 'MT' then 4 else 5 end kind, try_cast(bare as bigint) num
       from (select distinct chrom, regexp_replace(chrom, '^chr', '') bare from exons))""",
-    "placed": """select *, pos + coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), x -> x::bigint)), 0)::bigint - 1 end_pos,
-      1 + coalesce(list_sum(list_transform(regexp_extract_all(regexp_extract(cigar, '^(([0-9]+[HS])*)', 1), '([0-9]+)[HS]', 1), x -> x::bigint)), 0)::bigint on_read from alignments""",
+    "placed": """select *, pos + coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: x::bigint)), 0)::bigint - 1 end_pos,
+      1 + coalesce(list_sum(list_transform(regexp_extract_all(regexp_extract(cigar, '^(([0-9]+[HS])*)', 1), '([0-9]+)[HS]', 1), lambda x: x::bigint)), 0)::bigint on_read from alignments""",
     "usable": "select * from placed where mapq >= 20 and (flag & 1) = 1 and (flag & 1804) = 0",
     "known": "select * from usable where chrom in (select chrom from windows)",
     "qn": """select sample, qname, min(chrom) chrom, count(distinct chrom) chroms, count(distinct ((flag & 80) = 64 or (flag & 144) = 144)) orients,

@@ -85,7 +85,7 @@ def _geno(x):
 
 
 def _vcf_lines(x):
-    wide = ca.variant_rows(_geno(x), x.names)
+    wide = ca.variant_rows(_geno(x).persist(), x.names)
     return wide.select(F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in wide.columns]).alias("value"))
 
 
@@ -169,7 +169,7 @@ MERGE_SQL = """select k.chrom, k.pos, k.end_pos, k.alt, k.ckey, samples.s, coale
 
 
 def _merged(x):
-    g = _geno(x).select("chrom", "pos", "end_pos", "alt", "s", F.concat_ws(":", "gt", F.col("gq").cast("string"), F.format_string("%.2f", "fr"), "bpr", "bp").alias("text"))
+    g = _geno(x).select("chrom", "pos", "end_pos", "alt", "s", F.concat_ws(":", "gt", F.col("gq").cast("string"), F.format_string("%.2f", "fr"), "bpr", "bp").alias("text")).persist()
     parts = [g.where(F.col("s") % 4 == i) for i in range(4)]
     return ca.merged_sites(parts, x.samples)
 
@@ -188,7 +188,7 @@ def snk_log(x):
 @query()
 def snk_dendro(x):
     """Nodes of the tree with the cluster all their samples share, or a mark for virtual nodes."""
-    return qc.dendrogram(cl.tree_of(x.autosomes), cl.clusters(x.autosomes, "A", MIN_SAMPLES))
+    return cl.dendrogram(x.autosomes, "A", MIN_SAMPLES)
 
 
 @query("""select widx, bin, n from (select widx, least(floor((fpm - lo) / ((hi - lo) / 20.0))::bigint, 19) + 1 bin, count(*) n from autos join (select widx, min(fpm) lo, max(fpm) hi from autos group by widx) using (widx)
@@ -249,7 +249,7 @@ def _text_of(c: str):
     return F.array_join(F.transform(c, lambda a: F.format_string("%d-%d", a["s"], a["e"])), ";").alias(c)
 
 
-@query("select sample, qname, list_aggregate(list_transform(f, a -> concat(a.s, '-', a.e)), 'string_agg', ';') f, list_aggregate(list_transform(r, a -> concat(a.s, '-', a.e)), 'string_agg', ';') r from ordered")
+@query("select sample, qname, list_aggregate(list_transform(f, lambda a: concat(a.s, '-', a.e)), 'string_agg', ';') f, list_aggregate(list_transform(r, lambda a: concat(a.s, '-', a.e)), 'string_agg', ';') r from ordered")
 def prj_readord(x):
     return _fit(x).select("sample", "qname", _text_of("f"), _text_of("r"))
 
@@ -260,7 +260,7 @@ def prj_merge2(x):
     return q.select("sample", "qname", F.size("f").alias("nf"), F.col("f")[0]["s"].alias("fs"), F.col("f")[0]["e"].alias("fe"), F.size("r").alias("nr"), F.col("r")[0]["s"].alias("rs"), F.col("r")[0]["e"].alias("re"))
 
 
-@query("select sample, qname, chrom, list_aggregate(list_transform(frags, a -> concat(a.s, '-', a.e)), 'string_agg', ';') frags, bs bp_start, be bp_end, kind from frags")
+@query("select sample, qname, chrom, list_aggregate(list_transform(frags, lambda a: concat(a.s, '-', a.e)), 'string_agg', ';') frags, bs bp_start, be bp_end, kind from frags")
 def prj_frag(x):
     f = x.frags.select("sample", "qname", "chrom", F.col("frag.frags").alias("frags"), F.col("frag.bp.s").alias("bp_start"), F.col("frag.bp.e").alias("bp_end"), F.col("frag.bp.kind").alias("kind"))
     return f.withColumn("frags", _text_of("frags"))
@@ -602,7 +602,7 @@ def win_localminmax(x):
 
 @query("select chrom, st, en, id, row_number() over (order by rank, st, en, id) - 1 widx from exons join chrom_rank using (chrom)")
 def srt_genome(x):
-    return wi.genome_sorted(x.exons)
+    return wi.genome_sorted(x.exons).drop("rank")
 
 
 @query("select first_w, last_w, cn, s, row_number() over (order by first_w, last_w, cn, s) place from calls")
@@ -827,10 +827,6 @@ def ml_l2c(x):
     return cl.clusters(x.autosomes, "A", MIN_SAMPLES).unionByName(cl.clusters(x.fpm.where("wtype = 1"), "G", MIN_SAMPLES))
 
 
-VALID_SQL = """select cluster_id, n, ok, coalesce((select string_agg(f, ',' order by f) from (select unnest(string_split(v.fit_with, ',')) f) e where f in (select cluster_id from sized where n >= 10)), '') fit_with from (
-  select cluster_id, fit_with, n, n + coalesce((select sum(n) from sized z where list_contains(string_split(a.fit_with, ','), z.cluster_id) and z.n >= 10), 0) >= 10 ok from sized a) v"""
-
-
 @query()
 def ml_valid(x):
     return reuse.valid_clusters(x.clusters, x.members, MIN_SAMPLES)
