@@ -1,8 +1,9 @@
-"""Shipping this package's modules to Python workers."""
+"""Shipping this package's modules to Python workers, and folders that all of them see."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,12 +24,17 @@ def ship(spark: SparkSession) -> None:
     sc._tallyhelix_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only where that is unset, a temporary one for this application."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        sc = spark.sparkContext
+        if not hasattr(sc, "_tallyhelix_shared"):
+            sc._tallyhelix_shared = "file://" + tempfile.mkdtemp(prefix="tallyhelix-")
+        found = sc._tallyhelix_shared
+    return found.rstrip("/")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="tallyhelix-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
