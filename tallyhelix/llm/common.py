@@ -6,34 +6,19 @@ shared folder of a cluster), so lineage is cut by data that survives a lost exec
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhelix.session import scratch_dir, ship
+
 #: Space and the control characters 9 to 13 end a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the Python workers, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tallyhelix_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="tallyhelix-")) / "tallyhelix_modules.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(at))
-    sc._tallyhelix_shipped = True
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -43,13 +28,8 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallyhelix-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Rows of a narrow table that one task handles easily.
+ROWS = 200_000
 
 
 class Scratch:
@@ -57,15 +37,18 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = scratch_dir(spark, name)
         self.made = 0
 
     def path(self, name: str) -> str:
         self.made += 1
         return f"{self.root}/{self.made:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def table(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+        """Writes df and reads it back; with few ``rows`` expected, as few files."""
         at = self.path(name)
+        if rows is not None:
+            df = df.coalesce(max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS)))
         df.write.option("compression", "zstd").parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out.scratch_path = at
@@ -79,6 +62,11 @@ class Scratch:
                 p = jvm.org.apache.hadoop.fs.Path(at)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def free(self) -> None:
+        """Lets Spark clear shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def _signature(edges: DataFrame) -> tuple:
     """Count and order-free checksum of an edge table."""
@@ -92,16 +80,16 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each step is a min per node and a join back, so
     a hub costs no more than its edges. Ends when a round changes no edge.
     """
-    e = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", edges.count())
     before = _signature(e)
     while before[0]:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.table(large, "large")
+        large = scratch.table(large, "large", 2 * before[0])
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        nxt = scratch.table(small.where("a <> b").distinct(), "small")
+        nxt = scratch.table(small.where("a <> b").distinct(), "small", 2 * before[0])
         scratch.drop(e, large)
         e, after = nxt, _signature(nxt)
         if after == before:
@@ -111,10 +99,18 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return comps.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
 
 
+def shared_keys(scratch: Scratch, postings: DataFrame) -> DataFrame:
+    """The distinct postings whose key has more than one id, written."""
+    many = postings.groupBy("key").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 <> i1").select("key")
+    out = scratch.table(postings.join(many, "key").distinct(), "shared")
+    scratch.free()
+    return out
+
+
 def linked(scratch: Scratch, postings: DataFrame, verify, fits: str = "true", rounds: int = 2) -> DataFrame:
     """Components (id, comp) of the graph of verified links among ids that share a key.
 
-    postings(key, id, ...): two ids are candidates when they share a key and ``fits`` holds, a
+    postings(key, id, ...), as ``shared_keys`` gives them: two ids are candidates when they share a key and ``fits`` holds, a
     symmetric SQL condition on the other columns as ``x.name`` and ``y.name``. ``verify(pairs)`` takes
     (a, b), a < b, and returns those that link. Pairs within one component already found are not
     tested any more, as they cannot change a component: first every id is tested against one
@@ -122,8 +118,7 @@ def linked(scratch: Scratch, postings: DataFrame, verify, fits: str = "true", ro
     still in different components meet each other. No link between components is lost.
     """
     spark = scratch.spark
-    many = postings.groupBy("key").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 <> i1").select("key")
-    p = scratch.table(postings.join(many, "key").distinct(), "postings")
+    p = postings
     more = [c for c in p.columns if c not in ("key", "id")]
     side = lambda df, extra: df.select("key", F.struct("id", *more, *extra).alias("x"))
     tested, links = None, None
@@ -145,10 +140,13 @@ def linked(scratch: Scratch, postings: DataFrame, verify, fits: str = "true", ro
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
         found = scratch.table(verify(pairs), "links")
+        scratch.free()
         tested = pairs if tested is None else tested.unionByName(pairs)
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
-        comps = scratch.table(components(scratch, links), "comps")
+        comps = scratch.table(components(scratch, links), "comps", 2 * links.count())
     return comps

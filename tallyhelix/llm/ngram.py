@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, linked, read
+from .common import Scratch, linked, read, shared_keys
 from .hashing import U, mix, space_bytes, words
 from .words import chunks
 
@@ -29,8 +29,11 @@ N = 5
 #: Two documents link when PART * intersection >= LEAST * union.
 LEAST, PART = 75, 100
 FRAGMENTS, FIRST = 8, 2
-#: Cells of the sketch that orders shingles: a fixed 4 MB, sent in blocks.
-CELLS, BLOCK = 1 << 20, 1 << 14
+#: Cells of the sketch that orders shingles, sent in blocks: a fixed 4 MB, whatever the corpus.
+CELLS, BLOCK = 1 << 22, 1 << 16
+CELL_BITS = 42
+#: Bits of the filter that spares texts that no candidate needs: a fixed 1 MB.
+FILTER_BITS = 1 << 23
 
 
 def shingles(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -70,19 +73,21 @@ def _per_text(texts: list):
 
 
 def sets(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_shingles, sig of every document; and the sketch of the whole corpus."""
+    """doc_id, n_shingles, sig of every document; and how full the cells are over the whole corpus."""
 
     def run(batches):
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.int32)
         for b in batches:
             texts = b.column("text").to_pylist()
             for a, z in chunks(texts):
                 s, _, n, sig = _per_text(texts[a:z])
-                cells += np.bincount((s >> U(44)).astype(np.int64), minlength=CELLS)
+                at, k = np.unique((s >> U(CELL_BITS)).astype(np.int64), return_counts=True)
+                cells[at] += k.astype(np.int32)
                 none = pa.nulls(z - a, pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), pa.array(n, pa.int64()), pa.array(sig), pa.nulls(z - a, pa.int32()), none], names=names)
         if cells.any():
-            blocks = [cells[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, CELLS, BLOCK)]
+            low = np.minimum(cells, 255).astype(np.uint8)  # a cell that full goes last anyway
+            blocks = [low[i : i + BLOCK].tobytes() for i in range(0, CELLS, BLOCK)]
             k = len(blocks)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())], names=names)
 
@@ -93,7 +98,7 @@ def sets(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
         sums: dict = {}
         for b in batches:
             for k, c in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                got = np.frombuffer(c, "<i8")
+                got = np.frombuffer(c, np.uint8).astype("<i8")
                 sums[k] = sums[k] + got if k in sums else got
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "counts"])
 
@@ -101,7 +106,8 @@ def sets(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros(CELLS, np.int64)
     for r in per.toArrow().to_pylist():  # CELLS numbers
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(r["counts"], "<i8")
-    return t.where("block is null").select("doc_id", "n_shingles", "sig"), np.minimum(sketch, (1 << 31) - 1).astype(np.int32)
+    level = np.floor(4 * np.log2(1 + sketch)).astype(np.uint8)
+    return t.where("block is null").select("doc_id", "n_shingles", "sig"), level
 
 
 def prefix_postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -113,8 +119,8 @@ def prefix_postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             for a, z in chunks(texts):
-                s, doc, n, sig = _per_text(texts[a:z])
-                order = np.lexsort((s, level[(s >> U(44)).astype(np.int64)], doc))
+                s, doc, n, sig = _per_text(list(dict.fromkeys(texts[a:z])))
+                order = np.lexsort((s, level[(s >> U(CELL_BITS)).astype(np.int64)], doc))
                 s = s[order]
                 pos = np.arange(len(s)) - (np.cumsum(n) - n)[doc]
                 keep = pos < (n + (-LEAST * n) // PART + 1)[doc]
@@ -125,56 +131,96 @@ def prefix_postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 
 
 #: Sizes allow the threshold, and so do the places of the shared shingle.
-FITS = f"{PART} * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n) and {PART + LEAST} * (1 + least(x.n - x.pos, y.n - y.pos) - 1) >= {LEAST} * (x.n + y.n)"
+FITS = f"{PART} * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n) and {PART + LEAST} * least(x.n - x.pos, y.n - y.pos) >= {LEAST} * (x.n + y.n)"
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U)) >> U(41)).astype(np.int64)
+
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits over the hashes of (doc_id); never misses one of them."""
 
-def segments(docs: DataFrame) -> DataFrame:
-    """(id, n, frag, part): the set of each text cut by hash order into fragments."""
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            bits[_bit(np.asarray(b.column("doc_id")))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    def join(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            for x in b.column("bits").to_pylist():
+                bits |= np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    marked = ids.select("doc_id").where("doc_id is not null").mapInArrow(mark, "bits binary").repartition(16).mapInArrow(join, "bits binary")
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in marked.toArrow().to_pylist():  # sixteen bitmaps
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def segments(docs: DataFrame, wanted: np.ndarray, low: int, high: int) -> DataFrame:
+    """(id, n, frag, part): sets cut by hash order into fragments, fragments low..high-1, of documents that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))  # 1 MB
+    frags = np.arange(low, high)
 
     def run(batches):
+        bits = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for a, z in chunks(texts, 1 << 19):
+            ids = b.column("doc_id")
+            pass_ = np.asarray(ids.is_null()) | bits[_bit(np.asarray(ids.fill_null(0)))]
+            some = pa.array(np.flatnonzero(pass_))
+            texts = list(dict.fromkeys(b.column("text").take(some).to_pylist()))
+            for a, z in chunks(texts, 1 << 20):
                 s, doc, n, sig = _per_text(texts[a:z])
-                cell = doc * FRAGMENTS + (s >> U(61)).astype(np.int64)
-                count = np.bincount(cell, minlength=(z - a) * FRAGMENTS)
+                frag = (s >> U(61)).astype(np.int64)
+                use = (frag >= low) & (frag < high)
+                s, cell = s[use], (doc * len(frags) + frag - low)[use]
+                count = np.bincount(cell, minlength=(z - a) * len(frags))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(_signed(s)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, FRAGMENTS)), pa.array(np.repeat(n, FRAGMENTS), pa.int32()), pa.array(np.tile(np.arange(FRAGMENTS), z - a), pa.int32()), lists], names=["id", "n", "frag", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, len(frags))), pa.array(np.repeat(n, len(frags)), pa.int32()), pa.array(np.tile(frags, z - a), pa.int32()), lists], names=["id", "n", "frag", "part"])
 
-    return docs.select("text").mapInArrow(run, "id long, n int, frag int, part array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, n int, frag int, part array<long>")
 
 
 def overlaps(pairs: DataFrame, segs: DataFrame, low: int, high: int) -> DataFrame:
-    """(a, b, got, na, nb, rest): shingles shared in fragments low..high-1, and the most that the later ones can add."""
-    cut = segs.where(f"frag >= {low} and frag < {high}")
+    """(a, b, got, na, nb, rest): shingles shared in fragments low..high-1, and the most that the others can add."""
     p = pairs.select("a", "b", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("frag"))
-    left = cut.select(F.col("id").alias("a"), "frag", F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = cut.select(F.col("id").alias("b"), "frag", F.col("n").alias("nb"), F.col("part").alias("pb"))
+    left = segs.select(F.col("id").alias("a"), "frag", F.col("n").alias("na"), F.col("part").alias("pa"))
+    right = segs.select(F.col("id").alias("b"), "frag", F.col("n").alias("nb"), F.col("part").alias("pb"))
     both = p.join(left, ["a", "frag"]).join(right, ["b", "frag"])
-    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("k"), F.size("pa").alias("sa"), F.size("pb").alias("sb"))
+    both = both.select("a", "b", "frag", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("k"), F.size("pa").alias("sa"), F.size("pb").alias("sb"))
+    # a set may have come from several copies of its text: each fragment counts once
+    both = both.groupBy("a", "b", "frag").agg(*[F.max(c).alias(c) for c in ("na", "nb", "k", "sa", "sb")])
     return both.groupBy("a", "b").agg(F.sum("k").alias("got"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.least(F.max("na") - F.sum("sa"), F.max("nb") - F.sum("sb")).alias("rest"))
 
 
 def component_ids(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    t, sketch = sets(docs, scratch)
-    postings = scratch.table(prefix_postings(docs, sketch), "prefixes")
-
-    # texts of one document of each set that shares a shingle of its prefix with another set
-    many = postings.groupBy("key").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 <> i1").select("key")
-    met = scratch.table(postings.join(many, "key"), "met")
+    t, level = sets(docs, scratch)
+    postings = scratch.table(prefix_postings(docs, level), "prefixes")
+    met = shared_keys(scratch, postings)
     scratch.drop(postings)
-    need = t.join(met.select(F.col("id").alias("sig")).distinct(), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    segs = scratch.table(segments(docs.join(need, "doc_id", "left_semi")).dropDuplicates(["id", "frag"]), "segments")
+    named = scratch.table(t.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "named")  # a text of each set
+
+    def parts(pairs: DataFrame, low: int, high: int) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+        return scratch.table(segments(docs, id_filter(named.join(ids, "sig")), low, high), "segments")
 
     def verify(pairs: DataFrame) -> DataFrame:
         enough = f"{PART + LEAST} * (got + {{}}) >= {LEAST} * (na + nb)"
-        early = scratch.table(overlaps(pairs, segs, 0, FIRST).where(enough.format("rest")), "early")
+        segs = parts(pairs, 0, FIRST)
+        early = scratch.table(overlaps(pairs, segs, 0, FIRST).where(enough.format("rest")), "early", pairs.count())
+        scratch.drop(segs)
+        scratch.free()
+        segs = parts(early, FIRST, FRAGMENTS)
         late = overlaps(early.select("a", "b"), segs, FIRST, FRAGMENTS).select("a", "b", F.col("got").alias("more"))
         return early.join(late, ["a", "b"]).where(enough.format("more")).select("a", "b")
 
     comps = linked(scratch, met, verify, FITS)
-    scratch.drop(met, segs)
+    scratch.drop(met, named)
     named = t.join(comps.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     full = named.where("n_shingles > 0")
     least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
