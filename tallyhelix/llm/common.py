@@ -117,12 +117,11 @@ def linked(scratch: Scratch, postings: DataFrame, verify, fits: str = "true", ro
     leader of each of its keys (linear in the postings), and only ids of one key that are then
     still in different components meet each other. No link between components is lost.
     """
-    spark = scratch.spark
     p = postings
     more = [c for c in p.columns if c not in ("key", "id")]
     side = lambda df, extra: df.select("key", F.struct("id", *more, *extra).alias("x"))
     tested, links = None, None
-    comps = spark.createDataFrame([], "id long, comp long")
+    comps = scratch.spark.range(0).select("id", F.col("id").alias("comp"))
     for r in range(rounds + 1):
         here = p.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         x = side(here, ["comp"])

@@ -48,7 +48,8 @@ def shingles(texts: list) -> tuple[np.ndarray, np.ndarray]:
     size = np.minimum(n[doc], N)  # a text of fewer words is one shingle
     for k in range(1, N):
         nxt = np.zeros(len(h), U)
-        nxt[: len(h) - k] = h[k:] if k < len(h) else nxt[:0]
+        m = max(len(h) - k, 0)
+        nxt[:m] = h[k:]
         s = np.where(size > k, mix(s * U(31) + nxt), s)
     full = place + size <= n[doc]
     s, doc = s[full], doc[full]
