@@ -84,7 +84,7 @@ def likelihoods(cells: DataFrame, models: DataFrame, haploid: bool = False) -> D
     """(s, widx, fpm, l0..l3) of called exons."""
     d = cells.join(models.where("ecode >= 0").select("widx", "ecode", "mu", "sd", "sd0"), "widx")
     x, mu, sd = F.col("fpm"), F.col("mu"), F.col("sd")
-    l1 = F.lit(0.0) if haploid else F.when(F.col("ecode") == 1, 0.0).otherwise(normal_pdf(x, mu / 2, sd))
+    l1 = F.lit(0.0) if haploid else F.when(F.col("ecode") == 1, 0.0).otherwise(normal_pdf(x, mu / 2, sd / 2))
     return d.select("s", "widx", "fpm", "mu", half_normal_pdf(x, F.col("sd0")).alias("l0"), l1.alias("l1"), normal_pdf(x, mu, sd).alias("l2"), lognormal_pdf(x, mu, sd, F.lit(haploid)).alias("l3"))
 
 

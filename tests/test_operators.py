@@ -82,6 +82,16 @@ def test_robust_fit_against_numpy(spark):
     assert not r[1].f.ok
 
 
+def test_one_copy_has_half_the_spread(spark):
+    cells = spark.createDataFrame([("a", 1, 55.0), ("b", 1, 100.0), ("a", 2, 55.0)], "s string, widx long, fpm double")
+    models = spark.createDataFrame([(1, 0, 100.0, 10.0, 2.0), (2, 1, 100.0, 10.0, 2.0)], "widx long, ecode int, mu double, sd double, sd0 double")
+    pdf = lambda x, mu, sd: np.exp(-0.5 * ((x - mu) / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
+    got = {(r.s, r.widx): r for r in mo.likelihoods(cells, models).collect()}
+    assert got["a", 1].l1 == pytest.approx(pdf(55, 50, 5)) and got["b", 1].l1 == pytest.approx(pdf(100, 50, 5))
+    assert got["a", 1].l2 == pytest.approx(pdf(55, 100, 10)) and got["a", 2].l1 == 0
+    assert {r.l1 for r in mo.likelihoods(cells, models, haploid=True).collect()} == {0.0}
+
+
 def best_path(lik, trans, prior, st, en, dmax):
     best, at = -1.0, None
     n = len(lik)
