@@ -19,8 +19,13 @@ from .common import Scratch, ascii_lower, read
 
 #: (host, start of the path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Rounds of the SQL version; the operator itself goes on until scores settle.
 ROUNDS = 8
 DAMPING = 0.85
+#: Scores have settled when a round moves less than this part of the blocking level, all hosts together.
+SETTLED = 1e-3
+#: Rounds between two looks at the change, and written tables.
+STRIDE = 4
 #: A host is blocked from this multiple of the mean score upwards.
 MULTIPLE = 0.5
 LINK = r"""(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -43,21 +48,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def propagate(scratch: Scratch, hosts: DataFrame, edges: DataFrame, seed: str) -> DataFrame:
+def propagate(scratch: Scratch, hosts: DataFrame, edges: DataFrame, seed: str, level: float) -> DataFrame:
     """(host, score): personalised PageRank over weighted edges (src, dst, n) from seeds in column ``seed``.
 
     Hosts without links out keep nothing to pass on; scores are rounded so that order of addition cannot show.
+    Scores begin at the seeds' own part and only grow, on a grid of 1e-12 and below 1, so rounds end. What is
+    then still to come is at most DAMPING / (1 - DAMPING) of the last change, far below ``level``.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = scratch.table(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "shares")
     base = hosts.select("host", F.col(seed).alias("s"))
-    rank = base.select("host", F.col("s").alias("score"))
-    for i in range(ROUNDS):
-        flow = rank.join(share, rank["host"] == share["src"]).groupBy("dst").agg(F.sum(F.round(F.col("score") * F.col("w"), 12).cast("decimal(38,12)")).cast("double").alias("got"))
-        rank = base.join(flow, F.col("host") == F.col("dst"), "left").select("host", F.round((1 - DAMPING) * F.col("s") + DAMPING * F.coalesce("got", F.lit(0.0)), 12).alias("score"))
-        if i % 4 == 3:
-            rank = scratch.table(rank, "rank")
-    return rank
+    rank = base.select("host", F.round((1 - DAMPING) * F.col("s"), 12).alias("score"))
+    kept = None
+    while True:
+        for _ in range(STRIDE):
+            flow = rank.join(share, rank["host"] == share["src"]).groupBy("dst").agg(F.sum(F.round(F.col("score") * F.col("w"), 12).cast("decimal(38,12)")).cast("double").alias("got"))
+            before = rank.select("host", F.col("score").alias("was"))
+            rank = base.join(flow, F.col("host") == F.col("dst"), "left").select("host", F.round((1 - DAMPING) * F.col("s") + DAMPING * F.coalesce("got", F.lit(0.0)), 12).alias("score"))
+        rank = scratch.table(rank.join(before, "host"), "rank")
+        moved = rank.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
+        scratch.drop(kept)
+        kept, rank = rank, rank.select("host", "score")
+        if moved <= SETTLED * level:
+            return rank
 
 
 def judge(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -74,9 +87,9 @@ def judge(pages: DataFrame, scratch: Scratch) -> DataFrame:
     hosts = scratch.table(hosts, "hosts")
     sums = hosts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count("*").alias("n")).first()
     hosts = hosts.select("host", (F.col("good") / F.lit(float(sums["g"] or 1))).alias("good"), (F.col("bad") / F.lit(float(sums["b"] or 1))).alias("bad"))
-    trust = propagate(scratch, hosts, edges, "good").withColumnRenamed("score", "trust")
-    distrust = propagate(scratch, hosts, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), "bad").withColumnRenamed("score", "distrust")
     level = MULTIPLE / max(sums["n"], 1)
+    trust = propagate(scratch, hosts, edges, "good", level).withColumnRenamed("score", "trust")
+    distrust = propagate(scratch, hosts, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), "bad", level).withColumnRenamed("score", "distrust")
     scores = trust.join(distrust, "host").withColumn("by_host", F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= level), "block").otherwise("allow"))
     scores = scratch.table(scores, "scores")
     out = p.drop("links").join(scores, "host", "left")

@@ -297,6 +297,22 @@ def test_rules_and_propagation(spark, scratch):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string"), scratch).count() == 0
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark, scratch):
+    n = 24  # h0 is blocked by rule; each host links to the one before
+    rows = [(0, "http://h0.net/", "")] + [(i, f"http://h{i}.io/", f'<a href="https://h{i - 1}.{"net" if i == 1 else "io"}/">x</a>') for i in range(1, n)]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch).collect()}
+    want = [0.15 * 0.85**i for i in range(n)]
+    assert all(abs(got[i].distrust - want[i]) < 1e-4 * 0.5 / n + 1e-11 * n for i in range(n))
+    assert [got[i].verdict for i in range(1, n)] == ["block" if want[i] >= 0.5 / n else "allow" for i in range(1, n)]
+    assert got[9].verdict == "block"
+
+
+def test_scores_of_a_loop_settle(spark, scratch):
+    rows = [(1, "http://a.net/", '<a href="//b.io/">x</a>'), (2, "http://b.io/", '<a href="//a.net/">x</a>')]
+    got = {r.page_id: r.distrust for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch).collect()}
+    assert got[1] == pytest.approx(0.15 / (1 - 0.85**2), abs=2e-3) and got[2] == pytest.approx(0.85 * got[1], abs=2e-3)
+
+
 # --- 5
 
 
