@@ -345,6 +345,27 @@ def test_toxicity_ignores_held_out_labels(spark, scratch):
     assert a == b
 
 
+def test_every_byte_is_an_event():
+    texts = [b"abcdefghijkl xy", "漢字漢字漢字".encode(), b"x" * 5000, b"zcdefghijk"]
+    kind, start, end, _ = toxicity.words_at(texts, toxicity.letter_bytes())
+    events = defaultdict(list)
+    for word, parent, h, _, last in toxicity.prefixes(kind, start, end):
+        for w, p, e, b in zip(word.tolist(), parent.tolist(), h.tolist(), last.tolist(), strict=True):
+            events[w].append((p, e, b))
+    assert [bytes(b for *_, b in events[w]) for w in range(5)] == [b"abcdefghijkl", b"xy", texts[1], texts[2], texts[3]]
+    assert events[0][9:11] == events[4][8:10]  # i, j, k after the same six bytes, at other places of their words
+    assert len(set(events[3])) == toxicity.ORDER + 1  # inside a long word the context is the same
+
+
+def test_toxicity_after_the_seventh_byte(spark, scratch):
+    ship(spark)
+    rows = [(i, prose(150, 1000 + i) + " " + " ".join(["ordinaryquxvile" if i % 4 == 0 else "ordinarywords"] * 5)) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    held = [r for r in toxicity.score(d, toxicity.learn(spark, d, labels, scratch)).collect() if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.97
+
+
 def test_toxicity_odd(spark, docs, scratch):
     assert {r.score for r in toxicity.score(docs, toxicity.learn(spark, docs, empty(spark, "doc_id long, toxic int"), scratch)).collect()} == {0.0}
     train, labels, _ = toxic_set(spark, 100)
