@@ -366,6 +366,14 @@ def test_toxicity_after_the_seventh_byte(spark, scratch):
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.97
 
 
+def test_rare_prefixes_are_counted(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(toxicity, "TABLE", 3, raising=False)
+    sample = spark.createDataFrame([(0, 0, "one two"), (1, 1, "one three")], "y int, part int, text string")
+    got = toxicity._sample_counts(sample).collect()
+    assert len(got) == 3 + 3 + 4 and sum(r.c0 + r.c3 for r in got) == 3 + 3 + 3 + 5
+
+
 def test_toxicity_odd(spark, docs, scratch):
     assert {r.score for r in toxicity.score(docs, toxicity.learn(spark, docs, empty(spark, "doc_id long, toxic int"), scratch)).collect()} == {0.0}
     train, labels, _ = toxic_set(spark, 100)
