@@ -109,6 +109,40 @@ def test_lines(spark, scratch):
     assert got[4] == (None, 0, 0) and got[5][0] == "" and got[6] == ("", 1, 0)
 
 
+def edited(line, edits, r):
+    t = list(line)
+    for at in r.sample(range(len(t)), edits):
+        t[at] = r.choice(["q", "", t[at] + "z", " "])
+    return norm("".join(t))
+
+
+def test_near_lines_of_any_length_are_found(spark, scratch):
+    r, base, near = random.Random(12), [], []
+    for i in range(240):
+        n = (1, 2, 3, 5, 8, 10, 15, 20, 30, 40, 60, 150)[i % 12]
+        line = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(n)).ljust(10, "x")
+        other = edited(line, r.randint(1, max(1, len(line) // 25)), r) if i % 24 < 12 or n < 10 else changed(line, [r.randrange(n)])
+        if other and other != line and distance(line, other) <= (1 - linededup.SIMILAR) * max(len(line), len(other)):
+            base.append(line)
+            near.append(other)
+    assert len(near) > 180
+    d = spark.createDataFrame([(1, "\n".join(base)), (2, "\n".join(near))], "doc_id long, text string")
+    got = {x.doc_id: x._kept for x in linededup.dedup(d, scratch).collect()}
+    assert got[1] == len(base) and got[2] == 0
+
+
+def test_short_lines_are_found_for_certain(spark):
+    r, rows = random.Random(13), []
+    while len(rows) < 300:
+        x = norm("".join(r.choice("abcd ") for _ in range(r.randint(10, linededup.SHORT - 1))))
+        y = edited(x, r.randint(1, len(x) // 10), r) if len(x) >= 10 else ""
+        longer = max(len(x), len(y))
+        if y and longer < linededup.SHORT and distance(x, y) <= longer // 10:
+            rows.append((x, y, longer // 10))
+    k = spark.createDataFrame(rows, "x string, y string, most int").select("x", "y", "most", linededup.keys(F.col("x")).alias("a"), linededup.keys(F.col("y")).alias("b")).collect()
+    assert all(any(p.key == q.key and abs(p.pos - q.pos) <= v.most for p in v.a for q in v.b) for v in k)
+
+
 def test_simhash_and_blocks(spark):
     texts = ["a b c", "x", prose(70, 3), prose(300, 4)]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
