@@ -7,7 +7,8 @@ prefixes. Two sets with Jaccard of at least 3/4 share a shingle among the first
 of each, which gives candidates, bounded by sizes and places. To verify a pair the hash order is cut
 into ``FRAGMENTS``; overlaps are counted in each fragment apart and summed per pair. Two fragments
 are counted first, and pairs that cannot reach the threshold any more go no further.
-Equal sets are one node from the start; pairs within a component found already are not tested again.
+Equal sets are one node from the start, with the number of their documents. For the links of each document all
+candidate pairs are verified; where only the classes are asked for, pairs within a component found already are not tested again.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing;
 one to four words are one shingle; repeated rows link; ties have no influence; an empty table gives no
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, linked, read, shared_keys
+from .common import Scratch, components, linked, read, shared_keys
 from .hashing import U, mix, space_bytes, words
 from .words import chunks
 
@@ -198,8 +199,16 @@ def overlaps(pairs: DataFrame, segs: DataFrame, low: int, high: int) -> DataFram
     return both.groupBy("a", "b").agg(F.sum("k").alias("got"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.least(F.max("na") - F.sum("sa"), F.max("nb") - F.sum("sb")).alias("rest"))
 
 
-def component_ids(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def all_links(scratch: Scratch, met: DataFrame, verify) -> DataFrame:
+    """(a, b), a < b, of all sets that link."""
+    side = lambda name: met.select("key", F.struct("id", "n", "pos").alias(name))
+    pairs = side("x").join(side("y"), "key").where(f"x.id < y.id and {FITS}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = scratch.table(pairs, "pairs")
+    return pairs if pairs.isEmpty() else scratch.table(verify(pairs), "links")
+
+
+def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, and with ``links`` n_links, the number of other documents that link with this one."""
     t, level = sets(docs, scratch)
     postings = scratch.table(prefix_postings(docs, level), "prefixes")
     met = shared_keys(scratch, postings)
@@ -220,13 +229,25 @@ def component_ids(docs: DataFrame, scratch: Scratch) -> DataFrame:
         late = overlaps(early.select("a", "b"), segs, FIRST, FRAGMENTS).select("a", "b", F.col("got").alias("more"))
         return early.join(late, ["a", "b"]).where(enough.format("more")).select("a", "b")
 
-    comps = linked(scratch, met, verify, FITS)
+    if links:
+        found = all_links(scratch, met, verify)
+        comps = components(scratch, found)
+    else:
+        comps = linked(scratch, met, verify, FITS)
     scratch.drop(met, named)
-    named = t.join(comps.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    of_sets = comps.select(F.col("id").alias("sig"), "comp")
+    more = []
+    if links:
+        copies = scratch.table(t.where("n_shingles > 0").groupBy("sig").agg(F.count("*").alias("copies")), "copies")
+        ends = found.select(F.col("a").alias("sig"), F.col("b").alias("of")).unionByName(found.select(F.col("b").alias("sig"), F.col("a").alias("of")))
+        near = ends.join(copies.select(F.col("sig").alias("of"), "copies"), "of").groupBy("sig").agg(F.sum("copies").alias("near"))
+        of_sets = copies.join(near, "sig", "left").join(of_sets, "sig", "left").select("sig", "comp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+        more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    named = t.join(of_sets, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     full = named.where("n_shingles > 0")
     least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, "comp").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = full.join(least, "comp").select("doc_id", "n_shingles", "component_id", *more)
+    return out.unionByName(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if links else [])))
 
 
 def op3_jaccard(spark, sf_dir):

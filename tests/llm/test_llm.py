@@ -292,6 +292,17 @@ def test_jaccard_components(spark, scratch):
     assert got == groups(texts)
 
 
+def test_jaccard_counts_every_link(spark, scratch):
+    texts = [*TEXTS, *[changed(prose(100, 50), range(0, 3 * k, 3)) for k in range(12)], *[changed(prose(80, 51), [k]) for k in range(30)], prose(80, 51), prose(80, 51)]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1 if w else 0))} for w in (re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UPPER)) for t in texts)]
+    want = {i: sum(j != i and bool(x and y) and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = ngram.component_ids(d, scratch).collect()
+    assert {r.doc_id: r.n_links for r in rows} == want and max(want.values()) >= 31
+    few = ngram.component_ids(d, scratch, links=False)
+    assert "n_links" not in few.columns and {r.doc_id: r.component_id for r in few.collect()} == {r.doc_id: r.component_id for r in rows}
+
+
 def test_jaccard_odd(spark, docs, scratch):
     rows = ngram.component_ids(docs, scratch).collect()
     assert len(rows) == docs.count()
