@@ -68,41 +68,47 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def _signature(edges: DataFrame) -> tuple:
-    """Count and order-free checksum of an edge table."""
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-    return row["n"], row["h"]
+#: Rows of a narrow table that may be sent to every executor: some 30 MB.
+SENT = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A written narrow table as the side of a join that is sent to every executor if it has at most ``SENT`` rows; else as it is."""
+    return F.broadcast(df) if df.count() <= SENT else df
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, comp): the least id reachable, for every id that has an edge.
 
     Alternating large-star and small-star steps; each step is a min per node and a join back, so
-    a hub costs no more than its edges. Ends when a round changes no edge.
+    a hub costs no more than its edges. Ends when all that is left are stars around their least id.
     """
-    e = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", edges.count())
-    before = _signature(e)
-    while before[0]:
+    n = edges.count()
+    e = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", n)
+    while True:
+        ends = e.select(F.col("a").alias("id"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("id"), F.lit(0).alias("up")))
+        # in a star an id has one edge up, or else only edges from below
+        if ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)").isEmpty():
+            break
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.table(large, "large", 2 * before[0])
+        large = scratch.table(large, "large", 2 * n)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        nxt = scratch.table(small.where("a <> b").distinct(), "small", 2 * before[0])
+        nxt = scratch.table(small.where("a <> b").distinct(), "small", 2 * n)
         scratch.drop(e, large)
-        e, after = nxt, _signature(nxt)
-        if after == before:
-            break
-        before = after
-    comps = e.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-    return comps.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
+        e = nxt
+    return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
 def shared_keys(scratch: Scratch, postings: DataFrame) -> DataFrame:
     """The distinct postings whose key has more than one id, written."""
     many = postings.groupBy("key").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 <> i1").select("key")
+    many = scratch.table(many, "many")
+    scratch.free()
     out = scratch.table(postings.join(many, "key").distinct(), "shared")
+    scratch.drop(many)
     scratch.free()
     return out
 
@@ -141,7 +147,8 @@ def linked(scratch: Scratch, postings: DataFrame, verify, fits: str = "true", ro
         pairs = scratch.table(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        found = scratch.table(verify(pairs), "links")
+        found = verify(pairs)
+        found = found if hasattr(found, "scratch_path") else scratch.table(found, "links")
         scratch.free()
         tested = pairs if tested is None else tested.unionByName(pairs)
         if found.isEmpty():
