@@ -22,7 +22,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, for as many bytes as are usually taken at once."""
+    return _powers_of(1 << 19)
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     back = pow(_ODD, -1, 1 << 64)
     up, down = np.full(n, _ODD, U), np.full(n, back, U)
     up[0] = down[0] = 1
@@ -32,7 +37,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 @functools.cache
 def space_bytes() -> np.ndarray:
     """Each byte's class: 0 ends a word (space, 9 to 13), else the byte with A-Z lower-cased."""
-    out = np.arange(256)
+    out = np.arange(256, dtype=np.int16)
     out[65:91] += 32
     out[[32, *range(9, 14)]] = 0
     out[0] = 256  # the byte 0 is part of a word
@@ -42,7 +47,7 @@ def space_bytes() -> np.ndarray:
 @functools.cache
 def letter_bytes() -> np.ndarray:
     """Each byte's class: letters of ASCII, lower-cased, and bytes of other characters; all else ends a word."""
-    out = np.arange(256)
+    out = np.arange(256, dtype=np.int16)
     out[65:91] += 32
     out[:65] = 0
     out[91:97] = 0
@@ -63,7 +68,10 @@ def words_at(texts: list[bytes], classes: np.ndarray):
 def words(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of its text) of every word of the texts, in order."""
     kind, start, end, doc = words_at(texts, classes)
-    up, down = _powers(1 << max(16, len(kind).bit_length()))
+    up, down = _powers() if len(kind) <= 1 << 19 else _powers_of(len(kind))
     symbol = mix(np.arange(257, dtype=U) + U(1))
-    total = np.concatenate([np.zeros(1, U), np.cumsum(symbol[kind] * up[: len(kind)] * (kind > 0), dtype=U)])
+    symbol[0] = 0
+    total = np.zeros(len(kind) + 1, U)
+    np.multiply(symbol[kind], up[: len(kind)], out=total[1:])
+    np.cumsum(total, out=total)
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U)), doc

@@ -2,13 +2,16 @@
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes. The global order puts shingles in
 hash cells that many documents fill last (a sketch of fixed size counts them over the whole
-corpus), and within a cell goes by hash; any order is valid, a good one keeps common passages out of
-prefixes. Two sets with Jaccard of at least 3/4 share a shingle among the first n - ceil(3n/4) + 1
-of each, which gives candidates, bounded by sizes and places. To verify a pair the hash order is cut
-into ``FRAGMENTS``; overlaps are counted in each fragment apart and summed per pair. Two fragments
+corpus), and within a level goes by hash; any order is valid, a good one keeps common passages out of
+prefixes. Pivots cut this order into ``FRAGMENTS`` of about equal mass. Two sets with Jaccard of at least 3/4 share a shingle
+among the first n - ceil(3n/4) + 1 of each, which gives candidates, bounded by sizes and places. To verify a pair, overlaps
+are counted in each fragment apart and summed per pair. The two rarest fragments
 are counted first, and pairs that cannot reach the threshold any more go no further.
-Equal sets are one node from the start, with the number of their documents. For the links of each document all
-candidate pairs are verified; where only the classes are asked for, pairs within a component found already are not tested again.
+Equal sets are one node from the start, with the number of their documents.
+
+Components come first: every set against one leader of each of its keys, then those of one key that are still in different
+components. Links are counted after that within each component, as both ends of a link are in one: its sets are dealt into blocks of bounded
+size, each pair of blocks is one group, and there the overlaps of all pairs are summed fragment by fragment as products of 0-1 matrices. No pair leaves its group as a row.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing;
 one to four words are one shingle; repeated rows link; ties have no influence; an empty table gives no
@@ -22,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, linked, read, shared_keys
+from .common import Scratch, linked, read, shared_keys
 from .hashing import U, mix, space_bytes, words
-from .words import chunks
+from .words import slices
 
 N = 5
 #: Two documents link when PART * intersection >= LEAST * union.
@@ -35,63 +38,87 @@ CELLS, BLOCK = 1 << 22, 1 << 16
 CELL_BITS = 42
 #: Bits of the filter that spares texts that no candidate needs: a fixed 1 MB.
 FILTER_BITS = 1 << 23
+#: Bytes of text that a worker takes at a time; a longer text is taken alone.
+AT_ONCE = 1 << 18
+#: Shingles and sets of a block, on average, and columns of a matrix.
+SHINGLES, MEMBERS, COLUMNS = 1 << 18, 512, 4096
+#: Odd numbers that tell the places of a shingle's words apart.
+PLACES = tuple(mix(np.arange(1, N + 1, dtype=U)) | U(1))
 
 
 def shingles(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, index of its text), distinct in each text, sorted by text and hash."""
+    """(shingles, distinct and sorted in each text, one text after the other; how many each text has)."""
     h, doc = words([(t or "").encode("utf-8", "surrogatepass") for t in texts], space_bytes())
     n = np.bincount(doc, minlength=len(texts))
-    first = np.cumsum(n) - n
     if not len(h):
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    s = h.copy()
-    place = np.arange(len(h)) - first[doc]
-    size = np.minimum(n[doc], N)  # a text of fewer words is one shingle
+        return np.zeros(0, U), n
+    size = np.minimum(n, N)[doc]  # a text of fewer words is one shingle
+    s = h * PLACES[0]
     for k in range(1, N):
-        nxt = np.zeros(len(h), U)
-        m = max(len(h) - k, 0)
-        nxt[:m] = h[k:]
-        s = np.where(size > k, mix(s * U(31) + nxt), s)
-    full = place + size <= n[doc]
-    s, doc = s[full], doc[full]
-    order = np.lexsort((s, doc))
-    s, doc = s[order], doc[order]
+        s[:-k] += np.where(size[:-k] > k, h[k:], U(0)) * PLACES[k]
+    first = np.cumsum(n) - n
+    full = np.arange(len(h)) - first[doc] + size <= n[doc]
+    s, doc = mix(s[full] + size[full].astype(U)), doc[full]
+    end = np.cumsum(np.bincount(doc, minlength=len(texts)))
+    start = 0
+    for z in end.tolist():
+        s[start:z].sort()
+        start = z
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
-    return s[new], doc[new]
+    return s[new], np.bincount(doc[new], minlength=len(texts))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(U).view(np.int64)
+    return x.astype(U, copy=False).view(np.int64)
 
 
-def _per_text(texts: list):
-    """(shingles, their texts, sizes, signatures of the sets)."""
-    s, doc = shingles(texts)
-    n = np.bincount(doc, minlength=len(texts))
+def signatures(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
     total = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ U(0x5851F42D4C957F2D)), dtype=U)])
     end = np.cumsum(n)
-    return s, doc, n, _signed(mix(total[end] - total[end - n] + n.astype(U)))
+    return _signed(mix(total[end] - total[end - n] + n.astype(U)))
+
+
+class Order:
+    """The global order: a level for each cell, and the pivots that cut it into fragments."""
+
+    def __init__(self, counts: np.ndarray):
+        self.level = np.floor(4 * np.log2(1 + counts)).astype(np.uint8)
+        mass = np.bincount(self.level, counts, 256)
+        before = np.cumsum(mass) - mass
+        cuts = []
+        for f in range(1, FRAGMENTS):
+            want = f * mass.sum() / FRAGMENTS
+            at = int(np.searchsorted(before, want, "right")) - 1
+            part = min(max((want - before[at]) / mass[at], 0.0), 1.0) if mass[at] else 0.0
+            cuts.append((at << 56) + int(part * ((1 << 56) - 1)))
+        self.pivots = np.array(cuts, U)
+
+    def place(self, s: np.ndarray) -> np.ndarray:
+        """Each shingle as its place in the order: level, then hash."""
+        return (self.level[(s >> U(CELL_BITS)).astype(np.int64)].astype(U) << U(56)) | (s >> U(8))
 
+    def fragment(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.pivots, places, "right")
 
-def sets(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_shingles, sig of every document; and how full the cells are over the whole corpus."""
+
+def sets(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Order]:
+    """doc_id, n_shingles, sig of every document; and the global order of the whole corpus."""
 
     def run(batches):
         cells = np.zeros(CELLS, np.int32)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for a, z in chunks(texts):
-                s, _, n, sig = _per_text(texts[a:z])
-                at, k = np.unique((s >> U(CELL_BITS)).astype(np.int64), return_counts=True)
-                cells[at] += k.astype(np.int32)
+            for a, z, texts in slices(b.column("text"), AT_ONCE):
+                s, n = shingles(texts)
+                np.add.at(cells, (s >> U(CELL_BITS)).astype(np.int64), 1)
                 none = pa.nulls(z - a, pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), pa.array(n, pa.int64()), pa.array(sig), pa.nulls(z - a, pa.int32()), none], names=names)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), pa.array(n, pa.int64()), pa.array(signatures(s, n)), pa.nulls(z - a, pa.int32()), none], names=names)
         if cells.any():
             low = np.minimum(cells, 255).astype(np.uint8)  # a cell that full goes last anyway
-            blocks = [low[i : i + BLOCK].tobytes() for i in range(0, CELLS, BLOCK)]
-            k = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())], names=names)
+            for i in range(0, CELLS, BLOCK):
+                none = [pa.nulls(1, pa.int64()) for _ in range(3)]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([i // BLOCK], pa.int32()), pa.array([low[i : i + BLOCK].tobytes()], pa.binary())], names=names)
 
     names = ["doc_id", "n_shingles", "sig", "block", "counts"]
     t = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig long, block int, counts binary"), "sets")
@@ -108,26 +135,28 @@ def sets(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros(CELLS, np.int64)
     for r in per.toArrow().to_pylist():  # CELLS numbers
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(r["counts"], "<i8")
-    level = np.floor(4 * np.log2(1 + sketch)).astype(np.uint8)
-    return t.where("block is null").select("doc_id", "n_shingles", "sig"), level
+    return t.where("block is null").select("doc_id", "n_shingles", "sig"), Order(sketch)
 
 
-def prefix_postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def prefix_postings(docs: DataFrame, order: Order) -> DataFrame:
     """(key, id, n, pos): the first shingles of each set in the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 MB
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # 4 MB
 
     def run(batches):
-        level = shared.value
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for a, z in chunks(texts):
-                s, doc, n, sig = _per_text(list(dict.fromkeys(texts[a:z])))
-                order = np.lexsort((s, level[(s >> U(CELL_BITS)).astype(np.int64)], doc))
-                s = s[order]
-                pos = np.arange(len(s)) - (np.cumsum(n) - n)[doc]
-                keep = pos < (n + (-LEAST * n) // PART + 1)[doc]
-                s, doc, pos = s[keep], doc[keep], pos[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(s)), pa.array(sig[doc]), pa.array(n[doc], pa.int32()), pa.array(pos, pa.int32())], names=["key", "id", "n", "pos"])
+            for _, _, texts in slices(b.column("text"), AT_ONCE):
+                s, n = shingles(list(dict.fromkeys(texts)))
+                places, sig = shared.value.place(s), signatures(s, n)
+                size = np.where(n > 0, n + (-LEAST * n) // PART + 1, 0)
+                end, heads = np.cumsum(n), []
+                for a, z, p in zip((end - n).tolist(), end.tolist(), size.tolist(), strict=True):
+                    if p:
+                        own = places[a:z]
+                        own.sort()
+                        heads.append(own[:p])
+                pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                key = np.concatenate(heads) if heads else np.zeros(0, U)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(np.repeat(sig, size)), pa.array(np.repeat(n, size), pa.int32()), pa.array(pos, pa.int32())], names=["key", "id", "n", "pos"])
 
     return docs.select("text").mapInArrow(run, "key long, id long, n int, pos int")
 
@@ -144,10 +173,11 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of ``FILTER_BITS`` bits over the hashes of (doc_id); never misses one of them."""
 
     def mark(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for b in batches:
-            bits[_bit(np.asarray(b.column("doc_id")))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            at = _bit(np.asarray(b.column("doc_id")))
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
     def join(batches):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -160,29 +190,33 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in marked.toArrow().to_pylist():  # sixteen bitmaps
         out |= np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out
 
 
-def segments(docs: DataFrame, wanted: np.ndarray, low: int, high: int) -> DataFrame:
-    """(id, n, frag, part): sets cut by hash order into fragments, fragments low..high-1, of documents that pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))  # 1 MB
-    frags = np.arange(low, high)
+def segments(docs: DataFrame, order: Order, wanted: np.ndarray, low: int, high: int, whole: bool = False) -> DataFrame:
+    """(id, n, frag, part): the sets of documents that pass the filter, as places in the global order, cut into fragments low..high-1, or ``whole``."""
+    shared = docs.sparkSession.sparkContext.broadcast((order, wanted))  # 5 MB
+    width = 1 if whole else high - low
 
     def run(batches):
-        bits = np.unpackbits(shared.value).astype(bool)
+        order, bits = shared.value
         for b in batches:
             ids = b.column("doc_id")
-            pass_ = np.asarray(ids.is_null()) | bits[_bit(np.asarray(ids.fill_null(0)))]
-            some = pa.array(np.flatnonzero(pass_))
-            texts = list(dict.fromkeys(b.column("text").take(some).to_pylist()))
-            for a, z in chunks(texts, 1 << 20):
-                s, doc, n, sig = _per_text(texts[a:z])
-                frag = (s >> U(61)).astype(np.int64)
+            at = _bit(np.asarray(ids.fill_null(0)))
+            pass_ = np.asarray(ids.is_null()) | ((bits[at >> 3] & (128 >> (at & 7))) > 0)
+            for _, _, texts in slices(b.column("text").filter(pa.array(pass_)), AT_ONCE):
+                texts = list(dict.fromkeys(texts))
+                s, n = shingles(texts)
+                places, sig = order.place(s), signatures(s, n)
+                end = np.cumsum(n)
+                for a, z in zip((end - n).tolist(), end.tolist(), strict=True):
+                    places[a:z].sort()
+                frag = order.fragment(places)
                 use = (frag >= low) & (frag < high)
-                s, cell = s[use], (doc * len(frags) + frag - low)[use]
-                count = np.bincount(cell, minlength=(z - a) * len(frags))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(_signed(s)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, len(frags))), pa.array(np.repeat(n, len(frags)), pa.int32()), pa.array(np.tile(frags, z - a), pa.int32()), lists], names=["id", "n", "frag", "part"])
+                cell = np.repeat(np.arange(len(texts)), n)[use] * width + (0 if whole else frag[use] - low)
+                count = np.bincount(cell, minlength=len(texts) * width)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(_signed(places[use])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, width)), pa.array(np.repeat(n, width), pa.int32()), pa.array(np.tile(np.arange(low, low + width), len(texts)), pa.int32()), lists], names=["id", "n", "frag", "part"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, n int, frag int, part array<long>")
 
@@ -199,55 +233,119 @@ def overlaps(pairs: DataFrame, segs: DataFrame, low: int, high: int) -> DataFram
     return both.groupBy("a", "b").agg(F.sum("k").alias("got"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.least(F.max("na") - F.sum("sa"), F.max("nb") - F.sum("sb")).alias("rest"))
 
 
-def all_links(scratch: Scratch, met: DataFrame, verify) -> DataFrame:
-    """(a, b), a < b, of all sets that link."""
-    side = lambda name: met.select("key", F.struct("id", "n", "pos").alias(name))
-    pairs = side("x").join(side("y"), "key").where(f"x.id < y.id and {FITS}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = scratch.table(pairs, "pairs")
-    return pairs if pairs.isEmpty() else scratch.table(verify(pairs), "links")
+def shared_counts(sets: list[np.ndarray], first: int, pivots: np.ndarray) -> np.ndarray:
+    """Overlaps of the sets before ``first`` with those from there on, or of all with all where nothing is before: partial overlaps of each fragment, summed."""
+    total = np.zeros((first or len(sets), len(sets) - first), np.int64)
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    every = np.concatenate(sets)
+    frag = np.searchsorted(pivots, every, "right")
+    for f in np.unique(frag).tolist():
+        _, col, times = np.unique(every[frag == f], return_inverse=True, return_counts=True)
+        rank = np.cumsum(times > 1) - 1  # what only one set has is in no overlap
+        some = (times > 1)[col]
+        row, col, wide = own[frag == f][some], rank[col[some]], int(rank[-1]) + 1
+        for c in range(0, wide, COLUMNS):
+            here = (col >= c) & (col < c + COLUMNS)
+            m = np.zeros((len(sets), min(COLUMNS, wide - c)), np.float32)
+            m[row[here], col[here] - c] = 1
+            total += np.rint(m[: first or len(sets)] @ m[first:].T).astype(np.int64)
+    if not first:  # what one set has alone counts for itself only
+        np.fill_diagonal(total, [len(x) for x in sets])
+    return total
+
+
+def links_of_blocks(rows: dict, i: int, j: int, pivots: np.ndarray) -> tuple[list, list]:
+    """(ids, numbers of documents linked with) of blocks i and j, of one with itself where they are the same; rows: id -> (block, copies, set)."""
+    a, b = sorted(k for k in rows if rows[k][0] == i), sorted(k for k in rows if rows[k][0] == j)
+    if not a or not b:
+        return [], []
+    ids = a if i == j else a + b
+    got = shared_counts([rows[k][2] for k in ids], 0 if i == j else len(a), pivots)
+    na, nb = (np.array([len(rows[k][2]) for k in x], np.int64) for x in (a, b))
+    ca, cb = (np.array([rows[k][1] for k in x], np.int64) for x in (a, b))
+    link = (PART + LEAST) * got >= LEAST * (na[:, None] + nb[None, :])
+    if i == j:
+        np.fill_diagonal(link, False)
+        return ids, (link @ cb).tolist()
+    return ids, (link @ cb).tolist() + (link.T @ ca).tolist()
+
+
+def link_counts(members: DataFrame, segs: DataFrame, order: Order) -> DataFrame:
+    """(sig, near): documents of other sets that each set links with; members (sig, comp, copies, n), segs (id, part) whole sets."""
+    per = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    per = per.withColumn("blocks", F.greatest(F.ceil(F.col("size") / SHINGLES), F.ceil(F.col("m") / MEMBERS)).cast("int"))
+    own = members.join(per, "comp").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int"))
+    own = own.join(segs.select(F.col("id").alias("sig"), "part"), "sig")
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "copies", "part")
+    pivots = order.pivots
+
+    def run(batches):
+        now, rows = None, {}
+        for b in batches:
+            keys = list(zip(*[b.column(c).to_pylist() for c in ("comp", "i", "j")], strict=True))
+            block, sig, copies, part = (b.column(c) for c in ("block", "sig", "copies", "part"))
+            for r, k in enumerate(keys):
+                if k != now:
+                    if rows:
+                        yield flush(now, rows)
+                    now, rows = k, {}
+                rows[sig[r].as_py()] = (block[r].as_py(), copies[r].as_py(), np.asarray(part[r].values).view(U))
+        if rows:
+            yield flush(now, rows)
+
+    def flush(now, rows):
+        ids, near = links_of_blocks(rows, *now[1:], pivots)
+        return pa.RecordBatch.from_pydict({"sig": pa.array(ids, pa.int64()), "near": pa.array(near, pa.int64())})
+
+    by = ["comp", "i", "j"]
+    found = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "sig long, near long")
+    return found.groupBy("sig").agg(F.sum("near").alias("near"))
 
 
 def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, and with ``links`` n_links, the number of other documents that link with this one."""
-    t, level = sets(docs, scratch)
-    postings = scratch.table(prefix_postings(docs, level), "prefixes")
+    t, order = sets(docs, scratch)
+    postings = scratch.table(prefix_postings(docs, order), "prefixes")
     met = shared_keys(scratch, postings)
     scratch.drop(postings)
-    named = scratch.table(t.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "named")  # a text of each set
+    full = t.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    named = scratch.table(full, "named")  # a text of each set
 
-    def parts(pairs: DataFrame, low: int, high: int) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-        return scratch.table(segments(docs, id_filter(named.join(ids, "sig")), low, high), "segments")
+    def parts(ids: DataFrame, low: int, high: int) -> DataFrame:
+        return scratch.table(segments(docs, order, id_filter(named.join(ids, "sig")), low, high), "segments")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         enough = f"{PART + LEAST} * (got + {{}}) >= {LEAST} * (na + nb)"
-        segs = parts(pairs, 0, FIRST)
+        segs = parts(ends(pairs), 0, FIRST)
         early = scratch.table(overlaps(pairs, segs, 0, FIRST).where(enough.format("rest")), "early", pairs.count())
         scratch.drop(segs)
         scratch.free()
-        segs = parts(early, FIRST, FRAGMENTS)
+        segs = parts(ends(early), FIRST, FRAGMENTS)
         late = overlaps(early.select("a", "b"), segs, FIRST, FRAGMENTS).select("a", "b", F.col("got").alias("more"))
         return early.join(late, ["a", "b"]).where(enough.format("more")).select("a", "b")
 
-    if links:
-        found = all_links(scratch, met, verify)
-        comps = components(scratch, found)
-    else:
-        comps = linked(scratch, met, verify, FITS)
-    scratch.drop(met, named)
-    of_sets = comps.select(F.col("id").alias("sig"), "comp")
+    comps = linked(scratch, met, verify, FITS, rounds=1)
+    scratch.drop(met)
+    of_sets = named.select("sig", "copies", "n").join(comps.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    of_sets = scratch.table(of_sets, "components")
+    least = t.where("n_shingles > 0").select("doc_id", "sig").join(of_sets.select("sig", "comp"), "sig").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     more = []
     if links:
-        copies = scratch.table(t.where("n_shingles > 0").groupBy("sig").agg(F.count("*").alias("copies")), "copies")
-        ends = found.select(F.col("a").alias("sig"), F.col("b").alias("of")).unionByName(found.select(F.col("b").alias("sig"), F.col("a").alias("of")))
-        near = ends.join(copies.select(F.col("sig").alias("of"), "copies"), "of").groupBy("sig").agg(F.sum("copies").alias("near"))
-        of_sets = copies.join(near, "sig", "left").join(of_sets, "sig", "left").select("sig", "comp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-        more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
-    named = t.join(of_sets, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    full = named.where("n_shingles > 0")
-    least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, "comp").select("doc_id", "n_shingles", "component_id", *more)
-    return out.unionByName(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if links else [])))
+        size = of_sets.groupBy("comp").agg(F.count("*").alias("m"), F.sum("copies").alias("all"))
+        of_sets = scratch.table(of_sets.join(size, "comp"), "sizes")
+        crowd = of_sets.where("m > 2").select("sig", "comp", "copies", "n")
+        whole = segments(docs, order, id_filter(named.join(crowd.select("sig"), "sig")), 0, FRAGMENTS, whole=True)
+        near = scratch.table(link_counts(crowd, whole, order), "near")
+        # the two sets of a component of two link with each other
+        of_sets = of_sets.join(near, "sig", "left").withColumn("n_links", F.col("copies") - 1 + F.when(F.col("m") == 2, F.col("all") - F.col("copies")).otherwise(F.coalesce("near", F.lit(0))))
+        more = ["n_links"]
+    out = t.where("n_shingles > 0").join(of_sets.join(least, "comp").select("sig", "component_id", *more), "sig").select("doc_id", "n_shingles", "component_id", *more)
+    rest = t.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if links else []))
+    return out.unionByName(rest)
 
 
 def op3_jaccard(spark, sf_dir):

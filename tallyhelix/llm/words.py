@@ -12,6 +12,10 @@ import json
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+
 #: Tab, line ends, printable ASCII, Latin-1 and Latin Extended-A letters and signs, common dashes and quotes.
 _SPANS = ((9, 10), (13, 13), (32, 126), (0xA1, 0xAC), (0xAE, 0x12F), (0x131, 0x148), (0x14A, 0x17E), (0x2013, 0x2014), (0x2018, 0x201E), (0x2026, 0x2026), (0x20AC, 0x20AC))
 _CHARS = [chr(c) for a, b in _SPANS for c in range(a, b + 1)]
@@ -93,3 +97,16 @@ def chunks(texts: list, size: int = 1 << 21):
             start, n = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def slices(column: pa.Array, size: int):
+    """(start, end, texts) of runs of about ``size`` bytes of a column of texts, so that no more than a run is in Python at a time."""
+    if not len(column):
+        return
+    n = np.asarray(pa.compute.binary_length(column).fill_null(0)).cumsum()
+    start = 0
+    while start < len(column):
+        before = n[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(n, before + size, "right")))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end

@@ -142,6 +142,14 @@ def test_short_lines_are_found_for_certain(spark):
     assert all(set(v.a) & set(v.b) for v in k)
 
 
+def test_simhash_is_the_majority_of_words(spark):
+    texts = ["a b c", "x", prose(70, 3), " ".join(f"w{i}" for i in range(500))]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in d.select("t", F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("h"), linededup.simhash(F.col("t")).alias("s")).collect():
+        h = set(r.h)
+        assert sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) > len(h) / 2) == r.s & (2**64 - 1)
+
+
 def test_cut_keeps_the_distance(spark):
     rng, rows = random.Random(5), []
     for _ in range(150):
@@ -279,6 +287,17 @@ def test_jaccard_counts_every_link(spark, scratch):
     assert "n_links" not in few.columns and {r.doc_id: r.component_id for r in few.collect()} == {r.doc_id: r.component_id for r in rows}
 
 
+def test_links_over_many_blocks(spark, scratch, monkeypatch):
+    monkeypatch.setattr(ngram, "MEMBERS", 6)
+    monkeypatch.setattr(ngram, "COLUMNS", 16)
+    texts = [changed(prose(90, 60), random.Random(k).sample(range(90), k % 4)) for k in range(40)] + [prose(90, 61), changed(prose(90, 61), [4]), prose(50, 62)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    want = {i: sum(j != i and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.n_links for r in ngram.component_ids(d, scratch).collect()} == want
+    assert 0 in want.values() and max(want.values()) > 20
+
+
 def test_jaccard_odd(spark, docs, scratch):
     rows = ngram.component_ids(docs, scratch).collect()
     assert len(rows) == docs.count()
