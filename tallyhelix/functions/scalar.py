@@ -100,7 +100,10 @@ def vcf_pos(start: Column, padding: int) -> Column:
 def vcf_key(chrom: Column) -> Column:
     """Sort key of a chromosome in merged files."""
     bare = bare_chrom(chrom)
-    other = F.conv(F.right(F.sha2(bare.cast("binary"), 256), F.lit(12)), 16, 10).cast("long") % 1000 + 1100
+    digest = F.sha2(bare.cast("binary"), 256)
+    # the whole digest modulo 1000, eight hex digits at a time
+    parts = F.array(*[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(8)])
+    other = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: (a * (16**8 % 1000) + x) % 1000) + 1100
     return F.when(bare.rlike(r"^\d+$"), bare.try_cast("long")).when(bare == "X", 1023).when(bare == "Y", 1024).when(bare.isin("M", "MT"), 1025).otherwise(other).cast("long")
 
 

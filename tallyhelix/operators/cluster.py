@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,11 +18,30 @@ START_SHARE, MAX_Z = 0.1, 3.0
 
 
 def gram(cells: DataFrame) -> DataFrame:
-    """(a, b, g): inner products of samples over centred exons, a <= b."""
-    c = cells.withColumn("x", F.col("fpm") - F.avg("fpm").over(Window.partitionBy("widx"))).select("s", "widx", "x")
-    row = c.groupBy("widx").agg(F.array_sort(F.collect_list(F.struct("s", "x"))).alias("v"))  # one entry per sample
-    pairs = row.select(F.explode("v").alias("p"), "v").select("p", F.explode(F.filter("v", lambda q: q["s"] >= F.col("p.s"))).alias("q"))
-    return pairs.groupBy(F.col("p.s").alias("a"), F.col("q.s").alias("b")).agg(F.sum(F.col("p.x") * F.col("q.x")).alias("g"))
+    """(a, b, g): inner products of samples over centred exons, a <= b.
+
+    Each partition multiplies its exons' rows with themselves, so that only one matrix a partition is shuffled. Every exon must have a value of every sample.
+    """
+    row = cells.groupBy("widx").agg(F.array_sort(F.collect_list(F.struct("s", "fpm"))).alias("v"))  # one entry per sample
+    row = row.select(F.transform("v", lambda q: q["s"]).alias("ids"), F.transform("v", lambda q: q["fpm"]).alias("x"))
+
+    def run(batches):
+        ids, total = None, 0.0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = np.asarray(b.column("ids").flatten())
+            ids = np.asarray(b.column("ids")[0].values) if ids is None else ids
+            if len(own) != b.num_rows * len(ids) or (own.reshape(b.num_rows, -1) != ids).any():
+                raise ValueError("an exon lacks the value of a sample")
+            x = np.asarray(b.column("x").flatten()).reshape(b.num_rows, -1)
+            x = x - x.mean(1, keepdims=True)
+            total = total + x.T @ x
+        if ids is not None:
+            i, j = np.triu_indices(len(ids))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(ids[i], pa.int32()), "b": pa.array(ids[j], pa.int32()), "g": total[i, j]})
+
+    return row.mapInArrow(run, "a int, b int, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
 
 
 def components_of(g: np.ndarray, exons: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,17 +65,23 @@ def linkage(points: np.ndarray) -> list[tuple[int, int, float, int]]:
     full = np.full((2 * n, 2 * n), np.inf)
     full[:n, :n] = d
     np.fill_diagonal(full, np.inf)
-    size, live, out = np.ones(2 * n), list(range(n)), []
+    size, out = np.ones(2 * n), []
+    least, at = full.min(1), full.argmin(1)  # of each live row
     for k in range(n, 2 * n - 1):
-        sub = full[np.ix_(live, live)]
-        i, j = divmod(int(np.argmin(sub)), len(live))
-        a, b = sorted((live[i], live[j]))
+        i = int(np.argmin(least))
+        a, b = sorted((i, int(at[i])))
         size[k] = size[a] + size[b]
         out.append((a, b, float(full[a, b]), int(size[k])))
-        full[k, :] = (size[a] * full[a, :] + size[b] * full[b, :]) / size[k]
-        full[:, k] = full[k, :]
-        full[k, k] = np.inf
-        live = [x for x in live if x not in (a, b)] + [k]
+        row = (size[a] * full[a, :] + size[b] * full[b, :]) / size[k]
+        row[[a, b, k]] = np.inf
+        full[k, :], full[:, k] = row, row
+        full[[a, b], :], full[:, [a, b]] = np.inf, np.inf
+        least[[a, b]] = np.inf
+        stale = np.flatnonzero(np.isin(at, (a, b)) & np.isfinite(least))
+        least[stale], at[stale] = full[stale].min(1), full[stale].argmin(1)
+        nearer = row < least
+        least[nearer], at[nearer] = row[nearer], k
+        least[k], at[k] = row.min(), row.argmin()
     return out
 
 

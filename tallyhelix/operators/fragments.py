@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tallyhelix.functions.scalar import MIN_MAPQ, REJECT_FLAGS, cigar_ref_length, first_read_forward, first_unclipped, has_bits, let
 
 KEY = ("sample", "qname")
+#: Windows of a capture kit that may be sent to every executor.
+KIT = 500_000
 
 
 def usable(alignments: DataFrame) -> DataFrame:
@@ -156,11 +158,14 @@ def overlaps(parts: DataFrame, windows: DataFrame, width: int = 4096) -> DataFra
     """(sample, qname, widx), each once: half-open overlap of intervals and windows.
 
     Both sides are cut into bins of ``width`` bases, so the join is by (chrom, bin) and
-    a task meets only windows near its intervals; the residual condition decides.
+    a task meets only windows near its intervals; the residual condition decides. At most ``KIT`` windows are sent to every
+    executor, which keeps the intervals' partitioning by (sample, qname) for the last step; more are shuffled.
     """
     bins = lambda s, e: F.explode(F.sequence(F.floor(s / width), F.floor(e / width)))
     p = parts.withColumn("bin", bins(F.col("s"), F.col("e")))
     w = windows.select("chrom", "widx", F.col("st").alias("ws"), F.col("en").alias("we"), bins(F.col("st"), F.col("en")).alias("bin"))
+    if windows.limit(KIT + 1).count() <= KIT:
+        w = F.broadcast(w)
     return p.join(w, ["chrom", "bin"]).where("s < we and ws < e").select(*KEY, "widx").distinct()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyhelix.functions.scalar import HALF_NORMAL_95, TRUNCATED_SD_2, argmax, half_normal_pdf, let, lognormal_pdf, normal_pdf
 
 MIN_Z, MIN_SUPPORT = 2.0, 0.5
-EPS, MAX_STEPS = 1e-5, 50
+EPS, MAX_STEPS = 1e-5, 200
 
 
 def fpm(cells: DataFrame) -> DataFrame:
@@ -21,11 +21,11 @@ def fpm(cells: DataFrame) -> DataFrame:
     return cells.join(total, "s").withColumn("fpm", F.col("n") * 1e6 / F.when(base == 0, 1).otherwise(base)).drop("auto_sum", "all_sum")
 
 
-def cn0(cells: DataFrame) -> DataFrame:
-    """One row (sd0, fpm_cn0): half-normal of the intergenic windows, and its 95% point."""
-    one = cells.where("wtype = 2").agg(F.sqrt(F.avg(F.col("fpm") * F.col("fpm"))).alias("sd"), F.count("*").alias("n"))
+def cn0(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(sd0, fpm_cn0), one row or one per ``by``: half-normal of the intergenic windows, and its 95% point."""
+    one = cells.where("wtype = 2").groupBy(*by).agg(F.sqrt(F.avg(F.col("fpm") * F.col("fpm"))).alias("sd"), F.count("*").alias("n"))
     sd = F.col("sd") + F.col("sd") / (4 * F.col("n"))
-    return one.select(sd.alias("sd0"), (sd * HALF_NORMAL_95).alias("fpm_cn0"))
+    return one.select(*by, sd.alias("sd0"), (sd * HALF_NORMAL_95).alias("fpm_cn0"))
 
 
 def _mean(x: Column) -> Column:
@@ -39,16 +39,17 @@ def _sd(x: Column, mean: Column) -> Column:
 def robust_fit(x: Column) -> Column:
     """struct(mu, sd, ok): mean and sd of the bulk of a sorted array, by repeated cuts at two sd.
 
-    Starts at the median and a third of the sd; fails where the median is 0 or a cut keeps nothing.
+    Starts at the median and a third of the sd; fails where the median or the mean found is 0, where a cut keeps nothing, or
+    where ``MAX_STEPS`` cuts do not settle. A bulk of equal values that has settled gets 5% of its mean as sd.
     """
     n = F.size(x)
     median = (F.element_at(x, F.floor((n + 1) / 2).cast("int")) + F.element_at(x, F.floor(n / 2 + 1).cast("int"))) / 2
     state = lambda mu, sd, ok, done: F.struct(mu.alias("mu"), sd.alias("sd"), ok.alias("ok"), done.alias("done"))
-    start = let(_mean(x), lambda mean: state(median, _sd(x, mean) / 3, median > 0, median <= 0))
+    start = let(_mean(x), lambda mean: state(median, _sd(x, mean) / 3, F.lit(False), median <= 0))
 
     def refit(s, kept):
         def of_mean(mean):
-            return let(_sd(kept, mean) / TRUNCATED_SD_2, lambda fit: let(F.when(fit == 0, mean * 0.05).otherwise(fit), lambda sd: state(mean, sd, F.lit(True), F.abs(mean - s["mu"]) + F.abs(sd - s["sd"]) <= EPS)))
+            return let(_sd(kept, mean) / TRUNCATED_SD_2, lambda sd: let(F.abs(mean - s["mu"]) + F.abs(sd - s["sd"]) <= EPS, lambda settled: state(mean, sd, settled & (mean != 0), settled)))
 
         return F.when(F.size(kept) == 0, state(s["mu"], s["sd"], F.lit(False), F.lit(True))).otherwise(let(_mean(kept), of_mean))
 
@@ -56,36 +57,40 @@ def robust_fit(x: Column) -> Column:
         kept = F.filter(x, lambda v: F.abs(v - s["mu"]) < 2 * s["sd"])
         return F.when(s["done"], s).otherwise(let(kept, lambda k: refit(s, k)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_STEPS)), start, step, lambda s: F.struct(s["mu"].alias("mu"), s["sd"].alias("sd"), s["ok"].alias("ok")))
+    width = lambda s: F.when(s["ok"] & (s["sd"] == 0), s["mu"] * 0.05).otherwise(s["sd"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_STEPS)), start, step, lambda s: F.struct(s["mu"].alias("mu"), width(s).alias("sd"), s["ok"].alias("ok")))
 
 
-def fitted(cells: DataFrame) -> DataFrame:
-    """(widx, median, mu, sd, ok) of each exon; one row holds the values of one exon over the samples."""
-    per = cells.groupBy("widx").agg(F.array_sort(F.collect_list("fpm")).alias("x"), F.percentile("fpm", 0.5).alias("median"))
-    return per.withColumn("fit", robust_fit(F.col("x"))).select("widx", "median", "fit.mu", "fit.sd", "fit.ok", "x")
+def fitted(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, widx, median, mu, sd, ok, x) of each exon; one row holds the values of one exon over the samples."""
+    per = cells.groupBy(*by, "widx").agg(F.array_sort(F.collect_list("fpm")).alias("x"), F.percentile("fpm", 0.5).alias("median"))
+    return per.withColumn("fit", robust_fit(F.col("x"))).select(*by, "widx", "median", "fit.mu", "fit.sd", "fit.ok", "x")
 
 
-def ecodes(fits: DataFrame, zero: DataFrame) -> DataFrame:
-    """(widx, ecode, mu, sd): -1 not captured, -2 no fit, -3 little support, -4 too near to CN0, 1 CN1 too near, 0 called."""
-    d = fits.crossJoin(F.broadcast(zero))  # one row
+def ecodes(fits: DataFrame, zero: DataFrame, by: tuple[str, ...] = (), haploid: Column | bool = False) -> DataFrame:
+    """(*by, widx, ecode, mu, sd): -1 not captured, -2 no fit, -3 little support, -4 too near to CN0, 1 CN1 too near (of diploids), 0 called."""
+    zero = F.broadcast(zero)  # one row, or one per cluster
+    d = fits.join(zero, list(by)) if by else fits.crossJoin(zero)
+    haploid = F.lit(haploid) if isinstance(haploid, bool) else haploid
     near = F.size(F.filter("x", lambda v: F.abs(v - F.col("mu")) < 2 * F.col("sd")))
     code = (
         F.when(F.col("median") <= F.col("fpm_cn0"), -1)
         .when(~F.col("ok"), -2)
         .when(near < MIN_SUPPORT * F.size("x"), -3)
         .when(F.col("mu") - MIN_Z * F.col("sd") <= F.col("fpm_cn0"), -4)
-        .when(F.col("mu") / 2 - F.col("sd") <= F.col("fpm_cn0"), 1)
+        .when(~haploid & (F.col("mu") / 2 - MIN_Z * F.col("sd") / 2 <= F.col("fpm_cn0")), 1)
         .otherwise(0)
     )
-    return d.withColumn("ecode", code).withColumn("support", near).select("widx", "ecode", "median", "mu", "sd", "support", "sd0", "fpm_cn0")
+    return d.withColumn("ecode", code).withColumn("support", near).select(*by, "widx", "ecode", "median", "mu", "sd", "support", "sd0", "fpm_cn0")
 
 
-def likelihoods(cells: DataFrame, models: DataFrame, haploid: bool = False) -> DataFrame:
-    """(s, widx, fpm, l0..l3) of called exons."""
-    d = cells.join(models.where("ecode >= 0").select("widx", "ecode", "mu", "sd", "sd0"), "widx")
+def likelihoods(cells: DataFrame, models: DataFrame, haploid: Column | bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, s, widx, fpm, mu, l0..l3) of called exons; haploids have no state of one copy."""
+    haploid = F.lit(haploid) if isinstance(haploid, bool) else haploid
+    d = cells.join(models.where("ecode >= 0").select(*by, "widx", "ecode", "mu", "sd", "sd0"), [*by, "widx"])
     x, mu, sd = F.col("fpm"), F.col("mu"), F.col("sd")
-    l1 = F.lit(0.0) if haploid else F.when(F.col("ecode") == 1, 0.0).otherwise(normal_pdf(x, mu / 2, sd / 2))
-    return d.select("s", "widx", "fpm", "mu", half_normal_pdf(x, F.col("sd0")).alias("l0"), l1.alias("l1"), normal_pdf(x, mu, sd).alias("l2"), lognormal_pdf(x, mu, sd, F.lit(haploid)).alias("l3"))
+    l1 = F.when(haploid | (F.col("ecode") == 1), 0.0).otherwise(normal_pdf(x, mu / 2, sd / 2))
+    return d.select(*by, "s", "widx", "fpm", "mu", half_normal_pdf(x, F.col("sd0")).alias("l0"), l1.alias("l1"), normal_pdf(x, mu, sd).alias("l2"), lognormal_pdf(x, mu, sd, haploid).alias("l3"))
 
 
 def best_state(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:

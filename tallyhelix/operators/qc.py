@@ -6,14 +6,29 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tallyhelix.functions.scalar import half_normal_pdf, lognormal_pdf, normal_pdf
 
-def histogram(cells: DataFrame, bins: int) -> DataFrame:
-    """(widx, bin, n): counts in equal bins between the least and largest value of each exon."""
-    span = cells.groupBy("widx").agg(F.min("fpm").alias("lo"), F.max("fpm").alias("hi")).where("hi > lo")
-    at = F.least(F.floor((F.col("fpm") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / float(bins))), F.lit(bins - 1)) + 1
-    return cells.join(span, "widx").groupBy("widx", at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+#: Fewest bins of a histogram, samples for one bin more, and points of a curve.
+MIN_BINS, PER_BIN, POINTS = 20, 4, 1000
+
+
+def histogram(cells: DataFrame) -> DataFrame:
+    """(widx, bins, bin, n): counts in equal bins between the least and largest value of each exon, a bin for every four samples, at least 20."""
+    span = cells.groupBy("widx").agg(F.min("fpm").alias("lo"), F.max("fpm").alias("hi"), F.greatest(F.lit(MIN_BINS), F.ceil(F.count("*") / PER_BIN)).cast("long").alias("bins")).where("hi > lo")
+    at = F.least(F.floor((F.col("fpm") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.col("bins"))), F.col("bins") - 1) + 1
+    return cells.join(span, "widx").groupBy("widx", "bins", at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def state_curves(cells: DataFrame, models: DataFrame, haploid: bool = False, points: int = POINTS) -> DataFrame:
+    """(widx, i, x, p0..p3): densities of the four states of each exon that has a fit, on a grid from 0 to its largest value, rounded up."""
+    top = cells.groupBy("widx").agg(F.ceil(F.max("fpm")).alias("top"))
+    g = top.join(models.where("ecode not in (-1, -2)"), "widx").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    g = g.withColumn("x", F.col("top") * F.col("i") / float(points - 1))
+    x, mu, sd = F.col("x"), F.col("mu"), F.col("sd")
+    one = F.lit(0.0) if haploid else normal_pdf(x, mu / 2, sd / 2)
+    return g.select("widx", "i", "x", half_normal_pdf(x, F.col("sd0")).alias("p0"), one.alias("p1"), normal_pdf(x, mu, sd).alias("p2"), lognormal_pdf(x, mu, sd, F.lit(haploid)).alias("p3"))
 
 
 def call_quantiles(calls: DataFrame, samples: DataFrame, q: float = 0.8) -> DataFrame:
@@ -55,15 +70,30 @@ def density(cells: DataFrame, points: int, upper: float = 0.96) -> DataFrame:
     return grid.groupBy("s", "i").agg(F.first(x).alias("x"), y.alias("y"))
 
 
-def first_low_and_high(curve: DataFrame, confirm: int = 19) -> DataFrame:
-    """(s, low_x, high_x, ok): the first point that is no higher than the next ones, the first high after it, and whether they differ enough."""
-    ahead = Window.partitionBy("s").orderBy("i").rowsBetween(1, confirm)
-    c = curve.withColumn("low", F.col("y") <= F.min("y").over(ahead)).withColumn("high", F.col("y") >= F.max("y").over(ahead))
-    low = c.where("low").groupBy("s").agg(F.min("i").alias("low_i"))
-    after = c.join(low, "s").where("i > low_i and high").groupBy("s").agg(F.min("i").alias("high_i"))
-    at = lambda name: curve.select("s", F.col("i").alias(f"{name}_i"), F.col("x").alias(f"{name}_x"), F.col("y").alias(f"{name}_y"))
-    out = low.join(after, "s", "left").join(at("low"), ["s", "low_i"]).join(at("high"), ["s", "high_i"], "left")
-    return out.select("s", F.round("low_x", 3).alias("low_x"), F.round("high_x", 3).alias("high_x"), ((F.col("high_y") - F.col("low_y")) / F.col("low_y") >= 0.2).alias("ok"))
+def _first_extreme(y, start, window: int, low: bool):
+    """struct(at, v, seen, done): the first value from ``start`` on that the next ``window`` - 1 unequal ones do not pass."""
+    state = lambda at, v, seen, done: F.struct(at.alias("at"), v.alias("v"), seen.alias("seen"), done.alias("done"))
+
+    def step(s, q):
+        beyond = q["y"] < s["v"] if low else q["y"] > s["v"]
+        seen = s["seen"] + F.when(q["y"] == s["v"], 0).otherwise(1)
+        return F.when(s["done"] | (q["i"] <= start["i"]), s).when(beyond, state(q["i"], q["y"], F.lit(1), F.lit(False))).otherwise(state(s["at"], s["v"], seen, seen >= window))
+
+    return F.aggregate(y, state(start["i"], start["y"], F.lit(1), F.lit(window <= 1)), step)
+
+
+def first_low_and_high(curve: DataFrame, window: int = 20) -> DataFrame:
+    """(s, low_x, high_x, ok): the first low of each curve, the first high after it, and whether they differ by a fifth of the low.
+
+    A low is confirmed by ``window`` - 1 larger values before any smaller one, equal values not counted; a high likewise. What is not confirmed is null.
+    """
+    per = curve.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("c"))
+    low = per.withColumn("low", _first_extreme(F.col("c"), F.col("c")[0], window, True))
+    low = low.withColumn("from", F.filter("c", lambda q: F.col("low.done") & (q["i"] == F.col("low.at")))[0])
+    both = low.withColumn("high", F.when(F.col("low.done"), _first_extreme(F.col("c"), F.col("from"), window, False)))
+    at = lambda name: F.filter("c", lambda q: F.col(f"{name}.done") & (q["i"] == F.col(f"{name}.at")))[0]["x"]
+    ok = F.when(F.col("high.done"), F.try_divide(F.col("high.v") - F.col("low.v"), F.col("low.v")) >= 0.2)
+    return both.select("s", F.round(at("low"), 3).alias("low_x"), F.round(at("high"), 3).alias("high_x"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def fitted_distributions(cells: DataFrame, bins: int = 100) -> DataFrame:

@@ -36,11 +36,22 @@ def best_previous(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     return per.where("common > 0").orderBy(F.desc("common"), "others", "run").limit(1)
 
 
-def exons_of_regions(regions: DataFrame, members: DataFrame, windows: DataFrame) -> DataFrame:
-    """Regions with the clusters of their sample and the exons that they overlap."""
-    hit = (F.col("st") <= F.col("g_en")) & (F.col("g_st") <= F.col("en"))
-    g = regions.join(members, "sample").select("sample", "cluster_id", "chrom", F.col("st").alias("g_st"), F.col("en").alias("g_en"))
-    return g.join(windows, "chrom").where(hit).select("sample", "chrom", F.col("g_st").alias("st"), F.col("g_en").alias("en"), "cluster_id", "widx")
+def exons_of_regions(regions: DataFrame, clusters: DataFrame, members: DataFrame, windows: DataFrame) -> DataFrame:
+    """(sample, chrom, st, en, cluster_id, widx, problem): regions with the cluster of their sample and the exons that they overlap.
+
+    A region on a chromosome with autosome exons looks in the sample's A cluster, one on other chromosomes in its G cluster. What finds no exon comes
+    once, without one, and with the reason: no such sample, no such chromosome, cluster not valid, no exon there.
+    """
+    g = regions.distinct().select("sample", "chrom", F.col("st").alias("g_st"), F.col("en").alias("g_en"))
+    exons = windows.where("wtype in (0, 1)").select("widx", F.col("chrom"), "st", "en", "wtype")
+    kinds = exons.groupBy("chrom").agg(F.when(F.min("wtype") == 0, "A").otherwise("G").alias("kind"))
+    of = members.join(clusters.select("cluster_id", "valid"), "cluster_id").select("sample", "cluster_id", "valid", F.substring("cluster_id", 1, 1).alias("kind"))
+    known = members.select("sample").distinct().withColumn("_known", F.lit(True))
+    g = g.join(known, "sample", "left").join(kinds, "chrom", "left").join(of, ["sample", "kind"], "left")
+    fits = (F.col("g.chrom") == F.col("e.chrom")) & (F.col("e.st") <= F.col("g.g_en")) & (F.col("g.g_st") <= F.col("e.en")) & (F.when(F.col("e.wtype") == 0, "A").otherwise("G") == F.col("g.kind")) & (F.col("g.valid") == 1)
+    hit = g.alias("g").join(exons.alias("e"), fits, "left")
+    problem = F.when(F.col("_known").isNull(), "no such sample").when(F.col("kind").isNull(), "no such chromosome").when(F.coalesce(F.col("valid"), F.lit(0)) != 1, "cluster not valid").when(F.col("widx").isNull(), "no exon there")
+    return hit.select("sample", F.col("g.chrom").alias("chrom"), F.col("g_st").alias("st"), F.col("g_en").alias("en"), "cluster_id", "widx", problem.alias("problem"))
 
 
 def samples_of_clusters(clusters: DataFrame, members: DataFrame) -> DataFrame:
@@ -55,11 +66,14 @@ def reference_clusters(clusters: DataFrame) -> DataFrame:
     return _fit_edges(clusters).join(free, "f").groupBy("cluster_id").agg(F.min_by("f", "i").alias("ref"))
 
 
-def reusable_clusters(clusters: DataFrame, members: DataFrame, previous: DataFrame) -> DataFrame:
-    """(cluster_id, prev): valid clusters with the same samples as an earlier one of their kind, all of whose partners match too."""
+def reusable_clusters(clusters: DataFrame, members: DataFrame, previous: DataFrame, min_gq: str) -> DataFrame:
+    """(cluster_id, prev): valid clusters with the same samples as an earlier one of their kind, called with the same least score, all of whose partners match too.
+
+    previous (cluster_id, s, min_gq), the score as text, as the header of the earlier file has it.
+    """
     key = lambda m: m.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list("s")), ",").alias("k"))
     kind = F.substring("cluster_id", 1, 1).alias("kind")
-    now, old = key(members).select("cluster_id", kind, "k"), key(previous).select(F.col("cluster_id").alias("prev"), kind, "k")
+    now, old = key(members).select("cluster_id", kind, "k"), key(previous.where(F.col("min_gq") == min_gq)).select(F.col("cluster_id").alias("prev"), kind, "k")
     same = now.join(old, ["kind", "k"]).join(clusters.where("valid = 1").select("cluster_id"), "cluster_id").select("cluster_id", "prev")
     broken = _fit_edges(clusters).join(same.select(F.col("cluster_id").alias("f")), "f", "left_anti").select("cluster_id")
     return same.join(broken, "cluster_id", "left_anti")

@@ -54,8 +54,8 @@ TABLES = {
         where rn <= case when q % 8 < 4 then 2 when q % 8 < 7 then 3 else 4 end) f""",
     "exons": """select chrom, st, en, concat('X', cast(row_number() over (order by chrom, st, en) as string)) id from (
       select distinct case l_partkey % 5 when 0 then 'chr1' when 1 then 'chr2' when 2 then 'chr11' when 3 then 'chrX' else 'chrY' end chrom,
-        cast((l_partkey * 97 + l_suppkey * 13) % 50000 as bigint) st, cast((l_partkey * 97 + l_suppkey * 13) % 50000 + cast(l_quantity as int) as bigint) en
-      from lineitem where l_orderkey % 20 = 0) e""",
+        cast(l_orderkey * 30 + l_partkey % 200 as bigint) st, cast(l_orderkey * 30 + l_partkey % 200 + cast(l_quantity as int) as bigint) en
+      from lineitem) e""",
     "clusters": " union all ".join(f"select '{c}' cluster_id, '{f}' fit_with, '{g}' gender, {v} valid" for c, f, g, v, _ in CLUSTERS),
     "members": " union all ".join(f"select '{c}' cluster_id, s from samples where s % 4 in ({', '.join(map(str, m))})" for c, _, _, _, m in CLUSTERS),
     "calls": """select s, cn, cast((s * 7 + cn * 11) % 17 + 20 * ((s + cn) % 2) as bigint) first_w, cast((s * 7 + cn * 11) % 17 + 20 * ((s + cn) % 2) + (s + cn) % 3 as bigint) last_w, qs from (
@@ -64,7 +64,8 @@ TABLES = {
     "bps": """select s, 'chr1' chrom, cast(k * 1000 - 300 as bigint) bp_start, cast((k + (s + k) % 3) * 1000 + 500 as bigint) bp_end, case when (s + k) % 2 = 0 then 'DEL' else 'DUP' end cnvtype, cast(1 + (s + k) % 4 as bigint) n_qnames
       from samples cross join (select w k from numbers where w > 0 and w < 20) n""",
     "metadata": """select concat('S', cast(c_custkey as string)) sample_id, case when c_nationkey % 3 = 0 then 'F' when c_nationkey % 3 = 1 then 'M' else '' end sex,
-      case when c_custkey % 11 = 0 then 'Sex_Swap' when c_custkey % 13 = 0 then '0' else 'OK' end qc, r_name center, n_name capture, c_mktsegment batch_date
+      case when c_custkey % 11 = 0 then 'suspected XX' when c_custkey % 13 = 0 then 'suspected XXY' when c_custkey % 17 = 0 then 'suspected XXY or contamination' when c_custkey % 19 = 0 then 'suspected contamination' else '' end qc,
+      case r_name when 'ASIA' then 'Novogene' when 'EUROPE' then 'Genoscope_2' else r_name end center, n_name capture, c_mktsegment batch_date
       from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
 }
 
@@ -142,6 +143,18 @@ class Fixture:
 
         return gap_cutoffs(self.called).first()  # one row
 
+    @cached_property
+    def pool(self) -> DataFrame:
+        from tallyhelix.operators.calling import pool
+
+        return pool(self.fpm, self.clusters, self.members)
+
+    @cached_property
+    def pooled_models(self) -> DataFrame:
+        from tallyhelix.operators.calling import models
+
+        return models(self.pool)
+
     @cached_property
     def names(self) -> dict[int, str]:
         return {s: f"S{s:02d}" for s in range(24)}

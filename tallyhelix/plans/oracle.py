@@ -12,18 +12,17 @@ DERIVED = {
     "zero": "select sd + sd / (4 * n) sd0, (sd + sd / (4 * n)) * 1.959963984540054 fpm_cn0 from (select sqrt(avg(fpm * fpm)) sd, count(*) n from fpm where wtype = 2)",
     "autos": "select * from fpm where wtype = 0",
     "fit0": "select widx, quantile_cont(fpm, 0.5) median, stddev_pop(fpm) / 3 sd0, count(*) n from autos group by widx",
-    "fits(widx, it, mu, sd, ok, done)": """select widx, 0, median, sd0, median > 0, median <= 0 from fit0 union all
-      select widx, it + 1, case when done or k = 0 then mu else m end, case when done or k = 0 then sd else v end, case when done then ok else k > 0 end,
-        done or k = 0 or abs(m - mu) + abs(v - sd) <= 1e-5
-      from (select f.widx, f.it, f.mu, f.sd, f.ok, f.done, count(a.fpm) k, avg(a.fpm) m,
-          case when stddev_pop(a.fpm) = 0 then avg(a.fpm) * 0.05 else stddev_pop(a.fpm) / 0.8796256610342398 end v
-        from fits f left join autos a on a.widx = f.widx and not f.done and abs(a.fpm - f.mu) < 2 * f.sd where f.it < 50 group by all)""",
-    "fitted": "select f.widx, f.mu, f.sd, f.ok, g.median, g.n from fits f join fit0 g using (widx) where f.it = 50",
+    "fits(widx, it, mu, sd, ok, done)": """select widx, 0, median, sd0, false, median <= 0 from fit0 union all
+      select widx, it + 1, case when k = 0 then mu else m end, case when k = 0 then sd else v end, k > 0 and m <> 0 and abs(m - mu) + abs(v - sd) <= 1e-5, k = 0 or abs(m - mu) + abs(v - sd) <= 1e-5
+      from (select f.widx, f.it, f.mu, f.sd, count(a.fpm) k, avg(a.fpm) m, stddev_pop(a.fpm) / 0.8796256610342398 v
+        from fits f left join autos a on a.widx = f.widx and abs(a.fpm - f.mu) < 2 * f.sd where f.it < 200 and not f.done group by all)""",
+    "fitted": """select f.widx, f.mu, case when f.ok and f.sd = 0 then f.mu * 0.05 else f.sd end sd, f.ok, g.median, g.n
+      from (select widx, max(it) it, max_by(mu, it) mu, max_by(sd, it) sd, max_by(ok, it) ok from fits group by widx) f join fit0 g using (widx)""",
     "support": "select f.widx, count(*) filter (abs(a.fpm - f.mu) < 2 * f.sd) support from fitted f join autos a using (widx) group by 1",
     "models": """select f.widx, median, mu, sd, support, sd0, fpm_cn0, case when median <= fpm_cn0 then -1 when not ok then -2 when support < 0.5 * n then -3
       when mu - 2.0 * sd <= fpm_cn0 then -4 when mu / 2 - sd <= fpm_cn0 then 1 else 0 end ecode from fitted f join support using (widx) cross join zero""",
     "lik": """select s, widx, fpm, mu, 2.0 / (sd0 * sqrt(2 * pi())) * exp(-(fpm * fpm) / (2 * sd0 * sd0)) l0,
-      case when ecode = 1 then 0.0 else exp(-0.5 * ((fpm - mu / 2) / sd) ** 2) / (sd * sqrt(2 * pi())) end l1, exp(-0.5 * ((fpm - mu) / sd) ** 2) / (sd * sqrt(2 * pi())) l2,
+      case when ecode = 1 then 0.0 else exp(-0.5 * ((fpm - mu / 2) / (sd / 2)) ** 2) / (sd / 2 * sqrt(2 * pi())) end l1, exp(-0.5 * ((fpm - mu) / sd) ** 2) / (sd * sqrt(2 * pi())) l2,
       case when fpm > mu + 2 * sd then exp(-0.5 * ((ln(fpm - mu - 2 * sd) - ln(mu)) / 0.5) ** 2) / ((fpm - mu - 2 * sd) * 0.5 * sqrt(2 * pi())) else 0.0 end l3
       from autos join models using (widx) where ecode >= 0""",
     "pri(it, p0, p1, p2, p3, t, done)": f"""select 0, 1.0::double, 1.0::double, 1.0::double, 1.0::double, '', false union all

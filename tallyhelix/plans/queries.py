@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhelix.functions import scalar as fn
+from tallyhelix.operators import calling
 from tallyhelix.operators import calls as ca
 from tallyhelix.operators import cluster as cl
 from tallyhelix.operators import fragments as fr
@@ -15,6 +16,7 @@ from tallyhelix.operators import models as mo
 from tallyhelix.operators import windows as wi
 from tallyhelix.plans.fixture import Fixture
 from tallyhelix.plans.oracle import ARGMAX, sql
+from tallyhelix.session import scratch_dir, written
 from tallyhelix.sources import sinks, text
 
 QUERIES: dict = {}
@@ -47,10 +49,14 @@ def src_samples(x: Fixture):
     return text.sample_paths(s.select(F.concat(F.lit("/data/"), "sample", F.when(F.substring("sample", 2, 2).cast("int") % 2 == 0, ".bam").otherwise(".sam")).alias("path")))
 
 
-@query("select qname, flag, chrom, pos, mapq, cigar from alignments")
+@query("select sample, qname, flag, chrom, pos, mapq, cigar, ord from alignments")
 def src_align(x):
-    head = x.spark.createDataFrame([("@HD\tVN:1.6",), ("@SQ\tSN:chr1\tLN:20000",)], "value string")
-    return text.sam(head.unionByName(x.lines(x.alignments, "qname", "flag", "chrom", "pos", "mapq", "cigar", "sample")))
+    head = x.spark.createDataFrame([("@HD\tVN:1.6", "S00", -2), ("@SQ\tSN:chr1\tLN:20000", "S00", -1)], "value string, sample string, ord long")
+    return text.sam(head.unionByName(_sam_lines(x)))
+
+
+def _sam_lines(x):
+    return x.alignments.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("qname", "flag", "chrom", "pos", "mapq", "cigar")]).alias("value"), "sample", "ord")
 
 
 @query(f"select chrom, greatest(st - {PAD}, 0) st, en + {PAD} en, id from exons")
@@ -60,7 +66,9 @@ def src_bed(x):
 
 @query("select s, widx, n from cells")
 def src_counts(x):
-    return x.cells.select("s", "widx", "n")
+    at = _folder(x, "counts")
+    sinks.write_counts(x.cells.select("s", "widx", "n"), at)
+    return text.read_counts(x.spark, at)
 
 
 @query("select c.cluster_id, fit_with, gender, valid, string_agg(concat('S', lpad(s::string, 2, '0')), ',' order by s) samples from clusters c join members m using (cluster_id) group by 1, 2, 3, 4")
@@ -80,13 +88,12 @@ def src_bp(x):
 
 
 def _geno(x):
-    c = ca.frag_ratios(x.calls, x.autosomes, x.models)
+    c = ca.frag_ratios(x.calls, x.fpm, x.models)
     return ca.genotypes(ca.with_breakpoints(ca.break_ranges(c, x.windows, x.models, PAD), x.bps))
 
 
 def _vcf_lines(x):
-    wide = ca.variant_rows(_geno(x).persist(), x.names)
-    return wide.select(F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in wide.columns]).alias("value"))
+    return ca.variant_lines(ca.variant_rows(_geno(x), x.names))
 
 
 @query("select k.chrom, k.pos, k.end_pos, k.alt, concat('S', lpad(samples.s::string, 2, '0')) sample, coalesce(g.text, '0/0') as text from (select distinct chrom, pos, end_pos, alt from geno_text) k cross join samples left join geno_text g on g.chrom = k.chrom and g.pos = k.pos and g.end_pos = k.end_pos and g.alt = k.alt and g.s = samples.s")
@@ -100,8 +107,8 @@ def src_regions(x):
     return text.regions(x.samples.groupBy((F.col("s") % 4).alias("g")).agg(F.array_join(F.collect_list(item), ",").alias("value")).select("value"))
 
 
-BATCH_SQL = "case when center in ('ASIA', 'EUROPE') then concat_ws('_', center, capture, batch_date) else concat_ws('_', center, capture) end"
-SEX_SQL = "case when qc = 'Sex_Swap' then case sex when 'M' then 'F' when 'F' then 'M' else '' end else sex end"
+BATCH_SQL = "case when starts_with(center, 'Genoscope') or starts_with(center, 'Novogene') then concat_ws('_', center, capture, batch_date) else concat_ws('_', center, capture) end"
+SEX_SQL = "case when qc = 'suspected XX' then 'F' when qc in ('suspected XXY', 'suspected XXY or contamination') then 'XXY' when qc in ('', 'suspected contamination') then sex else error('unknown note') end"
 
 
 def _meta(x):
@@ -124,8 +131,6 @@ def src_tocheck(x):
 
 
 def _folder(x, name):
-    from tallyhelix.session import scratch_dir
-
     return scratch_dir(x.spark, name)
 
 
@@ -133,7 +138,7 @@ def _folder(x, name):
 def snk_counts(x):
     at = _folder(x, "counts")
     sinks.write_counts(x.cells.select("s", "widx", "n"), at)
-    return x.spark.read.schema("s int, widx long, n long").parquet(at)
+    return text.read_counts(x.spark, at)
 
 
 @query("select sample, chrom, bp_start, bp_end, cnvtype, n_qnames from found_bps")
@@ -153,23 +158,46 @@ def snk_vcf(x):
     return _geno(x).withColumn("bp", F.coalesce("bp", F.lit("")))
 
 
-@query()
+VCF_HEAD = sinks.vcf_header([f"S{s:02d}" for s in range(24)], 5.0, "260101", "call")
+VCF_ROWS_SQL = """select concat_ws(chr(9), k.chrom, k.pos, '.', 'N', k.alt, '.', 'PASS', concat('SVTYPE=', k.alt[2:4], ';END=', k.end_pos), k.form, string_agg(coalesce(g.text, '0/0'), chr(9) order by samples.s)) as value
+  from (select chrom, pos, end_pos, alt, case when bool_or(bp is not null) then 'GT:GQ:FR:BPR:BP' else 'GT:GQ:FR:BPR' end form from geno group by 1, 2, 3, 4) k cross join samples
+  left join geno_text g on g.chrom = k.chrom and g.pos = k.pos and g.end_pos = k.end_pos and g.alt = k.alt and g.s = samples.s group by k.chrom, k.pos, k.end_pos, k.alt, k.form"""
+
+
+@query(f"{VCF_ROWS_SQL} union all select replace(unnest([{', '.join(repr(h.replace(chr(9), '@')) for h in VCF_HEAD)}]), '@', chr(9))")
 def snk_vcf_text(x):
     """The written file, header and rows, read back."""
     at = _folder(x, "vcf")
-    wide = _vcf_lines(x)
-    sinks.write_lines(wide, at, sinks.vcf_header(list(x.names.values()), 5.0), ["value"])
+    sinks.write_lines(_vcf_lines(x), at, VCF_HEAD, list(ca.ROW_ORDER))
     return text.read_lines(x.spark, at)
 
 
-MERGE_SQL = """select k.chrom, k.pos, k.end_pos, k.alt, k.ckey, samples.s, coalesce(g.text, '0/0') as text from (
-  select distinct chrom, pos, end_pos, alt, case when regexp_matches(b, '^[0-9]+$') then try_cast(b as bigint) when b = 'X' then 1023 when b = 'Y' then 1024 when b in ('M', 'MT') then 1025
-    else 1100 + ('0x' || right(sha256(b), 12))::bigint % 1000 end ckey from (select *, regexp_replace(chrom, '^chr', '') b from geno_text)) k
-  cross join samples left join geno_text g on g.chrom = k.chrom and g.pos = k.pos and g.end_pos = k.end_pos and g.alt = k.alt and g.s = samples.s"""
+@query("select '5.0' min_gq, (row_number() over (order by s) - 1)::int i, concat('S', lpad(s::string, 2, '0')) sample from samples")
+def src_vcf_header(x):
+    """The least score and the samples, from the header of a written file."""
+    at = _folder(x, "vcf")
+    sinks.write_lines(_vcf_lines(x), at, VCF_HEAD, list(ca.ROW_ORDER))
+    lines = text.read_lines(x.spark, at)
+    return text.vcf_samples(lines).crossJoin(F.broadcast(text.vcf_min_gq(lines)))  # one row
+
+
+def _digest(b: str) -> str:
+    """A whole SHA-256 modulo 1000, in SQL: 8 hex digits at a time."""
+    out = "0"
+    for i in range(8):
+        out = f"(({out} * {16**8 % 1000} + ('0x' || substr(sha256({b}), {1 + 8 * i}, 8))::bigint) % 1000)"
+    return out
+
+
+MERGE_SQL = """select k.chrom, k.pos, k.end_pos, k.alt, k.ckey, k.form, samples.s, coalesce(g.text, '0/0') as text from (
+  select chrom, pos, end_pos, alt, case when regexp_matches(b, '^[0-9]+$') then try_cast(b as bigint) when b = 'X' then 1023 when b = 'Y' then 1024 when b in ('M', 'MT') then 1025
+    else 1100 + {digest} end ckey, case when bool_or(regexp_matches(text, '(:.*){{4}}')) then 'GT:GQ:FR:BPR:BP' else 'GT:GQ:FR:BPR' end form from (select *, regexp_replace(chrom, '^chr', '') b from geno_text) group by chrom, pos, end_pos, alt, b) k
+  cross join samples left join geno_text g on g.chrom = k.chrom and g.pos = k.pos and g.end_pos = k.end_pos and g.alt = k.alt and g.s = samples.s""".format(digest=_digest("b"))
 
 
 def _merged(x):
-    g = _geno(x).select("chrom", "pos", "end_pos", "alt", "s", F.concat_ws(":", "gt", F.col("gq").cast("string"), F.format_string("%.2f", "fr"), "bpr", "bp").alias("text")).persist()
+    form = F.when(F.max(F.col("bp").isNotNull()).over(Window.partitionBy("chrom", "pos", "end_pos", "alt", F.col("s") % 4)), "GT:GQ:FR:BPR:BP").otherwise("GT:GQ:FR:BPR")
+    g = _geno(x).select("chrom", "pos", "end_pos", "alt", "s", F.concat_ws(":", "gt", F.col("gq").cast("string"), F.format_string("%.2f", "fr"), "bpr", "bp").alias("text"), form.alias("form"))
     parts = [g.where(F.col("s") % 4 == i) for i in range(4)]
     return ca.merged_sites(parts, x.samples)
 
@@ -191,10 +219,19 @@ def snk_dendro(x):
     return cl.dendrogram(x.autosomes, "A", MIN_SAMPLES)
 
 
-@query("""select widx, bin, n from (select widx, least(floor((fpm - lo) / ((hi - lo) / 20.0))::bigint, 19) + 1 bin, count(*) n from autos join (select widx, min(fpm) lo, max(fpm) hi from autos group by widx) using (widx)
-  where hi > lo group by 1, 2)""")
+@query("""select widx, bins, bin, n from (select widx, bins, least(floor((fpm - lo) / ((hi - lo) / bins))::bigint, bins - 1) + 1 bin, count(*) n
+  from autos join (select widx, min(fpm) lo, max(fpm) hi, greatest(20, ceil(count(*) / 4.0))::bigint bins from autos group by widx) using (widx) where hi > lo group by all)""")
 def snk_exonplot(x):
-    return qc.histogram(x.autosomes, 20)
+    return qc.histogram(x.autosomes)
+
+
+@query("""select widx, i::int i, round(x, 3) x, round(2e6 / (sd0 * sqrt(2 * pi())) * exp(-(x * x) / (2 * sd0 * sd0)), 3) p0, round(1e6 * exp(-0.5 * ((x - mu / 2) / (sd / 2)) ** 2) / (sd / 2 * sqrt(2 * pi())), 3) p1,
+  round(1e6 * exp(-0.5 * ((x - mu) / sd) ** 2) / (sd * sqrt(2 * pi())), 3) p2,
+  round(case when x > mu + 2 * sd then 1e6 * exp(-0.5 * ((ln(x - mu - 2 * sd) - ln(mu)) / 0.5) ** 2) / ((x - mu - 2 * sd) * 0.5 * sqrt(2 * pi())) else 0.0 end, 3) p3
+  from (select widx, i, ceil(top) * i / 999.0::double x, mu, sd, sd0 from (select widx, max(fpm) top from autos group by widx) join models using (widx) cross join (select unnest(range(1000)) i) where ecode not in (-1, -2))""")
+def snk_exonplot_curves(x):
+    c = qc.state_curves(x.autosomes, x.models)
+    return c.select("widx", "i", r("x"), *[F.round(F.col(f"p{k}") * 1e6, 3).alias(f"p{k}") for k in range(4)])
 
 
 @query(f"select {BATCH_SQL} batch, count(*) n from metadata group by 1")
@@ -299,10 +336,10 @@ def flt_mingq(x):
     return x.calls.where(F.col("qs") >= 5.0)
 
 
-@query(f"select sample_id sample, {SEX_SQL} sex from metadata where qc = 'Sex_Swap'")
+@query(f"select sample_id sample, {SEX_SQL} sex from metadata where qc <> ''")
 def flt_qc_meta(x):
-    swapped = x.metadata.where("qc = 'Sex_Swap'").select(F.col("sample_id").alias("sample"))
-    return _meta(x).join(swapped, "sample", "left_semi").select("sample", "sex")
+    noted = x.metadata.where("qc <> ''")
+    return noted.select(F.col("sample_id").alias("sample"), text.sex_of(F.col("qc"), F.col("sex")).alias("sex"))
 
 
 # --- joins
@@ -313,14 +350,18 @@ def join_overlap(x):
     return fr.overlaps(fr.intervals(x.frags), x.windows)
 
 
-REGION_SQL = """select g.sample, g.chrom, g.st, g.en, m.cluster_id, w.widx from (select s, concat('S', lpad(s::string, 2, '0')) sample, 'chr1' chrom, (s * 700)::bigint st, (s * 700 + 2500)::bigint en from samples) g
-  join members m on m.s = g.s join clusters c on c.cluster_id = m.cluster_id and c.valid = 1 and c.cluster_id like 'A%' join windows w on w.chrom = g.chrom and w.st <= g.en and g.st <= w.en where w.wtype = 0"""
+REGIONS_SQL = """select concat('S', lpad(cast(s as string), 2, '0')) sample, case s % 4 when 0 then 'chr1' when 1 then 'chrX' when 2 then 'chrY' else 'chr9' end chrom, cast(s * 700 as bigint) st, cast(s * 700 + 2500 as bigint) en from samples
+  union all select concat('S', lpad(cast(s + 12 as string), 2, '0')), 'chr2', cast(210 + 800 * (s % 3) as bigint), cast(290 + 800 * (s % 3) as bigint) from samples"""
+REGION_SQL = f"""with g as ({REGIONS_SQL}), k as (select chrom, case when min(wtype) = 0 then 'A' else 'G' end kind from windows where wtype < 2 group by 1),
+  n as (select concat('S', lpad(s::string, 2, '0')) sample, cluster_id, left(cluster_id, 1) kind, valid from members join clusters using (cluster_id)),
+  j as (select g.*, k.kind, n.cluster_id, n.valid, g.sample in (select sample from n) known from g left join k using (chrom) left join n on n.sample = g.sample and n.kind = k.kind)
+  select j.sample, j.chrom, j.st, j.en, j.cluster_id, w.widx, case when not known then 'no such sample' when kind is null then 'no such chromosome' when coalesce(valid, 0) <> 1 then 'cluster not valid' when w.widx is null then 'no exon there' end problem
+  from j left join windows w on w.chrom = j.chrom and w.st <= j.en and j.st <= w.en and w.wtype < 2 and case when w.wtype = 0 then 'A' else 'G' end = j.kind and j.valid = 1"""
 
 
-@query(REGION_SQL)
+@query(f"select * from ({REGION_SQL})")
 def join_region(x):
-    members = _members(x).join(x.clusters.where("valid = 1 and cluster_id like 'A%'"), "cluster_id").select("cluster_id", "sample")
-    return reuse.exons_of_regions(src_regions(x), members, x.windows.where("wtype = 0"))
+    return reuse.exons_of_regions(x.sql(REGIONS_SQL), x.clusters, _members(x), x.windows)
 
 
 @query("select distinct chrom from alignments where chrom in (select chrom from windows)")
@@ -368,7 +409,7 @@ def join_refclust(x):
 
 @query("select s, cn, first_w, last_w, bp from with_bp where bp is not null")
 def join_bp(x):
-    c = ca.frag_ratios(x.calls, x.autosomes, x.models)
+    c = ca.frag_ratios(x.calls, x.fpm, x.models)
     return ca.with_breakpoints(ca.break_ranges(c, x.windows, x.models, PAD), x.bps).where("bp is not null").select("s", "cn", "first_w", "last_w", "bp")
 
 
@@ -377,14 +418,15 @@ def join_merge(x):
     return _merged(x)
 
 
-PREV_VCF_SQL = """with sig as (select cluster_id, string_agg(s::string, ',' order by s) k from members group by 1), old as (select cluster_id, k from sig where cluster_id <> 'A_03'),
+PREV_VCF_SQL = """with sig as (select cluster_id, string_agg(s::string, ',' order by s) k from members group by 1), old as (select cluster_id, k from sig where cluster_id not in ('A_03', 'G_02')),
   same as (select n.cluster_id, o.cluster_id prev from sig n join old o on left(n.cluster_id, 1) = left(o.cluster_id, 1) and n.k = o.k join clusters c on c.cluster_id = n.cluster_id where c.valid = 1)
   select s.cluster_id, s.prev from same s where not exists (select 1 from (select cluster_id, unnest(string_split(fit_with, ',')) f from clusters where fit_with <> '') e where e.cluster_id = s.cluster_id and e.f not in (select cluster_id from same))"""
 
 
 @query()
 def join_prev_vcf(x):
-    return reuse.reusable_clusters(x.clusters, x.members, x.members.where("cluster_id <> 'A_03'"))
+    previous = x.members.where("cluster_id <> 'A_03'").withColumn("min_gq", F.when(F.col("cluster_id") == "G_02", "7.0").otherwise("5.0"))
+    return reuse.reusable_clusters(x.clusters, x.members, previous, "5.0")
 
 
 SQL["join_prev_vcf"] = sql("select * from (" + PREV_VCF_SQL + ")")
@@ -474,7 +516,7 @@ def agg_calls(x):
 
 @query("select s, cn, first_w, last_w, round(fr, 6) fr from ratios")
 def agg_fragrat(x):
-    return ca.frag_ratios(x.calls, x.autosomes, x.models).select("s", "cn", "first_w", "last_w", r("fr", 6))
+    return ca.frag_ratios(x.calls, x.fpm, x.models).select("s", "cn", "first_w", "last_w", r("fr", 6))
 
 
 BATCHED_SQL = f"(select m.cluster_id, b.batch, count(*) n from members m join (select sample_id, {BATCH_SQL} batch from metadata) b on b.sample_id = concat('S', m.s + 1) group by 1, 2)"
@@ -523,10 +565,10 @@ PSEUDO_SQL = """select chrom, st, en, id from e union all
 
 @query()
 def win_pseudo(x):
-    return wi.with_pseudo_exons(wi.merged(x.exons).where("st % 7 < 2"))
+    return wi.with_pseudo_exons(wi.merged(x.exons))
 
 
-SQL["win_pseudo"] = sql("select * from (with e as (select *, st - prev_end - 1 ied from (select *, max(en) over (partition by chrom order by st, en, id rows between unbounded preceding and 1 preceding) prev_end from merged_exons where st % 7 < 2)) " + PSEUDO_SQL + ")")
+SQL["win_pseudo"] = sql("select * from (with e as (select *, st - prev_end - 1 ied from (select *, max(en) over (partition by chrom order by st, en, id rows between unbounded preceding and 1 preceding) prev_end from merged_exons)) " + PSEUDO_SQL + ")")
 
 
 @query("select max_ied, dmax from cutoffs")
@@ -557,7 +599,7 @@ def win_adj(x):
 
 @query("select s, cn, first_w, last_w, chrom, pos, end_pos, s1, e1, s2, e2 from ranged")
 def win_bpr(x):
-    c = ca.frag_ratios(x.calls, x.autosomes, x.models)
+    c = ca.frag_ratios(x.calls, x.fpm, x.models)
     return ca.break_ranges(c, x.windows, x.models, PAD).select("s", "cn", "first_w", "last_w", "chrom", "pos", "end_pos", "s1", "e1", "s2", "e2")
 
 
@@ -615,7 +657,7 @@ VCFKEY = "(select unnest(['1', 'chr2', 'chr11', 'X', 'chrY', 'M', 'chrMT', 'chrZ
 
 
 @query(f"""select chrom, case when regexp_matches(b, '^[0-9]+$') then try_cast(b as bigint) when b = 'X' then 1023 when b = 'Y' then 1024 when b in ('M', 'MT') then 1025
-  else 1100 + ('0x' || right(sha256(b), 12))::bigint % 1000 end ckey from (select chrom, regexp_replace(chrom, '^chr', '') b from {VCFKEY})""")
+  else 1100 + {_digest("b")} end ckey from (select chrom, regexp_replace(chrom, '^chr', '') b from {VCFKEY})""")
 def srt_vcfkey(x):
     c = x.spark.createDataFrame([(v,) for v in ("1", "chr2", "chr11", "X", "chrY", "M", "chrMT", "chrZ", "W", "scaffold_7")], "chrom string")
     return c.select("chrom", fn.vcf_key(F.col("chrom")).alias("ckey"))
@@ -647,7 +689,8 @@ def set_union(x):
     return x.members.where("cluster_id = 'A_01'").select("s").unionByName(x.members.where("cluster_id = 'G_02'").select("s")).distinct()
 
 
-@query("select true same_windows, false same_samples")
+@query("""select (select count(*) from (select chrom, st, en, id from windows except all select chrom, st, en, id from windows)) = 0 same_windows,
+  (select count(*) from (select s from samples except all select s from samples where s < 16)) + (select count(*) from (select s from samples where s < 16 except all select s from samples)) = 0 same_samples""")
 def set_equal(x):
     w = x.windows.select("chrom", "st", "en", "id")
     return reuse.equal(w, w).withColumnRenamed("same", "same_windows").crossJoin(reuse.equal(x.samples, x.samples.where("s < 16")).withColumnRenamed("same", "same_samples"))
@@ -723,14 +766,14 @@ def fn_argmax4(x):
     return x.lik.select("s", "widx", mo.best_state(one, one, one, one).alias("best"))
 
 
-@query("select 2.0::double cut, 0.879625661034 sd from (select 1)".replace("0.879625661034 sd", "0.879625661034::double sd"))
+@query("select 2.0::double cut, round(sqrt(sum(v * v * exp(-v * v / 2)) / sum(exp(-v * v / 2))), 8) sd from (select (i + 0.5) / 100000.0::double - 2 v from (select unnest(range(400000)) i))")
 def fn_erf(x):
-    return qc.truncated_sd(x.spark, 2.0)
+    return qc.truncated_sd(x.spark, 2.0).withColumn("sd", F.round("sd", 8))
 
 
 @query("select s, cn, first_w, last_w, case when cn = 1 or (cn = 3 and fr < 1.9) then '0/1' else '1/1' end gt from rated")
 def fn_geno(x):
-    c = ca.frag_ratios(x.calls, x.autosomes, x.models)
+    c = ca.frag_ratios(x.calls, x.fpm, x.models)
     return c.select("s", "cn", "first_w", "last_w", fn.genotype(F.col("cn"), F.col("fr")).alias("gt"))
 
 
@@ -791,7 +834,7 @@ def _decoded(x, min_gq=5.0):
     m = [[0.0] * 4 for _ in range(4)]
     for t in hmm.transitions(x.lik, x.windows, x.priors, x.cutoffs.max_ied).collect():  # sixteen numbers
         m[t["prev"]][t["cur"]] = t["p"]
-    return hmm.viterbi(x.lik, x.windows, m, x.priors, x.cutoffs.dmax, min_gq)
+    return hmm.viterbi(x.lik, x.windows, {None: (m, x.priors, x.cutoffs.dmax)}, min_gq)
 
 
 @query()
@@ -807,6 +850,61 @@ def ml_buildcnv(x):
     return d.select("s", "chrom", "st", "en", "cn", fn.sv_type(F.col("cn")).alias("svtype"), F.round("qs", 6).alias("qs"))
 
 
+HAPLOID = "s % 4 in (1, 3)"  # samples of the male cluster of the fixture
+
+
+def _haploid_sql(body: str) -> str:
+    """The chain of models on the sex chromosomes of the male cluster: no state of one copy, and a state of more copies at twice the mean."""
+    out = sql(body)
+    for a, b in (
+        ("autos as (select * from fpm where wtype = 0)", f"autos as (select * from fpm where wtype = 1 and {HAPLOID})"),
+        ("count(*) n from fpm where wtype = 2)", f"count(*) n from fpm where wtype = 2 and {HAPLOID})"),
+        ("when mu / 2 - sd <= fpm_cn0 then 1 else 0 end", "else 0 end"),
+        ("case when ecode = 1 then 0.0 else exp(-0.5 * ((fpm - mu / 2) / (sd / 2)) ** 2) / (sd / 2 * sqrt(2 * pi())) end l1", "0.0::double l1"),
+        ("- ln(mu)) / 0.5", "- ln(2 * mu)) / 0.5"),
+    ):
+        if a in out:
+            out = out.replace(a, b)
+    return out
+
+
+@query()
+def ml_ecode_haploid(x):
+    return x.pooled_models.where("cluster_id = 'G_02'").select("widx", "ecode")
+
+
+SQL["ml_ecode_haploid"] = _haploid_sql("select widx, ecode from models")
+
+
+@query()
+def ml_lik_haploid(x):
+    d = calling.likelihoods(x.pool, x.pooled_models).where("cluster_id = 'G_02'")
+    return d.select("s", "widx", *[F.round(F.col(f"l{i}") * 1e6, 6).alias(f"l{i}") for i in range(4)])
+
+
+SQL["ml_lik_haploid"] = _haploid_sql("select s, widx, " + ", ".join(f"round(l{i} * 1e6, 6) l{i}" for i in range(4)) + " from lik")
+
+
+@query()
+def run_calls(x):
+    """CNVs of all samples of all valid clusters, each by the models of its cluster."""
+    found, _ = calling.call(x.fpm, x.clusters, x.members, x.windows)
+    return found.withColumn("qs", F.round("qs", 6))
+
+
+@query()
+def run_genotypes(x):
+    """From counts to merged genotypes: clusters found and gendered from the counts, called each on its own, merged over all samples."""
+    auto, gono = cl.clusters(x.autosomes, "A", MIN_SAMPLES), cl.clusters(x.fpm.where("wtype = 1"), "G", MIN_SAMPLES)
+    found = written(auto.unionByName(gono), "clusters")  # a row per sample and kind
+    sexes = cl.gender(x.fpm.where("wtype = 1"), mo.captured(x.fpm), found.where("cluster_id like 'G%'").select("cluster_id", "s")).select("cluster_id", "gender")
+    clusters = found.groupBy("cluster_id").agg(F.first("fit_with").alias("fit_with"), F.first("valid").cast("int").alias("valid")).join(sexes, "cluster_id", "left").withColumn("gender", F.coalesce("gender", F.lit("")))
+    g = calling.genotypes(written(x.fpm, "fpm"), written(clusters, "judged"), found.select("cluster_id", "s"), x.windows, x.bps, PAD)
+    text_ = F.concat_ws(":", "gt", F.col("gq").cast("string"), F.format_string("%.2f", "fr"), "bpr", "bp")
+    rows = g.select("chrom", "pos", "end_pos", "alt", "s", text_.alias("text"), F.when(F.col("bp").isNull(), "GT:GQ:FR:BPR").otherwise("GT:GQ:FR:BPR:BP").alias("form"))
+    return ca.merged_sites([rows], x.samples)
+
+
 @query()
 def ml_pca(x):
     return cl.pca(x.autosomes).select("s", "dim", r("score", 2), r("share", 6))

@@ -31,16 +31,20 @@ def cluster_lines(clusters: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, header: list[str], order: list[str]) -> None:
-    """Header lines, then the lines in order, as text."""
+    """Header lines, then the lines in order, as one gzipped text file: the calls of a cohort, which a reader takes as one file."""
     spark = lines.sparkSession
-    top = spark.createDataFrame([(-len(header) + i, h) for i, h in enumerate(header)], "_k long, value string")
-    by = lines.orderBy(*order).select(F.monotonically_increasing_id().alias("_k"), "value")
-    top.unionByName(by).orderBy("_k").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
+    first = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order]
+    top = spark.createDataFrame([(i, h) for i, h in enumerate(header)], "_k int, value string").select("_k", "value", *first)
+    every = top.unionByName(lines.select(F.lit(len(header)).alias("_k"), "value", *order))
+    every.repartition(1).sortWithinPartitions("_k", *order).select("value").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
-def vcf_header(samples: list[str], min_gq: float) -> list[str]:
+def vcf_header(samples: list[str], min_gq: float, date: str, command: str = "") -> list[str]:
     return [
         "##fileformat=VCFv4.3",
+        f"##fileDate={date}",
+        "##source=tallyhelix",
+        f"##tallyhelix_commandLine={command}",
         f"##tallyhelix_minGQ={min_gq}",
         '##ALT=<ID=DEL,Description="Deletion">',
         '##ALT=<ID=DUP,Description="Duplication">',
