@@ -89,9 +89,9 @@ def first_low_and_high(curve: DataFrame, window: int = 20) -> DataFrame:
     """
     per = curve.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("c"))
     low = per.withColumn("low", _first_extreme(F.col("c"), F.col("c")[0], window, True))
-    low = low.withColumn("from", F.filter("c", lambda q: F.col("low.done") & (q["i"] == F.col("low.at")))[0])
+    low = low.withColumn("from", F.get(F.filter("c", lambda q: F.col("low.done") & (q["i"] == F.col("low.at"))), F.lit(0)))
     both = low.withColumn("high", F.when(F.col("low.done"), _first_extreme(F.col("c"), F.col("from"), window, False)))
-    at = lambda name: F.filter("c", lambda q: F.col(f"{name}.done") & (q["i"] == F.col(f"{name}.at")))[0]["x"]
+    at = lambda name: F.get(F.filter("c", lambda q: F.col(f"{name}.done") & (q["i"] == F.col(f"{name}.at"))), F.lit(0))["x"]
     ok = F.when(F.col("high.done"), F.try_divide(F.col("high.v") - F.col("low.v"), F.col("low.v")) >= 0.2)
     return both.select("s", F.round(at("low"), 3).alias("low_x"), F.round(at("high"), 3).alias("high_x"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
