@@ -9,9 +9,11 @@ are counted in each fragment apart and summed per pair. The two rarest fragments
 are counted first, and pairs that cannot reach the threshold any more go no further.
 Equal sets are one node from the start, with the number of their documents.
 
-Components come first: every set against one leader of each of its keys, then those of one key that are still in different
-components. Links are counted after that within each component, as both ends of a link are in one: its sets are dealt into blocks of bounded
-size, each pair of blocks is one group, and there the overlaps of all pairs are summed fragment by fragment as products of 0-1 matrices. No pair leaves its group as a row.
+Components come first: every set is compared with one leader of each of its keys. Sets that are at least half like a leader have the likest one as their home;
+those of one home are compared with each other in blocks, and what shares a key but neither home nor component pair by pair, so no candidate is left out.
+Links are counted after that within each component, as both ends of a link are in one. Blocks: the sets of a home or component are dealt into blocks of bounded
+size, each pair of blocks is one group, and there the overlaps of all pairs are summed fragment by fragment as products of 0-1 matrices. No pair leaves its group as a
+row, only counts of links, or of a group's links those of a forest that spans them.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing;
 one to four words are one shingle; repeated rows link; ties have no influence; an empty table gives no
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, linked, read, shared_keys
+from .common import Scratch, components, read, shared_keys
 from .hashing import U, mix, space_bytes, words
 from .words import slices
 
@@ -42,6 +44,8 @@ FILTER_BITS = 1 << 23
 AT_ONCE = 1 << 18
 #: Shingles and sets of a block, on average, and columns of a matrix.
 SHINGLES, MEMBERS, COLUMNS = 1 << 18, 512, 4096
+#: A leader that is so like a set, as PART * intersection >= HOME * union, can be its home.
+HOME = 50
 #: Odd numbers that tell the places of a shingle's words apart.
 PLACES = tuple(mix(np.arange(1, N + 1, dtype=U)) | U(1))
 
@@ -254,53 +258,90 @@ def shared_counts(sets: list[np.ndarray], first: int, pivots: np.ndarray) -> np.
     return total
 
 
-def links_of_blocks(rows: dict, i: int, j: int, pivots: np.ndarray) -> tuple[list, list]:
-    """(ids, numbers of documents linked with) of blocks i and j, of one with itself where they are the same; rows: id -> (block, copies, set)."""
+def links_of_blocks(rows: dict, i: int, j: int, pivots: np.ndarray) -> tuple[list, list, np.ndarray]:
+    """(ids of block i, ids of block j, which of them link); rows: id -> (block, copies, set)."""
     a, b = sorted(k for k in rows if rows[k][0] == i), sorted(k for k in rows if rows[k][0] == j)
     if not a or not b:
-        return [], []
-    ids = a if i == j else a + b
-    got = shared_counts([rows[k][2] for k in ids], 0 if i == j else len(a), pivots)
+        return a, b, np.zeros((len(a), len(b)), bool)
+    got = shared_counts([rows[k][2] for k in (a if i == j else a + b)], 0 if i == j else len(a), pivots)
     na, nb = (np.array([len(rows[k][2]) for k in x], np.int64) for x in (a, b))
-    ca, cb = (np.array([rows[k][1] for k in x], np.int64) for x in (a, b))
     link = (PART + LEAST) * got >= LEAST * (na[:, None] + nb[None, :])
     if i == j:
         np.fill_diagonal(link, False)
-        return ids, (link @ cb).tolist()
-    return ids, (link @ cb).tolist() + (link.T @ ca).tolist()
+    return a, b, link
+
+
+def forest(a: list, b: list, link: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all that ``link`` connects, fewer than there are ids."""
+    up: dict = {k: k for k in [*a, *b]}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for x, row in zip(a, link, strict=True):
+        for y in np.flatnonzero(row).tolist():
+            p, q = top(x), top(b[y])
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                out.append((x, b[y]))
+    return out
 
 
-def link_counts(members: DataFrame, segs: DataFrame, order: Order) -> DataFrame:
-    """(sig, near): documents of other sets that each set links with; members (sig, comp, copies, n), segs (id, part) whole sets."""
-    per = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+def by_blocks(members: DataFrame, segs: DataFrame, order: Order, give, schema: str) -> DataFrame:
+    """give(rows, i, j) of every pair of blocks of every group; members (sig, grp, copies, n), segs (id, part) whole sets."""
+    per = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
     per = per.withColumn("blocks", F.greatest(F.ceil(F.col("size") / SHINGLES), F.ceil(F.col("m") / MEMBERS)).cast("int"))
-    own = members.join(per, "comp").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int"))
+    own = members.join(per, "grp").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int"))
     own = own.join(segs.select(F.col("id").alias("sig"), "part"), "sig")
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "copies", "part")
-    pivots = order.pivots
+    met = met.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "copies", "part")
 
     def run(batches):
         now, rows = None, {}
         for b in batches:
-            keys = list(zip(*[b.column(c).to_pylist() for c in ("comp", "i", "j")], strict=True))
+            keys = list(zip(*[b.column(c).to_pylist() for c in ("grp", "i", "j")], strict=True))
             block, sig, copies, part = (b.column(c) for c in ("block", "sig", "copies", "part"))
             for r, k in enumerate(keys):
                 if k != now:
                     if rows:
-                        yield flush(now, rows)
+                        yield give(rows, *now[1:])
                     now, rows = k, {}
                 rows[sig[r].as_py()] = (block[r].as_py(), copies[r].as_py(), np.asarray(part[r].values).view(U))
         if rows:
-            yield flush(now, rows)
+            yield give(rows, *now[1:])
+
+    by = ["grp", "i", "j"]
+    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def link_counts(members: DataFrame, segs: DataFrame, order: Order) -> DataFrame:
+    """(sig, near): documents of other sets of its group that each set links with."""
+    pivots = order.pivots
 
-    def flush(now, rows):
-        ids, near = links_of_blocks(rows, *now[1:], pivots)
+    def give(rows, i, j):
+        a, b, link = links_of_blocks(rows, i, j, pivots)
+        ca, cb = (np.array([rows[k][1] for k in x], np.int64) for x in (a, b))
+        ids, near = a, (link @ cb).tolist()
+        if i != j:
+            ids, near = a + b, near + (link.T @ ca).tolist()
         return pa.RecordBatch.from_pydict({"sig": pa.array(ids, pa.int64()), "near": pa.array(near, pa.int64())})
 
-    by = ["comp", "i", "j"]
-    found = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "sig long, near long")
-    return found.groupBy("sig").agg(F.sum("near").alias("near"))
+    return by_blocks(members, segs, order, give, "sig long, near long").groupBy("sig").agg(F.sum("near").alias("near"))
+
+
+def spanning_links(members: DataFrame, segs: DataFrame, order: Order) -> DataFrame:
+    """(a, b): links within groups, enough to connect all that link."""
+    pivots = order.pivots
+
+    def give(rows, i, j):
+        edges = forest(*links_of_blocks(rows, i, j, pivots))
+        return pa.RecordBatch.from_pydict({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return by_blocks(members, segs, order, give, "a long, b long")
 
 
 def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> DataFrame:
@@ -312,24 +353,60 @@ def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> Data
     full = t.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
     named = scratch.table(full, "named")  # a text of each set
 
-    def parts(ids: DataFrame, low: int, high: int) -> DataFrame:
-        return scratch.table(segments(docs, order, id_filter(named.join(ids, "sig")), low, high), "segments")
+    def parts(ids: DataFrame, low: int, high: int, whole: bool = False) -> DataFrame:
+        return scratch.table(segments(docs, order, id_filter(named.join(ids, "sig")), low, high, whole), "segments")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        enough = f"{PART + LEAST} * (got + {{}}) >= {LEAST} * (na + nb)"
+    def verify(pairs: DataFrame, least: int) -> DataFrame:
+        """(a, b, got, na, nb) of pairs with PART * intersection >= least * union."""
+        enough = f"{PART + least} * (got + {{}}) >= {least} * (na + nb)"
         segs = parts(ends(pairs), 0, FIRST)
         early = scratch.table(overlaps(pairs, segs, 0, FIRST).where(enough.format("rest")), "early", pairs.count())
         scratch.drop(segs)
         scratch.free()
         segs = parts(ends(early), FIRST, FRAGMENTS)
         late = overlaps(early.select("a", "b"), segs, FIRST, FRAGMENTS).select("a", "b", F.col("got").alias("more"))
-        return early.join(late, ["a", "b"]).where(enough.format("more")).select("a", "b")
-
-    comps = linked(scratch, met, verify, FITS, rounds=1)
-    scratch.drop(met)
+        out = scratch.table(early.join(late, ["a", "b"]).where(enough.format("more")).select("a", "b", (F.col("got") + F.col("more")).alias("got"), "na", "nb"), "verified", pairs.count())
+        scratch.drop(segs, early)
+        scratch.free()
+        return out
+
+    def candidates(x: DataFrame, y: DataFrame, where: str) -> DataFrame:
+        return scratch.table(x.join(y, "key").where(f"{where} and {FITS}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+
+    # every set against the leader, the least id, of each of its keys
+    x = met.select("key", F.struct("id", "n", "pos").alias("x"))
+    led = verify(candidates(x.groupBy("key").agg(F.min("x").alias("x")), met.select("key", F.struct("id", "n", "pos").alias("y")), "x.id < y.id"), HOME)
+    found = led.where(f"{PART + LEAST} * got >= {LEAST} * (na + nb)").select("a", "b")
+    like = F.col("got") / (F.col("na") + F.col("nb") - F.col("got"))
+    homes = scratch.table(led.groupBy("b").agg(F.max_by("a", F.struct(like, -F.col("a"))).alias("home")).withColumnRenamed("b", "id"), "homes")
+    comps = scratch.table(components(scratch, found), "leaders")
+    where = named.select(F.col("sig").alias("id"), "copies", "n").join(comps, "id", "left").join(homes, "id", "left")
+    where = scratch.table(where.select("id", "copies", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("home", "id").alias("home")), "where")
+
+    # those of one home, in blocks
+    open_ = where.groupBy("home").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("home")
+    crowd = scratch.table(where.join(open_, "home").select(F.col("id").alias("sig"), F.col("home").alias("grp"), "copies", "n"), "crowd")
+    if not crowd.isEmpty():
+        segs = parts(crowd.select("sig"), 0, FRAGMENTS, whole=True)
+        found = found.unionByName(scratch.table(spanning_links(crowd, segs, order), "spans"))
+        scratch.drop(segs)
+        comps = scratch.table(components(scratch, found), "homed")
+        where = where.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    # those that share a key, but neither home nor component
+    here = met.join(where.select("id", "comp", "home"), "id")
+    open_ = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("c0 <> c1 and h0 <> h1").select("key")
+    here = scratch.table(here.join(open_, "key"), "mixed")
+    side = lambda name: here.select("key", F.struct("id", "n", "pos", "comp", "home").alias(name))
+    rest = candidates(side("x"), side("y"), "x.id < y.id and x.comp <> y.comp and x.home <> y.home").join(led.select("a", "b"), ["a", "b"], "left_anti")
+    rest = scratch.table(rest, "rest")
+    if not rest.isEmpty():
+        more = verify(rest, LEAST).select("a", "b")
+        comps = scratch.table(components(scratch, found.unionByName(more)), "comps")
+    scratch.drop(met, here)
     of_sets = named.select("sig", "copies", "n").join(comps.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     of_sets = scratch.table(of_sets, "components")
     least = t.where("n_shingles > 0").select("doc_id", "sig").join(of_sets.select("sig", "comp"), "sig").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -337,9 +414,8 @@ def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> Data
     if links:
         size = of_sets.groupBy("comp").agg(F.count("*").alias("m"), F.sum("copies").alias("all"))
         of_sets = scratch.table(of_sets.join(size, "comp"), "sizes")
-        crowd = of_sets.where("m > 2").select("sig", "comp", "copies", "n")
-        whole = segments(docs, order, id_filter(named.join(crowd.select("sig"), "sig")), 0, FRAGMENTS, whole=True)
-        near = scratch.table(link_counts(crowd, whole, order), "near")
+        crowd = of_sets.where("m > 2").select("sig", F.col("comp").alias("grp"), "copies", "n")
+        near = scratch.table(link_counts(crowd, parts(crowd.select("sig"), 0, FRAGMENTS, whole=True), order), "near")
         # the two sets of a component of two link with each other
         of_sets = of_sets.join(near, "sig", "left").withColumn("n_links", F.col("copies") - 1 + F.when(F.col("m") == 2, F.col("all") - F.col("copies")).otherwise(F.coalesce("near", F.lit(0))))
         more = ["n_links"]
