@@ -385,16 +385,80 @@ def test_toxicity_ignores_held_out_labels(spark, scratch):
     assert a == b
 
 
+def symbols(word):
+    """(context, event) of every byte and the end of a word."""
+    w = bytes([toxicity.BEGIN]) + word + bytes([toxicity.END])
+    return [(w[max(0, i - toxicity.CONTEXT) : i], w[i]) for i in range(1, len(w))]
+
+
+def as_number(context, event):
+    return sum(b << (8 * j) for j, b in enumerate(reversed(context), 1)) | event
+
+
 def test_every_byte_is_an_event():
-    texts = [b"abcdefghijkl xy", "漢字漢字漢字".encode(), b"x" * 5000, b"zcdefghijk"]
+    texts = [b"abcdefghijkl xy", "漢字漢字漢字".encode(), b"x" * 5000, b"Zcdefghijk"]
     kind, start, end, _ = toxicity.words_at(texts, toxicity.letter_bytes())
-    events = defaultdict(list)
-    for word, parent, h, _, last in toxicity.prefixes(kind, start, end):
-        for w, p, e, b in zip(word.tolist(), parent.tolist(), h.tolist(), last.tolist(), strict=True):
-            events[w].append((p, e, b))
-    assert [bytes(b for *_, b in events[w]) for w in range(5)] == [b"abcdefghijkl", b"xy", texts[1], texts[2], texts[3]]
-    assert events[0][9:11] == events[4][8:10]  # i, j, k after the same six bytes, at other places of their words
-    assert len(set(events[3])) == toxicity.ORDER + 1  # inside a long word the context is the same
+    got = defaultdict(list)
+    for w, c in zip(*(x.tolist() for x in toxicity.events(kind, start, end)), strict=True):
+        got[w].append(c)
+    for w, word in enumerate([b"abcdefghijkl", b"xy", texts[1], texts[2], b"zcdefghijk"]):
+        assert got[w] == [as_number(*e) for e in symbols(word)]
+    assert got[0][9:11] == got[4][8:10]  # j, k after the same six bytes, at other places of their words
+
+
+def plain_kneser_ney(counts):
+    """event -> log ratio of both classes, by the formulas, with dictionaries; counts: (context, event) -> (ordinary, toxic)."""
+    d, ds, m = toxicity.DISCOUNT, toxicity.SHARED_DISCOUNT, toxicity.CONTEXT
+    kinds = [set() for _ in range(m)]
+    longer = set(counts)
+    times = []
+    for k in range(m - 1, -1, -1):
+        n = Counter((c[len(c) - k :] if len(c) > k else c, e) for c, e in longer)
+        times.append((k, n))
+        longer = set(n)
+    assert len(kinds) == len(times)
+
+    def lower(c, e, k):
+        if k < 0:
+            return 1 / 256
+        n = dict(times)[k]
+        c = c[len(c) - k :] if len(c) > k else c
+        same = {x: v for (y, x), v in n.items() if y == c}
+        return (max(same[e] - ds, 0) + ds * len(same) * lower(c, e, k - 1)) / sum(same.values())
+
+    out = {}
+    for c, e in counts:
+        same = {x: v for (y, x), v in counts.items() if y == c}
+
+        def over(n, base, off):
+            total = sum(n.values())
+            left = 1 - sum(max(v - off, 0) for v in n.values()) / max(total, 1)
+            return max(n[e] - off, 0) / max(total, 1) + left * base
+
+        pooled = over({x: v[0] + v[1] for x, v in same.items()}, lower(c, e, m - 1), ds)
+        out[c, e] = np.log(over({x: v[1] for x, v in same.items()}, pooled, d) / over({x: v[0] for x, v in same.items()}, pooled, d))
+    return out
+
+
+def test_models_against_plain_kneser_ney():
+    r = random.Random(21)
+    counts = defaultdict(lambda: [0, 0])
+    for _ in range(500):
+        y = int(r.random() < 0.3)
+        word = "".join(r.choice("abc") for _ in range(r.randint(1, 9))) if r.random() < 0.6 or not y else "bad" + r.choice("abc") * r.randint(0, 6)
+        for e in symbols(word.encode()):
+            counts[e][y] += 1
+    want = plain_kneser_ney(counts)
+    rows = sorted((as_number(*k), *v) for k, v in counts.items())
+    code, ordinary, toxic = (np.array(x) for x in zip(*rows, strict=True))
+    keys, ratio = toxicity.fit(code, toxicity.shared_lower(code), ordinary, toxic)
+    got = dict(zip(keys.tolist(), ratio.tolist(), strict=True))
+    assert all(got.get(as_number(*k), 0.0) == pytest.approx(v, abs=1e-12) for k, v in want.items())
+    # a document: each word by the mixture, ordinary words and unknown ones included
+    text = "bada abcabc badbadbad zzz ca"
+    total, n = toxicity.evidence([text, None, ""], (keys, ratio))
+    per = [sum(want.get(e, 0.0) for e in symbols(w.encode())) for w in text.split()]
+    assert total[0] == pytest.approx(sum(np.log(1 - toxicity.SHARE + toxicity.SHARE * np.exp(x)) for x in per)) and total[1] == total[2] == 0 and n.tolist() == [5, 0, 0]
 
 
 def test_toxicity_after_the_seventh_byte(spark, scratch):
@@ -406,12 +470,12 @@ def test_toxicity_after_the_seventh_byte(spark, scratch):
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.97
 
 
-def test_rare_prefixes_are_counted(spark, monkeypatch):
+def test_rare_events_are_counted(spark):
     ship(spark)
-    monkeypatch.setattr(toxicity, "TABLE", 3, raising=False)
     sample = spark.createDataFrame([(0, 0, "one two"), (1, 1, "one three")], "y int, part int, text string")
     got = toxicity._sample_counts(sample).collect()
-    assert len(got) == 3 + 3 + 4 and sum(r.c0 + r.c3 for r in got) == 3 + 3 + 3 + 5
+    # the end of a word is an event; "two" and "three" share their first
+    assert len(got) == 4 + 4 + 5 and sum(r.c0 for r in got) == 8 and sum(r.c3 for r in got) == 10
 
 
 def test_toxicity_odd(spark, docs, scratch):
@@ -594,8 +658,52 @@ def test_nearest(spark, scratch):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), scratch).count() == 0
 
 
+def test_neighbours_widen_until_enough(spark, scratch, monkeypatch):
+    monkeypatch.setattr(ann, "RECALL", 0.0)
+    monkeypatch.setattr(ann, "LEAF", 2)
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(0, 1, (60, 6)) * 0.01 + c for c in rng.normal(0, 1, (8, 6)) * 5] + [rng.normal(0, 1, (3, 6)) * 9])
+    rows = [(i * 25, v.tolist()) for i, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scratch).collect()
+    per = Counter(r.query_id for r in got)
+    assert set(per) == {i for i, _ in rows if i % 50 == 0} and set(per.values()) == {5}
+
+
 # --- pipeline
 
+#: Every name that a stage works with, as an extra column.
+CLASH = "id row at line gone keep keys key norm sim len comp home sig n first text_ before after _before own score _score of rate copy _rate _copy _source size grp block part n_tokens token_ids decoded decoded_sha256 component_id n_shingles lines kept _lines _kept doc v".split()
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "ngram_jaccard", "mixing", "bpe"])
+def test_stages_keep_any_columns_and_rows(spark, scratch, tmp_path, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    extra = [f"x{i}" for i in range(len(CLASH))]
+    base = prose(60, 70)
+    rows = [(1, base, "en", "a", 1), (1, base, "de", "a", 1), (2, changed(base, [30]), "en", None, 1), (2, prose(60, 71), "en", "a", 1), (3, None, None, None, None), (None, "nobody's own words here", "en", "b", 1), (4, "", "en", "b", 0)]
+    rows += [rows[0]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+    d = spark.createDataFrame([(*r, *extra) for r in rows], schema)
+    out = stage(spark, d, str(tmp_path))
+    got = out.collect()
+    if name != "bpe":
+        assert out.columns == d.columns and all(list(r[5:]) == extra for r in got)
+    else:
+        assert [c for c in d.columns if c != "text"] == out.columns[: len(d.columns) - 1] and out.columns[-3:] == ["_n_tokens", "_token_ids", "_decoded_sha256"]
+        assert len(got) == len(rows)
+    if name == "toxicity":
+        assert len(got) == len(rows)
+    if name == "line_dedup":
+        # the near copy, the row in another language and the equal row lose their only line
+        assert sorted((str(r.doc_id), r.text is None) for r in got) == [("1", False), ("2", False), ("3", True), ("4", False), ("None", False)]
+    if name == "ngram_jaccard":
+        assert sorted((str(r.doc_id), r.lang or "") for r in got) in ([("1", x), ("2", "en"), ("3", ""), ("4", "en"), ("None", "en")] for x in ("en", "de"))
+    assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_pipeline(spark, scratch):
@@ -606,6 +714,7 @@ def test_pipeline(spark, scratch):
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = scratch.table(stage(spark, docs, sf), name)
         before, after = docs.collect(), out.collect()
+        assert after
         if i < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
         if name == "toxicity":
