@@ -165,17 +165,34 @@ def nearest(vectors: DataFrame, scratch: Scratch, k: int = 5, every: int = EVERY
                 leaf = shared.value.leaf_of(unit(matrix(b.column("embedding"))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], names=["vec_id", "embedding", "leaf"])
 
-    def place_queries(batches):
-        for b in batches:
-            if b.num_rows:
-                q = unit(matrix(b.column("embedding")))
-                leaves = pa.array([shared.value.visit(r, visits) for r in q], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*b.columns, leaves], names=["vec_id", "embedding", "leaves"])
+    def place_queries(most: int):
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    q = unit(matrix(b.column("embedding")))
+                    leaves = pa.array([shared.value.visit(r, most) for r in q], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*b.columns, leaves], names=["vec_id", "embedding", "leaves"])
+
+        return run
 
     rows = scratch.table(v.mapInArrow(place_rows, "vec_id long, embedding array<double>, leaf long"), "rows")
-    asked = v.where(F.col("vec_id") % every == 0).mapInArrow(place_queries, "vec_id long, embedding array<double>, leaves array<long>")
-    asked = asked.select("vec_id", "embedding", F.explode("leaves").alias("leaf"))
-    asked = scratch.table(asked, "asked")
+    queries = v.where(F.col("vec_id") % every == 0)
+
+    def search(queries: DataFrame, leaves: int) -> DataFrame:
+        asked = queries.mapInArrow(place_queries(leaves), "vec_id long, embedding array<double>, leaves array<long>")
+        return found_in(rows, scratch.table(asked.select("vec_id", "embedding", F.explode("leaves").alias("leaf")), "asked"), scratch, k)
+
+    found = scratch.table(search(queries, visits), "found")
+    # queries whose leaves hold fewer than k others look through all leaves
+    enough = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    few = scratch.table(queries.join(enough, "vec_id", "left_anti"), "few")
+    if visits < tree.leaves and not few.isEmpty():
+        found = found.join(few.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(search(few, tree.leaves))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def found_in(rows: DataFrame, asked: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest rows in the leaves that each query visits."""
     # one row per leaf: at most BRANCH ** DEPTH of them
     parts = rows.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("sheets")), "leaf")
     parts = F.broadcast(scratch.table(parts, "parts"))

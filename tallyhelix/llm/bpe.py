@@ -10,7 +10,7 @@ Words of up to ``SHORT`` bytes are advanced together in numpy, one position at a
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; texts of any length
 and characters are encoded whole; names of special tokens within a text become their ids, as
-the library does by default; extra columns are kept by ``encode`` and not read by the query.
+the library does by default; a byte that no token covers is an error; extra columns are kept by ``encode`` and not read by the query.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import read
-from .words import CACHE, Splitter, byte_chars, chunks, default_path
+from .words import CACHE, Splitter, byte_chars, chunks, default_path, slices
 
 TOKENIZER = "word_bpe_49k.json"
 SHORT = 48
@@ -141,6 +141,8 @@ class Model:
             last.append(got)
         ids, j = [], len(syms)
         while j:
+            if last[j] < 0:
+                raise ValueError("a byte that no token covers")
             ids.append(last[j])
             j -= length[last[j]]
         return ids[::-1]
@@ -209,6 +211,8 @@ class Model:
             ids, j, col = [], int(lens[k]), last[:, k]
             while j:
                 t = int(col[j])
+                if t < 0:
+                    raise ValueError("a byte that no token covers")
                 ids.append(t)
                 j -= int(self.length[t])
             out[i] = ids[::-1]
@@ -261,19 +265,23 @@ def model(path: str) -> Model:
     return Model(default_path(path))
 
 
-def encode(df: DataFrame, path: str = TOKENIZER, text: str = "text") -> DataFrame:
-    """The rows with n_tokens, token_ids (binary, little-endian 32 bits each) and decoded; ``text`` is dropped."""
-    keep = [f for f in df.schema.fields if f.name not in (text, "n_tokens", "token_ids", "decoded")]
+#: Bytes of text that a worker takes at a time; a longer text is taken alone.
+AT_ONCE = 1 << 22
+
+
+def encode(df: DataFrame, path: str = TOKENIZER, text: str = "text", names: tuple[str, ...] = ("n_tokens", "token_ids", "decoded")) -> DataFrame:
+    """The rows with three columns called ``names``, which the others must lack: number of ids, ids (binary, little-endian 32 bits each), decoded text; ``text`` is dropped."""
+    keep = [f for f in df.schema.fields if f.name != text]
 
     def run(batches):
         m = model(path)
         for b in batches:
-            for a, z in chunks(texts := b.column(text).to_pylist(), 1 << 23):
-                got = m.encode_texts(texts[a:z])
+            for a, z, texts in slices(b.column(text), AT_ONCE):
+                got = m.encode_texts(texts)
                 part = b.slice(a, z - a)
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], pa.array([len(x) // 4 for x, _ in got], pa.int64()), pa.array([x for x, _ in got], pa.large_binary()).cast(pa.binary()), pa.array([y.decode("utf-8", "surrogatepass") for _, y in got], pa.string())], names=[*[f.name for f in keep], "n_tokens", "token_ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], pa.array([len(x) // 4 for x, _ in got], pa.int64()), pa.array([x for x, _ in got], pa.large_binary()).cast(pa.binary()), pa.array([y.decode("utf-8", "surrogatepass") for _, y in got], pa.string())], names=[*[f.name for f in keep], *names])
 
-    schema = type(df.schema)([*keep]).add("n_tokens", "long").add("token_ids", "binary").add("decoded", "string")
+    schema = type(df.schema)([*keep]).add(names[0], "long").add(names[1], "binary").add(names[2], "string")
     return df.select(*[f.name for f in keep], text).mapInArrow(run, schema)
 
 
@@ -283,10 +291,9 @@ def digests(df: DataFrame, path: str = TOKENIZER) -> DataFrame:
     def run(batches):
         m, sha = model(path), lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            got = []
-            for a, z in chunks(texts, 1 << 23):
-                got += [(len(x) // 4, sha(x), sha(y)) for x, y in m.encode_texts(texts[a:z])]
+            ids, got = b.column("doc_id"), []
+            for _, _, texts in slices(b.column("text"), AT_ONCE):
+                got += [(len(x) // 4, sha(x), sha(y)) for x, y in m.encode_texts(texts)]
             yield pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -28,6 +28,17 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each behind as many underscores as keep it apart from the columns (Spark ignores case) and the others."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 #: Rows of a narrow table that one task handles easily.
 ROWS = 200_000
 

@@ -6,7 +6,7 @@ decided by a hash of its id and a seed, so that reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows
 with a null id share one draw; repeated rows share the draw of their id; an empty table gives an
-empty result; other columns pass through, and working names are prefixed so they cannot clash.
+empty result; other columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, read
+from .common import WORD, Scratch, fresh, read
 
 #: Sources in code point order weigh these, repeating.
 WEIGHTS = (1, 2, 3)
@@ -61,14 +61,15 @@ def mix_plan(docs: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
 
 
 def mix(docs: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
-    """The documents, each as many times as the mix takes it; columns as given."""
+    """The documents, each as many times as the mix takes it; columns as given, of any name."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    per = scratch.table(docs.select("source", size.alias("_n")).groupBy("source").agg(F.sum("_n").alias("source_size")), "sources")
-    t = targets(per).select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
-    whole = F.floor("_rate")
-    copies = (whole + F.when(draw(F.col("doc_id"), seed) < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
-    out = docs.join(t, docs["source"].eqNullSafe(t["_source"]))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    per = scratch.table(docs.select("source", size.alias("n")).groupBy("source").agg(F.sum("n").alias("source_size")), "sources")
+    of, rate, copy = fresh(docs.columns, "of", "rate", "copy")
+    t = targets(per).select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
+    whole = F.floor(rate)
+    copies = (whole + F.when(draw(F.col("doc_id"), seed) < F.col(rate) - whole, 1).otherwise(0)).cast("int")
+    out = docs.join(t, F.col("source").eqNullSafe(F.col(of)))
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 def op7_mix(spark, sf_dir):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, read, shared_keys
+from .common import Scratch, components, fresh, read, shared_keys
 from .hashing import U, mix, space_bytes, words
 from .words import slices
 
@@ -424,5 +424,19 @@ def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> Data
     return out.unionByName(rest)
 
 
+def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of each group of documents that link, the row of the least id; rows are told apart by all their columns, so repeated ids do no harm."""
+    [own] = fresh(docs.columns, "own")
+    named = docs.withColumn(own, F.xxhash64(F.struct(*docs.columns)))
+    ids = scratch.table(named.select(F.col(own).alias("row"), F.col("doc_id").alias("id")), "ids")
+    comps = component_ids(named.select(F.col(own).alias("doc_id"), "text"), scratch, links=False)
+    least = ids.join(comps.select(F.col("doc_id").alias("row"), "component_id"), "row").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("least"))
+    stay = scratch.table(least.select(F.col("least.row").alias(own)), "stay")
+    out = named.join(stay, own, "left_semi")
+    if not ids.groupBy("row").count().where("count > 1").isEmpty():  # equal rows are one
+        out = out.dropDuplicates([own])
+    return out.drop(own)
+
+
 def op3_jaccard(spark, sf_dir):
     return component_ids(read(spark, sf_dir, "documents"), Scratch(spark, "op3"))

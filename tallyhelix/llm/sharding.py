@@ -23,7 +23,7 @@ from .common import Scratch, read
 PRIME = 2147483647
 #: Keys of the rounds: two for each double round.
 KEYS = ((1013904223, 1664525), (22695477, 12820163), (69069, 362437), (521288629, 88675123))
-#: Walks past the end of the grid; a grid has fewer than a spare cells, so chances of a longer walk vanish.
+#: Walks past the end of the grid; it has fewer than a spare cells, so a longer walk is next to impossible, and an error.
 WALKS = 64
 
 
@@ -43,7 +43,7 @@ def permuted(row: Column | str, n: int, keys=KEYS) -> Column:
     left = f"((s.l + {_mix('s.r', 'q.k')}) % {a}L)"
     body = f"named_struct('l', {left}, 'r', (s.r + {_mix(left, 'q.m')}) % {b}L)"
     once = lambda x: f"aggregate(array({steps}), named_struct('l', {x} div {b}L, 'r', {x} % {b}L), (s, q) -> {body}, s -> s.l * {b}L + s.r)"
-    walk = f"aggregate(sequence(1, {WALKS}), {once('_row')}, (x, i) -> case when x < {n}L then x else {once('x')} end)"
+    walk = f"aggregate(sequence(1, {WALKS}), {once('_row')}, (x, i) -> case when x < {n}L then x else {once('x')} end, x -> case when x < {n}L then x else raise_error('a walk left the grid too often') end)"
     return F.expr(f"transform(array({row}), _row -> {walk})[0]")
 
 
