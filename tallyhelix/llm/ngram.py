@@ -197,10 +197,10 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def segments(docs: DataFrame, order: Order, wanted: np.ndarray, low: int, high: int, whole: bool = False) -> DataFrame:
-    """(id, n, frag, part): the sets of documents that pass the filter, as places in the global order, cut into fragments low..high-1, or ``whole``."""
+def segments(docs: DataFrame, order: Order, wanted: np.ndarray, low: int, high: int) -> DataFrame:
+    """(id, n, frag, part): the sets of documents that pass the filter, as places in the global order, cut into fragments low..high-1."""
     shared = docs.sparkSession.sparkContext.broadcast((order, wanted))  # 5 MB
-    width = 1 if whole else high - low
+    width = high - low
 
     def run(batches):
         order, bits = shared.value
@@ -217,10 +217,10 @@ def segments(docs: DataFrame, order: Order, wanted: np.ndarray, low: int, high:
                     places[a:z].sort()
                 frag = order.fragment(places)
                 use = (frag >= low) & (frag < high)
-                cell = np.repeat(np.arange(len(texts)), n)[use] * width + (0 if whole else frag[use] - low)
+                cell = np.repeat(np.arange(len(texts)), n)[use] * width + frag[use] - low
                 count = np.bincount(cell, minlength=len(texts) * width)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(_signed(places[use])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, width)), pa.array(np.repeat(n, width), pa.int32()), pa.array(np.tile(np.arange(low, low + width), len(texts)), pa.int32()), lists], names=["id", "n", "frag", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, width)), pa.array(np.repeat(n, width), pa.int32()), pa.array(np.tile(np.arange(low, high), len(texts)), pa.int32()), lists], names=["id", "n", "frag", "part"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, n int, frag int, part array<long>")
 
@@ -237,38 +237,50 @@ def overlaps(pairs: DataFrame, segs: DataFrame, low: int, high: int) -> DataFram
     return both.groupBy("a", "b").agg(F.sum("k").alias("got"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.least(F.max("na") - F.sum("sa"), F.max("nb") - F.sum("sb")).alias("rest"))
 
 
-def shared_counts(sets: list[np.ndarray], first: int, pivots: np.ndarray) -> np.ndarray:
-    """Overlaps of the sets before ``first`` with those from there on, or of all with all where nothing is before: partial overlaps of each fragment, summed."""
-    total = np.zeros((first or len(sets), len(sets) - first), np.int64)
-    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    every = np.concatenate(sets)
-    frag = np.searchsorted(pivots, every, "right")
-    for f in np.unique(frag).tolist():
-        _, col, times = np.unique(every[frag == f], return_inverse=True, return_counts=True)
-        rank = np.cumsum(times > 1) - 1  # what only one set has is in no overlap
-        some = (times > 1)[col]
-        row, col, wide = own[frag == f][some], rank[col[some]], int(rank[-1]) + 1
-        for c in range(0, wide, COLUMNS):
-            here = (col >= c) & (col < c + COLUMNS)
-            m = np.zeros((len(sets), min(COLUMNS, wide - c)), np.float32)
-            m[row[here], col[here] - c] = 1
-            total += np.rint(m[: first or len(sets)] @ m[first:].T).astype(np.int64)
-    if not first:  # what one set has alone counts for itself only
-        np.fill_diagonal(total, [len(x) for x in sets])
+def partial_overlaps(size: np.ndarray, values: np.ndarray, first: int) -> np.ndarray:
+    """Overlaps of the sets before ``first`` with those from there on, or of all with all where nothing is before; sets are runs of ``size`` values."""
+    total = np.zeros((first or len(size), len(size) - first), np.int64)
+    _, col, times = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1  # what only one set has is in no overlap with another
+    some = (times > 1)[col]
+    row, col = np.repeat(np.arange(len(size)), size)[some], rank[col[some]]
+    wide = int(rank[-1]) + 1 if len(rank) else 0
+    for c in range(0, wide, COLUMNS):
+        here = (col >= c) & (col < c + COLUMNS)
+        m = np.zeros((len(size), min(COLUMNS, wide - c)), np.float32)
+        m[row[here], col[here] - c] = 1
+        total += np.rint(m[: first or len(size)] @ m[first:].T).astype(np.int64)
     return total
 
 
-def links_of_blocks(rows: dict, i: int, j: int, pivots: np.ndarray) -> tuple[list, list, np.ndarray]:
-    """(ids of block i, ids of block j, which of them link); rows: id -> (block, copies, set)."""
-    a, b = sorted(k for k in rows if rows[k][0] == i), sorted(k for k in rows if rows[k][0] == j)
-    if not a or not b:
-        return a, b, np.zeros((len(a), len(b)), bool)
-    got = shared_counts([rows[k][2] for k in (a if i == j else a + b)], 0 if i == j else len(a), pivots)
-    na, nb = (np.array([len(rows[k][2]) for k in x], np.int64) for x in (a, b))
-    link = (PART + LEAST) * got >= LEAST * (na[:, None] + nb[None, :])
-    if i == j:
-        np.fill_diagonal(link, False)
-    return a, b, link
+class Blocks:
+    """One pair of blocks of a group: overlaps of its sets, summed over the fragments as they come."""
+
+    def __init__(self, i: int, j: int):
+        self.same, self.i, self.ids, self.got = i == j, i, None, None
+
+    def add(self, sig, block, n, copies, size, values) -> None:
+        """One fragment of all sets, in the order of (block, sig); a set that comes twice, as copies of a text may have it do, counts once."""
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        values = values[np.repeat(new, size)]
+        sig, block, n, copies, size = (x[new] for x in (sig, block, n, copies, size))
+        if self.ids is None:
+            self.ids, self.n, self.copies = sig, n, copies
+            self.first = 0 if self.same else int((block == self.i).sum())
+        if self.same or 0 < self.first < len(sig):
+            part = partial_overlaps(size, values, self.first)
+            self.got = part if self.got is None else self.got + part
+
+    def links(self):
+        """(ids of the rows, ids of the columns, which of them link, copies of the rows, of the columns); None where a block has no sets."""
+        if self.got is None:
+            return None
+        a, b = slice(0, self.first or len(self.ids)), slice(self.first, len(self.ids))
+        link = (PART + LEAST) * self.got >= LEAST * (self.n[a, None] + self.n[None, b])
+        if self.same:
+            np.fill_diagonal(link, False)
+        return self.ids[a], self.ids[b], link, self.copies[a], self.copies[b]
 
 
 def forest(a: list, b: list, link: np.ndarray) -> list[tuple[int, int]]:
@@ -291,57 +303,75 @@ def forest(a: list, b: list, link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def by_blocks(members: DataFrame, segs: DataFrame, order: Order, give, schema: str) -> DataFrame:
-    """give(rows, i, j) of every pair of blocks of every group; members (sig, grp, copies, n), segs (id, part) whole sets."""
+def by_blocks(members: DataFrame, segs: DataFrame, give, schema: str) -> DataFrame:
+    """give(links) of every pair of blocks of every group; members (sig, grp, copies, n), segs (id, frag, part).
+
+    A task holds one fragment of two blocks at a time, and their matrix of overlaps.
+    """
     per = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
     per = per.withColumn("blocks", F.greatest(F.ceil(F.col("size") / SHINGLES), F.ceil(F.col("m") / MEMBERS)).cast("int"))
     own = members.join(per, "grp").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int"))
-    own = own.join(segs.select(F.col("id").alias("sig"), "part"), "sig")
+    own = own.join(segs.select(F.col("id").alias("sig"), "frag", "part"), "sig")
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "copies", "part")
+    met = met.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "frag", "block", "sig", "n", "copies", "part")
+    names = ("sig", "block", "n", "copies")
 
-    def run(batches):
-        now, rows = None, {}
+    def runs(batches):
+        """((grp, i, j, frag), columns) of each fragment of each pair of blocks."""
+        now, pieces = None, []
         for b in batches:
-            keys = list(zip(*[b.column(c).to_pylist() for c in ("grp", "i", "j")], strict=True))
-            block, sig, copies, part = (b.column(c) for c in ("block", "sig", "copies", "part"))
-            for r, k in enumerate(keys):
-                if k != now:
-                    if rows:
-                        yield give(rows, *now[1:])
-                    now, rows = k, {}
-                rows[sig[r].as_py()] = (block[r].as_py(), copies[r].as_py(), np.asarray(part[r].values).view(U))
-        if rows:
-            yield give(rows, *now[1:])
+            if not b.num_rows:
+                continue
+            keys = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("grp", "i", "j", "frag")], 1)
+            cols = [np.asarray(b.column(c)).astype(np.int64) for c in names]
+            size = np.asarray(pa.compute.list_value_length(b.column("part"))).astype(np.int64)
+            values, end = np.asarray(b.column("part").flatten()), np.cumsum(size)
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True):
+                key = tuple(keys[a].tolist())
+                if key != now and pieces:
+                    yield now, [np.concatenate(x) for x in zip(*pieces, strict=True)]
+                    pieces = []
+                now = key
+                pieces.append([*[c[a:z] for c in cols], size[a:z], values[end[a] - size[a] : end[z - 1]]])
+        if pieces:
+            yield now, [np.concatenate(x) for x in zip(*pieces, strict=True)]
+
+    def run(batches):
+        now, blocks = None, None
+        for key, cols in runs(batches):
+            if key[:3] != now:
+                if blocks and (got := blocks.links()):
+                    yield give(*got)
+                now, blocks = key[:3], Blocks(*key[1:3])
+            blocks.add(*cols)
+        if blocks and (got := blocks.links()):
+            yield give(*got)
 
     by = ["grp", "i", "j"]
-    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    return met.repartition(*by).sortWithinPartitions(*by, "frag", "block", "sig").mapInArrow(run, schema)
 
 
-def link_counts(members: DataFrame, segs: DataFrame, order: Order) -> DataFrame:
+def link_counts(members: DataFrame, segs: DataFrame) -> DataFrame:
     """(sig, near): documents of other sets of its group that each set links with."""
-    pivots = order.pivots
-
-    def give(rows, i, j):
-        a, b, link = links_of_blocks(rows, i, j, pivots)
-        ca, cb = (np.array([rows[k][1] for k in x], np.int64) for x in (a, b))
-        ids, near = a, (link @ cb).tolist()
-        if i != j:
-            ids, near = a + b, near + (link.T @ ca).tolist()
+
+    def give(a, b, link, copies_a, copies_b):
+        ids, near = a, link @ copies_b
+        if a[0] != b[0]:  # two blocks: a link counts on both sides
+            ids, near = np.concatenate([a, b]), np.concatenate([near, link.T @ copies_a])
         return pa.RecordBatch.from_pydict({"sig": pa.array(ids, pa.int64()), "near": pa.array(near, pa.int64())})
 
-    return by_blocks(members, segs, order, give, "sig long, near long").groupBy("sig").agg(F.sum("near").alias("near"))
+    return by_blocks(members, segs, give, "sig long, near long").groupBy("sig").agg(F.sum("near").alias("near"))
 
 
-def spanning_links(members: DataFrame, segs: DataFrame, order: Order) -> DataFrame:
+def spanning_links(members: DataFrame, segs: DataFrame) -> DataFrame:
     """(a, b): links within groups, enough to connect all that link."""
-    pivots = order.pivots
 
-    def give(rows, i, j):
-        edges = forest(*links_of_blocks(rows, i, j, pivots))
+    def give(a, b, link, *_):
+        edges = forest(a.tolist(), b.tolist(), link)
         return pa.RecordBatch.from_pydict({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
-    return by_blocks(members, segs, order, give, "a long, b long")
+    return by_blocks(members, segs, give, "a long, b long")
 
 
 def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> DataFrame:
@@ -353,8 +383,8 @@ def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> Data
     full = t.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
     named = scratch.table(full, "named")  # a text of each set
 
-    def parts(ids: DataFrame, low: int, high: int, whole: bool = False) -> DataFrame:
-        return scratch.table(segments(docs, order, id_filter(named.join(ids, "sig")), low, high, whole), "segments")
+    def parts(ids: DataFrame, low: int, high: int) -> DataFrame:
+        return scratch.table(segments(docs, order, id_filter(named.join(ids, "sig")), low, high), "segments")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
@@ -390,8 +420,8 @@ def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> Data
     open_ = where.groupBy("home").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("home")
     crowd = scratch.table(where.join(open_, "home").select(F.col("id").alias("sig"), F.col("home").alias("grp"), "copies", "n"), "crowd")
     if not crowd.isEmpty():
-        segs = parts(crowd.select("sig"), 0, FRAGMENTS, whole=True)
-        found = found.unionByName(scratch.table(spanning_links(crowd, segs, order), "spans"))
+        segs = parts(crowd.select("sig"), 0, FRAGMENTS)
+        found = found.unionByName(scratch.table(spanning_links(crowd, segs), "spans"))
         scratch.drop(segs)
         comps = scratch.table(components(scratch, found), "homed")
         where = where.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -415,7 +445,7 @@ def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> Data
         size = of_sets.groupBy("comp").agg(F.count("*").alias("m"), F.sum("copies").alias("all"))
         of_sets = scratch.table(of_sets.join(size, "comp"), "sizes")
         crowd = of_sets.where("m > 2").select("sig", F.col("comp").alias("grp"), "copies", "n")
-        near = scratch.table(link_counts(crowd, parts(crowd.select("sig"), 0, FRAGMENTS, whole=True), order), "near")
+        near = scratch.table(link_counts(crowd, parts(crowd.select("sig"), 0, FRAGMENTS)), "near")
         # the two sets of a component of two link with each other
         of_sets = of_sets.join(near, "sig", "left").withColumn("n_links", F.col("copies") - 1 + F.when(F.col("m") == 2, F.col("all") - F.col("copies")).otherwise(F.coalesce("near", F.lit(0))))
         more = ["n_links"]
