@@ -115,7 +115,8 @@ def edited(line, edits, r):
     return norm("".join(t))
 
 
-def test_near_lines_of_any_length_are_found(spark, scratch):
+def test_near_lines_of_any_length_are_found(spark, scratch, monkeypatch):
+    monkeypatch.setattr(linededup, "PASS", 40)
     r, base, near = random.Random(12), [], []
     for i in range(240):
         n = (1, 2, 3, 5, 8, 10, 15, 20, 30, 40, 60, 150)[i % 12]
@@ -130,6 +131,37 @@ def test_near_lines_of_any_length_are_found(spark, scratch):
     assert got[1] == len(base) and got[2] == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_recall_against_all_pairs(spark, scratch):
+    """Every pair of lines of the least edit similarity, by brute force over the normalised lines of the test data."""
+    import duckdb
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.explode(F.split("text", "\n")).alias("t"))
+    lines = sorted({norm(r.t) for r in d.collect()} - {""}, key=lambda x: (len(x), x))
+    size = np.array([len(x) for x in lines])
+    grams = np.zeros((len(lines), 512), np.int32)
+    for i, x in enumerate(lines):
+        c = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64)
+        np.add.at(grams[i], (c[:-1] * 7919 + c[1:] * 104729) % 512, 1)
+    some = []
+    for i in range(len(lines)):
+        last = int(np.searchsorted(size, size[i] / linededup.SIMILAR + 1e-9, "right"))
+        # an edit changes two pairs of neighbours in either line
+        far = np.abs(grams[i + 1 : last] - grams[i]).sum(1)
+        some += [(i, int(j)) for j in np.flatnonzero(far <= 4 * np.floor(size[i + 1 : last] / 10 + 1e-9)) + i + 1]
+    con = duckdb.connect()
+    con.execute("create table l(i int, t varchar)")
+    con.executemany("insert into l values (?, ?)", list(enumerate(lines)))
+    con.execute("create table p(a int, b int)")
+    con.executemany("insert into p values (?, ?)", some)
+    near = con.execute("select a, b from p join l x on x.i = a join l y on y.i = b where levenshtein(x.t, y.t) <= floor(greatest(length(x.t), length(y.t)) / 10 + 1e-9)").fetchall()
+    got = linededup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), scratch)
+    kept = {r.doc_id for r in got.where("_kept > 0").collect()}
+    missed = [p for p in near if kept.issuperset(p)]
+    print(f"{len(near)} near pairs, {len(missed)} missed")
+    assert len(near) >= 20 and len(missed) <= 0.1 * len(near)
+
+
 def test_short_lines_are_found_for_certain(spark):
     r, rows = random.Random(13), []
     while len(rows) < 300:
@@ -137,9 +169,10 @@ def test_short_lines_are_found_for_certain(spark):
         y = edited(x, r.randint(1, len(x) // 10), r) if len(x) >= 10 else ""
         longer = max(len(x), len(y))
         if y and longer < linededup.SHORT and distance(x, y) <= longer // 10:
-            rows.append((x, y))
-    k = spark.createDataFrame(rows, "x string, y string").select(linededup.keys(F.col("x")).alias("a"), linededup.keys(F.col("y")).alias("b")).collect()
-    assert all(set(v.a) & set(v.b) for v in k)
+            rows.append((x, y, longer // 10))
+    k = spark.createDataFrame(rows, "x string, y string, most int").select("most", linededup.keys(F.col("x")).alias("a"), linededup.keys(F.col("y")).alias("b")).collect()
+    low = (1 << linededup.PLACE) - 1
+    assert all(any(p >> linededup.PLACE == q >> linededup.PLACE and abs((p & low) - (q & low)) <= v.most for p in v.a for q in v.b) for v in k)
 
 
 def test_simhash_is_the_majority_of_words(spark):
