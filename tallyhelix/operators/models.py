@@ -97,8 +97,52 @@ def best_state(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
     return argmax(*[F.col(f"l{i}") * p for i, p in enumerate((p0, p1, p2, p3))])
 
 
+#: Values that one task sorts; more are first narrowed down, by so many bins at a time.
+SORTED, BINS = 1_000_000, 1024
+
+
+def _at_rank(values: DataFrame, rank: int, low: float, high: float) -> float:
+    """The value of a 0-based rank: the bin that holds it is cut into bins again, until one task can sort what is left."""
+    while True:
+        inside = values.where((F.col("v") >= low) & (F.col("v") <= high))
+        width = (high - low) / BINS
+        if width <= 0 or low + width == low or inside.count() <= SORTED:
+            return inside.agg(F.element_at(F.sort_array(F.collect_list("v")), rank + 1)).first()[0] if width > 0 else low
+        at = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1))
+        before = 0
+        for r in sorted(inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(), key=lambda r: r["bin"]):  # at most BINS rows
+            if rank < before + r["n"]:
+                rank, low, high = rank - before, r["lo"], r["hi"]
+                break
+            before += r["n"]
+
+
+def quantiles(cells: DataFrame, column: str, qs: list[float]) -> list[float] | None:
+    """Exact quantiles, between two values by linear interpolation; none of an empty table."""
+    values = cells.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    if n <= SORTED:
+        return list(values.agg(F.percentile("v", qs)).first()[0])
+    out = []
+    for q in qs:
+        place = q * (n - 1)
+        rank = int(place)
+        a = _at_rank(values, rank, low, high)
+        b = _at_rank(values, rank + 1, low, high) if place > rank else a
+        out.append(a + (b - a) * (place - rank))
+    return out
+
+
+def typed_quantiles(cells: DataFrame, qs: list[float]) -> DataFrame:
+    """(wtype, q<percent>...): quantiles of the values of each type of window."""
+    rows = [(t, *got) for t in (0, 1, 2) if (got := quantiles(cells.where(F.col("wtype") == t), "fpm", qs))]
+    return cells.sparkSession.createDataFrame(rows, "wtype int, " + ", ".join(f"q{int(q * 100)} double" for q in qs))
+
+
 def captured(cells: DataFrame) -> DataFrame:
     """Exons of X and Z whose 20% quantile exceeds the 99% quantile of all intergenic cells."""
-    limit = cells.where("wtype = 2").agg(F.percentile("fpm", 0.99).alias("limit"))
-    per = cells.where("wtype = 1").groupBy("widx", "chrom").agg(F.percentile("fpm", 0.2).alias("q20"))
-    return per.crossJoin(F.broadcast(limit)).where("q20 > limit")
+    limit = quantiles(cells.where("wtype = 2"), "fpm", [0.99])
+    per = cells.where("wtype = 1").groupBy("widx", "chrom").agg(F.percentile("fpm", 0.2).alias("q20"))  # one value per sample
+    return per.where(F.col("q20") > F.lit(limit[0] if limit else float("inf")))

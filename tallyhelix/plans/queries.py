@@ -468,7 +468,8 @@ def agg_median(x):
 
 @query("select wtype, " + ", ".join(f"round(quantile_cont(fpm, {q}), 3) q{int(q * 100)}" for q in (0.2, 0.5, 0.8, 0.9, 0.99)) + " from fpm group by wtype")
 def agg_quantile(x):
-    return x.fpm.groupBy("wtype").agg(*[F.round(F.percentile("fpm", q), 3).alias(f"q{int(q * 100)}") for q in (0.2, 0.5, 0.8, 0.9, 0.99)])
+    q = mo.typed_quantiles(x.fpm, [0.2, 0.5, 0.8, 0.9, 0.99])
+    return q.select("wtype", *[r(c) for c in q.columns[1:]])
 
 
 @query("select median_len, selected_ied from spacing")

@@ -299,3 +299,14 @@ def test_branch_scores_by_hand():
     z = cl.branch_scores(tree, 4, 2)
     assert z[0] == z[3] == 0.0
     assert z[4] == pytest.approx((9 - 1) / (0 + 1)) and z[5] == pytest.approx((8 - 2) / 1)
+
+
+def test_quantiles_narrow_down_to_the_exact_value(spark, monkeypatch):
+    monkeypatch.setattr(mo, "SORTED", 20)
+    monkeypatch.setattr(mo, "BINS", 8)
+    rng = np.random.default_rng(12)
+    qs = [0.0, 0.2, 0.5, 0.99, 1.0]
+    for x in (rng.lognormal(2, 2, 700), np.repeat([1.0, 2.0, 5.0], 100), np.array([3.0]), np.full(50, 7.0), np.concatenate([np.zeros(400), rng.random(9)])):
+        got = mo.quantiles(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "fpm double"), "fpm", qs)
+        assert got == pytest.approx(np.quantile(x, qs))
+    assert mo.quantiles(spark.createDataFrame([], "fpm double"), "fpm", qs) is None
