@@ -183,6 +183,21 @@ def test_simhash_is_the_majority_of_words(spark):
         assert sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) > len(h) / 2) == r.s & (2**64 - 1)
 
 
+def test_bags_never_exceed_the_distance(spark):
+    rng, rows = random.Random(6), []
+    for _ in range(200):
+        a = "".join(rng.choice("eaio xé") for _ in range(rng.randint(0, 40)))
+        rows.append((a, edited(a, rng.randint(0, len(a)), rng) if a else "ee"))
+    rows.append(("e" * 400, "e" * 300 + "a" * 300))
+    d = spark.createDataFrame(rows, "x string, y string")
+    got = d.select("x", "y", linededup.least_edits(linededup.bag(F.col("x")), linededup.bag(F.col("y"))).alias("n")).collect()
+    for r in got:
+        cx, cy = (Counter(t) for t in (r.x, r.y))
+        low = [{c: min(k[c], 255) for c in linededup.LETTERS} for k in (cx, cy)]
+        assert r.n == max(sum(max(a[c] - b[c], 0) for c in a) for a, b in (low, low[::-1]))
+        assert r.n <= distance(r.x, r.y)
+
+
 def test_cut_keeps_the_distance(spark):
     rng, rows = random.Random(5), []
     for _ in range(150):
