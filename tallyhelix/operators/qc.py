@@ -39,6 +39,23 @@ def call_quantiles(calls: DataFrame, samples: DataFrame, q: float = 0.8) -> Data
     return every.groupBy("cn").agg(F.percentile(F.coalesce("n", F.lit(0)), q).alias("most"))
 
 
+def code_shares(models: DataFrame) -> DataFrame:
+    """(ecode, n, pct): exons by code, those not captured left out."""
+    n = models.where("ecode <> -1").groupBy("ecode").agg(F.count("*").alias("n"))
+    total = F.broadcast(n.agg(F.sum("n").alias("total")))  # one row
+    return n.crossJoin(total).select("ecode", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"))
+
+
+def state_frequencies(states: DataFrame) -> DataFrame:
+    """(cn, frequency, sd): a sample's mean number of exons in each state and its spread over samples, both as shares of all; states (s, state)."""
+    four = states.sparkSession.range(4).select(F.col("id").cast("int").alias("cn"))
+    n = states.groupBy("s", F.col("state").alias("cn")).agg(F.count("*").alias("n"))
+    every = states.select("s").distinct().crossJoin(four).join(n, ["s", "cn"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    per = every.groupBy("cn").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"))
+    total = F.broadcast(per.agg(F.sum("mean").alias("total")))  # one row
+    return per.crossJoin(total).select("cn", (F.col("mean") / F.col("total")).alias("frequency"), (F.col("sd") / F.col("total")).alias("sd"))
+
+
 def batches_of_clusters(members: DataFrame, meta: DataFrame) -> DataFrame:
     """(cluster_id, n_batches, batches): batches of each cluster's samples as ``name:n``."""
     n = members.join(meta.select("sample", "batch"), "sample").groupBy("cluster_id", "batch").agg(F.count("*").alias("n"))

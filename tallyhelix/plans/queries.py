@@ -145,12 +145,16 @@ def snk_counts(x):
 def snk_bp(x):
     at = _folder(x, "breakpoints")
     sinks.write_breakpoints(fr.breakpoints(x.frags), at)
-    return text.breakpoint_table(x.spark.read.schema("value string, sample string").text(at), 1)
+    return text.read_breakpoints(x.spark, at, [f"S{s:02d}" for s in range(24)], 1)
 
 
 @query("select cluster_id, concat_ws(chr(9), cluster_id, fit_with, gender, valid, string_agg(concat('S', lpad(s::string, 2, '0')), ',' order by s)) as value from clusters join members using (cluster_id) group by cluster_id, fit_with, gender, valid")
 def snk_clust(x):
-    return sinks.cluster_lines(x.clusters, _members(x))
+    at = _folder(x, "clusters")
+    sinks.write_clusters(x.clusters, _members(x), at)
+    lines = text.read_lines(x.spark, at)
+    text.cluster_table(lines).count()  # what was written can be read
+    return lines.where(F.col("value") != sinks.CLUSTER_HEADER).select(F.split("value", "\t")[0].alias("cluster_id"), "value")
 
 
 @query("select chrom, pos, end_pos, alt, s, gt, gq, fr, bpr, coalesce(bp, '') bp from geno")
@@ -239,6 +243,17 @@ def snk_dev(x):
     return _meta(x).groupBy("batch").agg(F.count("*").alias("n"))
 
 
+@query("select ecode, n, round(100.0::double * n / sum(n) over (), 2) pct from (select ecode, count(*) n from models where ecode <> -1 group by ecode)")
+def snk_dev_pie(x):
+    return qc.code_shares(x.models)
+
+
+@query("""select cn, round(m / sum(m) over (), 6) frequency, round(sd / sum(m) over (), 6) sd from (select cn, avg(n) m, stddev_pop(n) sd from (
+  select a.s, c.cn, count(b.state) n from (select distinct s from states) a cross join (select unnest(range(4))::int cn) c left join states b on b.s = a.s and b.state = c.cn group by 1, 2) group by cn)""")
+def snk_dev_bar(x):
+    return qc.state_frequencies(_states(x)).select("cn", r("frequency", 6), r("sd", 6))
+
+
 # --- filters and projections
 
 PLAIN = "sample, qname, flag, chrom, pos, mapq, cigar, ord"

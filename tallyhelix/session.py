@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -30,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         sc = spark.sparkContext
         if not hasattr(sc, "_tallyhelix_shared"):
-            sc._tallyhelix_shared = "file://" + tempfile.mkdtemp(prefix="tallyhelix-")
+            own = tempfile.mkdtemp(prefix="tallyhelix-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            sc._tallyhelix_shared = "file://" + own
         found = sc._tallyhelix_shared
     return found.rstrip("/")
 

@@ -30,6 +30,11 @@ def cluster_lines(clusters: DataFrame, members: DataFrame) -> DataFrame:
     return clusters.join(m, "cluster_id").select("cluster_id", F.concat_ws("\t", "cluster_id", fit, "gender", F.col("valid").cast("string"), "samples").alias("value"))
 
 
+def write_clusters(clusters: DataFrame, members: DataFrame, path: str) -> None:
+    """The table of clusters as one text file, header first, in the order of their ids."""
+    write_lines(cluster_lines(clusters, members), path, [CLUSTER_HEADER], ["cluster_id"])
+
+
 def write_lines(lines: DataFrame, path: str, header: list[str], order: list[str]) -> None:
     """Header lines, then the lines in order, as one gzipped text file: the calls of a cohort, which a reader takes as one file."""
     spark = lines.sparkSession

@@ -5,10 +5,14 @@ Malformed rows raise an error; nothing is dropped silently.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+log = logging.getLogger(__name__)
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files, gzipped or not."""
@@ -77,6 +81,16 @@ def breakpoint_table(lines: DataFrame, least: int = 2) -> DataFrame:
     return out.where(F.col("n_qnames") >= least)
 
 
+def read_breakpoints(spark: SparkSession, path: str, samples: list[str], least: int = 2) -> DataFrame:
+    """Breakpoints of the samples from a folder with one folder of files per sample; a sample without one is skipped with a warning."""
+    lines = spark.read.schema("value string, sample string").text(path)
+    found = {r["sample"] for r in lines.select("sample").distinct().collect()}  # names of samples
+    for s in samples:
+        if s not in found:
+            log.warning("no breakpoints of sample %s in %s", s, path)
+    return breakpoint_table(lines.where(F.col("sample").isin(samples)), least)
+
+
 def vcf_genotypes(lines: DataFrame, samples: list[str]) -> DataFrame:
     """chrom, pos, end_pos, alt, sample, text: a row per site and sample."""
     f = fields()

@@ -310,3 +310,10 @@ def test_quantiles_narrow_down_to_the_exact_value(spark, monkeypatch):
         got = mo.quantiles(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "fpm double"), "fpm", qs)
         assert got == pytest.approx(np.quantile(x, qs))
     assert mo.quantiles(spark.createDataFrame([], "fpm double"), "fpm", qs) is None
+
+
+def test_a_sample_without_breakpoints_is_skipped(spark, tmp_path, caplog):
+    bps = spark.createDataFrame([("a", "chr1", 1, 5, "DEL", 3, "x,y,z")], "sample string, chrom string, bp_start long, bp_end long, cnvtype string, n_qnames long, qnames string")
+    sinks.write_breakpoints(bps, str(tmp_path / "bp"))
+    got = text.read_breakpoints(spark, str(tmp_path / "bp"), ["a", "b"]).collect()
+    assert [r["sample"] for r in got] == ["a"] and "no breakpoints of sample b" in caplog.text
