@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import read
-from .words import CACHE, Splitter, byte_chars, chunks, default_path, slices
+from .words import CACHE, Splitter, byte_chars, chunks, default_path, slices, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 SHORT = 48
@@ -59,6 +59,7 @@ class Model:
         for t, s in seq.items():
             self.length[t] = len(s)
         self._automaton(seq)
+        self.splitter.spec = None  # read
         self.keys = np.array(sorted(self.merge), np.int64)
         self.ranks = np.array([self.merge[k] for k in self.keys.tolist()], np.int64)
         self.word_ids: dict[str, tuple] = {}
@@ -274,6 +275,7 @@ def encode(df: DataFrame, path: str = TOKENIZER, text: str = "text", names: tupl
     keep = [f for f in df.schema.fields if f.name != text]
 
     def run(batches):
+        tidy("bpe")
         m = model(path)
         for b in batches:
             for a, z, texts in slices(b.column(text), AT_ONCE):
@@ -289,6 +291,7 @@ def digests(df: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches):
+        tidy("bpe")
         m, sha = model(path), lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             ids, got = b.column("doc_id"), []

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, fresh, read, shared_keys
 from .hashing import U, mix, space_bytes, words
-from .words import slices
+from .words import slices, tidy
 
 N = 5
 #: Two documents link when PART * intersection >= LEAST * union.
@@ -111,6 +111,7 @@ def sets(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Order]:
     """doc_id, n_shingles, sig of every document; and the global order of the whole corpus."""
 
     def run(batches):
+        tidy()
         cells = np.zeros(CELLS, np.int32)
         for b in batches:
             for a, z, texts in slices(b.column("text"), AT_ONCE):
@@ -147,6 +148,7 @@ def prefix_postings(docs: DataFrame, order: Order) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(order)  # 4 MB
 
     def run(batches):
+        tidy()
         for b in batches:
             for _, _, texts in slices(b.column("text"), AT_ONCE):
                 s, n = shingles(list(dict.fromkeys(texts)))
@@ -203,6 +205,7 @@ def segments(docs: DataFrame, order: Order, wanted: np.ndarray, low: int, high:
     width = high - low
 
     def run(batches):
+        tidy()
         order, bits = shared.value
         for b in batches:
             ids = b.column("doc_id")
@@ -338,6 +341,7 @@ def by_blocks(members: DataFrame, segs: DataFrame, give, schema: str) -> DataFra
             yield now, [np.concatenate(x) for x in zip(*pieces, strict=True)]
 
     def run(batches):
+        tidy()
         now, blocks = None, None
         for key, cols in runs(batches):
             if key[:3] != now:

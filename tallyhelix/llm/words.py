@@ -7,9 +7,12 @@ own normalizer and pre-tokenizer, so the split is always the library's.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import json
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -23,7 +26,7 @@ SAFE = re.compile("[%s]*" % "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" f
 LETTERS = "".join(re.escape(c) for c in _CHARS if unicodedata.category(c)[0] == "L")
 NUMBERS = "".join(re.escape(c) for c in _CHARS if unicodedata.category(c)[0] == "N")
 #: At most so many words are remembered by a worker; beyond, it starts afresh.
-CACHE = 300_000
+CACHE = 100_000
 
 
 def default_path(name: str) -> str:
@@ -110,3 +113,17 @@ def slices(column: pa.Array, size: int):
         end = max(start + 1, int(np.searchsorted(n, before + size, "right")))
         yield start, end, column.slice(start, end - start).to_pylist()
         start = end
+
+
+def tidy(keep: str = "") -> None:
+    """At the start of a task: gives back what other operators left in this worker, which the engine uses again and again."""
+    for name, loaded in (("bpe", "model"), ("tokenfile", "encoder")):
+        there = sys.modules.get(f"tallyhelix.llm.{name}")
+        if there is not None and name != keep:
+            getattr(there, loaded).cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
