@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, divergence, linededup, media, mixing, ngram, sharding, tokenfile, toxicity, urlfilter
+from . import ann, bpe, divergence, linededup, media, mixing, ngram, sharding, tokenfile, toxicity, urlfilter, vectorcode
 
 QUERIES = {
     "op1_lines": linededup.op1_lines,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_shard": sharding.op8_shard,
     "op9_bpe": bpe.op9_bpe,
     "op10_ann": ann.op10_ann,
+    "op12_codes": vectorcode.op12_codes,
     "op13_divergence": divergence.op13_divergence,
 }
 
 SQL = {
     "op4_urls": urlfilter.op4_sql(),
     "op7_mix": mixing.OP7_SQL,
+    "op12_codes": vectorcode.op12_sql(),
     "op13_divergence": divergence.OP13_SQL,
 }
