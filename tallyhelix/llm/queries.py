@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, divergence, linededup, media, mixing, ngram, sharding, tokenfile, toxicity, urlfilter, vectorcode
+from . import ann, bpe, divergence, linededup, media, mixing, ngram, quality, sharding, tokenfile, toxicity, urlfilter, vectorcode
 
 QUERIES = {
     "op1_lines": linededup.op1_lines,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_shard": sharding.op8_shard,
     "op9_bpe": bpe.op9_bpe,
     "op10_ann": ann.op10_ann,
+    "op11_quality": quality.op11_quality,
     "op12_codes": vectorcode.op12_codes,
     "op13_divergence": divergence.op13_divergence,
 }
