@@ -63,13 +63,6 @@ def batches_of_clusters(members: DataFrame, meta: DataFrame) -> DataFrame:
     return n.groupBy("cluster_id").agg(F.count("*").alias("n_batches"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), ",").alias("batches"))
 
 
-def truncated_sd(spark: SparkSession, cut: float) -> DataFrame:
-    """One row (cut, sd): sd of a standard normal cut at +-cut."""
-    pdf = math.exp(-cut * cut / 2) / math.sqrt(2 * math.pi)
-    sd = math.sqrt(1 - 2 * cut * pdf / math.erf(cut / math.sqrt(2)))
-    return spark.createDataFrame([(cut, round(sd, 12))], "cut double, sd double")
-
-
 def density(cells: DataFrame, points: int, upper: float = 0.96) -> DataFrame:
     """(s, i, x, y): Gaussian kernel density of each sample's values, mirrored at 0, on a grid up to a quantile.
 

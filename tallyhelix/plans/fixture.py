@@ -15,16 +15,9 @@ from pyspark.sql import functions as F
 from tallyhelix.session import ship
 
 
-def _values(rows, names: str) -> str:
-    return "select * from (values " + ", ".join("(" + ", ".join(repr(x) if not isinstance(x, bool) else str(x).lower() for x in r) + ")" for r in rows) + f") as t({names})"
-
-
-#: (cluster_id, fit_with, gender, valid, members are samples with s % mod in rest)
-CLUSTERS = (("A_01", "", "", 1, (0, 1)), ("A_02", "A_01", "", 1, (2,)), ("A_03", "A_01,A_02", "", 0, (3,)), ("G_01", "", "F", 1, (0, 2)), ("G_02", "", "M", 1, (1, 3)))
-
 TABLES = {
-    "samples": _values([(s,) for s in range(24)], "s"),
-    "numbers": _values([(w,) for w in range(60)], "w"),
+    "samples": "select distinct cast(c_custkey % 24 as int) s from customer",
+    "numbers": "select distinct cast(p_partkey % 60 as int) w from part",
     "windows": """select cast(w as bigint) widx, case when w < 20 then 'chr1' when w < 40 then 'chr2' when w < 50 then 'chrX' else 'chrY' end chrom,
       cast((w - case when w < 20 then 0 when w < 40 then 20 when w < 50 then 40 else 50 end) * 1000 as bigint) st,
       cast((w - case when w < 20 then 0 when w < 40 then 20 when w < 50 then 40 else 50 end) * 1000 + 200 as bigint) en,
@@ -50,16 +43,17 @@ TABLES = {
       cast(rn as bigint) ord from (
         select *, q % 8 k, (q * 7919) % 18000 + 601 base from (
           select l_orderkey q, l_partkey p, l_suppkey u, cast(l_quantity as int) qt, l_linenumber ln,
-            row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) rn from lineitem) b
-        where rn <= case when q % 8 < 4 then 2 when q % 8 < 7 then 3 else 4 end) f""",
-    "exons": """select chrom, st, en, concat('X', cast(row_number() over (order by chrom, st, en) as string)) id from (
+            row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) rn from lineitem) b) f""",
+    "exons": """select chrom, st, en, concat('X', chrom, '_', cast(st as string), '_', cast(en as string)) id from (
       select distinct case l_partkey % 5 when 0 then 'chr1' when 1 then 'chr2' when 2 then 'chr11' when 3 then 'chrX' else 'chrY' end chrom,
         cast(l_orderkey * 30 + l_partkey % 200 as bigint) st, cast(l_orderkey * 30 + l_partkey % 200 + cast(l_quantity as int) as bigint) en
       from lineitem) e""",
-    "clusters": " union all ".join(f"select '{c}' cluster_id, '{f}' fit_with, '{g}' gender, {v} valid" for c, f, g, v, _ in CLUSTERS),
-    "members": " union all ".join(f"select '{c}' cluster_id, s from samples where s % 4 in ({', '.join(map(str, m))})" for c, _, _, _, m in CLUSTERS),
+    "members": """select case when s % 4 < 2 then 'A_01' when s % 4 = 2 then 'A_02' else 'A_03' end cluster_id, s from samples
+      union all select case when s % 2 = 0 then 'G_01' else 'G_02' end, s from samples""",
+    "clusters": """select distinct cluster_id, case cluster_id when 'A_02' then 'A_01' when 'A_03' then 'A_01,A_02' else '' end fit_with,
+      case cluster_id when 'G_01' then 'F' when 'G_02' then 'M' else '' end gender, case cluster_id when 'A_03' then 0 else 1 end valid from members""",
     "calls": """select s, cn, cast((s * 7 + cn * 11) % 17 + 20 * ((s + cn) % 2) as bigint) first_w, cast((s * 7 + cn * 11) % 17 + 20 * ((s + cn) % 2) + (s + cn) % 3 as bigint) last_w, qs from (
-      select cast(l_orderkey % 24 as int) s, cast(case l_linenumber % 3 when 0 then 0 when 1 then 1 else 3 end as int) cn, cast(min(round(l_extendedprice / 500, 3)) as double) + 0.0001 qs
+      select cast(l_orderkey % 24 as int) s, cast(case l_linenumber % 3 when 0 then 0 when 1 then 1 else 3 end as int) cn, cast(sum(l_partkey) % 997 as double) / 100 + 0.0001 qs
       from lineitem group by 1, 2) c""",
     "bps": """select s, 'chr1' chrom, cast(k * 1000 - 300 as bigint) bp_start, cast((k + (s + k) % 3) * 1000 + 500 as bigint) bp_end, case when (s + k) % 2 = 0 then 'DEL' else 'DUP' end cnvtype, cast(1 + (s + k) % 4 as bigint) n_qnames
       from samples cross join (select w k from numbers where w > 0 and w < 20) n""",
@@ -157,7 +151,8 @@ class Fixture:
 
     @cached_property
     def names(self) -> dict[int, str]:
-        return {s: f"S{s:02d}" for s in range(24)}
+        """Number and name of each sample."""
+        return {r["s"]: f"S{r['s']:02d}" for r in self.samples.orderBy("s").collect()}
 
     @cached_property
     def frags(self) -> DataFrame:

@@ -14,10 +14,11 @@ from tallyhelix.operators import fragments as fr
 from tallyhelix.operators import hmm, qc, reuse
 from tallyhelix.operators import models as mo
 from tallyhelix.operators import windows as wi
+from tallyhelix.operators.numbering import numbered
 from tallyhelix.plans.fixture import Fixture
 from tallyhelix.plans.oracle import ARGMAX, sql
 from tallyhelix.session import scratch_dir, written
-from tallyhelix.sources import sinks, text
+from tallyhelix.sources import bam, sinks, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,8 +52,16 @@ def src_samples(x: Fixture):
 
 @query("select sample, qname, flag, chrom, pos, mapq, cigar, ord from alignments")
 def src_align(x):
-    head = x.spark.createDataFrame([("@HD\tVN:1.6", "S00", -2), ("@SQ\tSN:chr1\tLN:20000", "S00", -1)], "value string, sample string, ord long")
-    return text.sam(head.unionByName(_sam_lines(x)))
+    """Samples of even number from binary files, read in ranges of bytes, the others from lines of text; ``ord`` counts the alignments of a name."""
+    even = F.substring("sample", 2, 2).cast("int") % 2 == 0
+    at, samples = _folder(x, "bams"), [n for s, n in x.names.items() if s % 2 == 0]
+    chroms = [r["chrom"] for r in x.alignments.select("chrom").distinct().orderBy("chrom").collect()]  # names of chromosomes
+    bam.write_bam(x.alignments.where(even), at, [(c, 1 << 28) for c in chroms])
+    head = x.spark.createDataFrame([("@HD\tVN:1.6", "S01", -2), ("@SQ\tSN:chr1\tLN:20000", "S01", -1)], "value string, sample string, ord long")
+    binary = bam.read_bam(x.spark, [f"{at}/{n}.bam" for n in samples], split_bytes=1 << 16)
+    read = binary.unionByName(text.sam(head.unionByName(_sam_lines(x).where(~even))))
+    by = Window.partitionBy("sample", "qname").orderBy("ord")  # a few rows each
+    return read.withColumn("ord", F.row_number().over(by).cast("long"))
 
 
 def _sam_lines(x):
@@ -145,7 +154,7 @@ def snk_counts(x):
 def snk_bp(x):
     at = _folder(x, "breakpoints")
     sinks.write_breakpoints(fr.breakpoints(x.frags), at)
-    return text.read_breakpoints(x.spark, at, [f"S{s:02d}" for s in range(24)], 1)
+    return text.read_breakpoints(x.spark, at, list(x.names.values()), 1)
 
 
 @query("select cluster_id, concat_ws(chr(9), cluster_id, fit_with, gender, valid, string_agg(concat('S', lpad(s::string, 2, '0')), ',' order by s)) as value from clusters join members using (cluster_id) group by cluster_id, fit_with, gender, valid")
@@ -384,10 +393,14 @@ def join_semi_chr(x):
     return x.alignments.select("chrom").distinct().join(x.windows, "chrom", "left_semi")
 
 
-@query("select c.s, c.widx, case when c.s < 16 then coalesce(p.n, 0) end n, c.s < 16 done from cells c left join counts p on p.s = c.s and p.widx = c.widx and c.s < 16")
+@query("""select c.s, c.widx, case when c.s < 16 then coalesce(p.n, 0) end n, c.s < 16 done, true same from cells c left join counts p on p.s = c.s and p.widx = c.widx and c.s < 16
+  union all select s, widx, null, false, false from cells""")
 def join_prev_counts(x):
-    prev = x.cells.where("s < 16")
-    return reuse.from_previous(x.samples, x.windows, prev.select("s", "widx", "n"), x.windows)
+    """From an earlier run over the same windows, and from one whose windows had more padding, of which nothing is taken."""
+    prev = x.cells.where("s < 16").select("s", "widx", "n")
+    wider = x.windows.withColumn("en", F.col("en") + PAD)
+    runs = [reuse.from_previous(x.samples, x.windows, prev, w).withColumn("same", F.lit(same)) for w, same in ((x.windows, True), (wider, False))]
+    return runs[0].unionByName(runs[1])
 
 
 PREVIOUS = "(select p.i run, s from (values (0), (1), (2), (3)) p(i) cross join samples where s % (p.i + 1) = 0 or s > 20 - p.i)"
@@ -665,18 +678,18 @@ def srt_genome(x):
 
 @query("select first_w, last_w, cn, s, row_number() over (order by first_w, last_w, cn, s) place from calls")
 def srt_cnv(x):
-    by = Window.orderBy("first_w", "last_w", "cn", "s")
-    return x.calls.select("first_w", "last_w", "cn", "s", F.row_number().over(by).cast("long").alias("place"))
+    order = ["first_w", "last_w", "cn", "s"]
+    return numbered(x.calls.select(*order), order)
 
 
-VCFKEY = "(select unnest(['1', 'chr2', 'chr11', 'X', 'chrY', 'M', 'chrMT', 'chrZ', 'W', 'scaffold_7']) chrom)"
+VCFKEY = """select distinct case p_partkey % 10 when 0 then 'X' when 1 then 'chrY' when 2 then 'M' when 3 then 'chrMT' when 4 then 'chrZ' when 5 then 'W' when 6 then concat('scaffold_', cast(p_size as string))
+  when 7 then cast(p_size as string) else concat('chr', cast(p_size as string)) end chrom from part"""
 
 
 @query(f"""select chrom, case when regexp_matches(b, '^[0-9]+$') then try_cast(b as bigint) when b = 'X' then 1023 when b = 'Y' then 1024 when b in ('M', 'MT') then 1025
-  else 1100 + {_digest("b")} end ckey from (select chrom, regexp_replace(chrom, '^chr', '') b from {VCFKEY})""")
+  else 1100 + {_digest("b")} end ckey from (select chrom, regexp_replace(chrom, '^chr', '') b from ({VCFKEY}))""")
 def srt_vcfkey(x):
-    c = x.spark.createDataFrame([(v,) for v in ("1", "chr2", "chr11", "X", "chrY", "M", "chrMT", "chrZ", "W", "scaffold_7")], "chrom string")
-    return c.select("chrom", fn.vcf_key(F.col("chrom")).alias("ckey"))
+    return x.sql(VCFKEY).select("chrom", fn.vcf_key(F.col("chrom")).alias("ckey"))
 
 
 @query("select cluster_id, n, printf('%s_%02d', left(cluster_id, 1), k) as name from (select cluster_id, count(*) n, row_number() over (partition by left(cluster_id, 1) order by count(*) desc, cluster_id) k from members group by 1)")
@@ -696,8 +709,7 @@ def topk_prev(x):
 
 @query("select cluster_id, row_number() over (order by fit_with <> '', cluster_id) place from clusters")
 def sort_sched(x):
-    by = Window.orderBy(F.col("fit_with") != "", "cluster_id")
-    return x.clusters.select("cluster_id", F.row_number().over(by).cast("long").alias("place"))
+    return numbered(x.clusters.select("cluster_id", (F.col("fit_with") != "").alias("fits")), ["fits", "cluster_id"]).drop("fits")
 
 
 @query("select distinct s from members where cluster_id in ('A_01', 'G_02')")
@@ -706,10 +718,12 @@ def set_union(x):
 
 
 @query("""select (select count(*) from (select chrom, st, en, id from windows except all select chrom, st, en, id from windows)) = 0 same_windows,
+  (select count(*) from (select chrom, st, en, id from windows except all select chrom, st, en + 10, id from windows)) = 0 padded_windows,
   (select count(*) from (select s from samples except all select s from samples where s < 16)) + (select count(*) from (select s from samples where s < 16 except all select s from samples)) = 0 same_samples""")
 def set_equal(x):
     w = x.windows.select("chrom", "st", "en", "id")
-    return reuse.equal(w, w).withColumnRenamed("same", "same_windows").crossJoin(reuse.equal(x.samples, x.samples.where("s < 16")).withColumnRenamed("same", "same_samples"))
+    padded = reuse.equal(w, w.withColumn("en", F.col("en") + PAD)).withColumnRenamed("same", "padded_windows")  # one row each
+    return reuse.equal(w, w).withColumnRenamed("same", "same_windows").crossJoin(padded).crossJoin(reuse.equal(x.samples, x.samples.where("s < 16")).withColumnRenamed("same", "same_samples"))
 
 
 @query("select s from samples where s not in (select s from samples where s < 16)")
@@ -729,13 +743,6 @@ def set_intersect(x):
 
 # --- scalar functions
 
-CIGARS = "('10M5I10M'), ('5H10S50M'), ('60S45M'), ('80M2I10D8M'), ('3S4=2X7N9D1I'), ('100M'), ('12H')"
-
-
-def _cigars(x):
-    return x.spark.sql(f"select * from values {CIGARS} as t(cigar)")
-
-
 @query("select distinct cigar, (end_pos - pos + 1)::int len from placed")
 def fn_cigarlen(x):
     return x.alignments.select("cigar", fn.cigar_ref_length(F.col("cigar")).alias("len")).distinct()
@@ -782,9 +789,14 @@ def fn_argmax4(x):
     return x.lik.select("s", "widx", mo.best_state(one, one, one, one).alias("best"))
 
 
-@query("select 2.0::double cut, round(sqrt(sum(v * v * exp(-v * v / 2)) / sum(exp(-v * v / 2))), 8) sd from (select (i + 0.5) / 100000.0::double - 2 v from (select unnest(range(400000)) i))")
+CUTS = "select distinct cast(1 + l_quantity % 7 as double) / 2 cut from lineitem"
+
+
+@query(f"""select cut, round(sqrt(sum(v * v * exp(-v * v / 2)) / sum(exp(-v * v / 2))), 8) sd from (
+  select cut, ((i + 0.5) / 50000.0::double - 1) * cut v from ({CUTS}) cross join (select unnest(range(100000)) i)) group by cut""")
 def fn_erf(x):
-    return qc.truncated_sd(x.spark, 2.0).withColumn("sd", F.round("sd", 8))
+    """Spread of a standard normal cut at so many sd."""
+    return x.sql(CUTS).select("cut", F.round(fn.truncated_sd(F.col("cut")), 8).alias("sd"))
 
 
 @query("select s, cn, first_w, last_w, case when cn = 1 or (cn = 3 and fr < 1.9) then '0/1' else '1/1' end gt from rated")
