@@ -109,6 +109,12 @@ class Fixture:
     def autosomes(self) -> DataFrame:
         return self.fpm.where("wtype = 0")
 
+    @cached_property
+    def grown(self):
+        from tallyhelix.operators.cluster import grown
+
+        return grown(self.autosomes)
+
     @cached_property
     def models(self) -> DataFrame:
         from tallyhelix.operators.models import cn0, ecodes, fitted

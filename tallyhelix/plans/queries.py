@@ -229,7 +229,7 @@ def snk_log(x):
 @query()
 def snk_dendro(x):
     """Nodes of the tree with the cluster all their samples share, or a mark for virtual nodes."""
-    return cl.dendrogram(x.autosomes, "A", MIN_SAMPLES)
+    return cl.dendrogram(x.grown, "A", MIN_SAMPLES)
 
 
 @query("""select widx, bins, bin, n from (select widx, bins, least(floor((fpm - lo) / ((hi - lo) / bins))::bigint, bins - 1) + 1 bin, count(*) n
@@ -923,7 +923,7 @@ def run_calls(x):
 @query()
 def run_genotypes(x):
     """From counts to merged genotypes: clusters found and gendered from the counts, called each on its own, merged over all samples."""
-    auto, gono = cl.clusters(x.autosomes, "A", MIN_SAMPLES), cl.clusters(x.fpm.where("wtype = 1"), "G", MIN_SAMPLES)
+    auto, gono = cl.clusters(x.grown, "A", MIN_SAMPLES), cl.clusters(cl.grown(x.fpm.where("wtype = 1")), "G", MIN_SAMPLES)
     found = written(auto.unionByName(gono), "clusters")  # a row per sample and kind
     sexes = cl.gender(x.fpm.where("wtype = 1"), mo.captured(x.fpm), found.where("cluster_id like 'G%'").select("cluster_id", "s")).select("cluster_id", "gender")
     clusters = found.groupBy("cluster_id").agg(F.first("fit_with").alias("fit_with"), F.first("valid").cast("int").alias("valid")).join(sexes, "cluster_id", "left").withColumn("gender", F.coalesce("gender", F.lit("")))
@@ -940,17 +940,17 @@ def ml_pca(x):
 
 @query()
 def ml_upgma(x):
-    return cl.tree_of(x.autosomes).withColumn("dist", F.round("dist", 2))
+    return cl.tree_of(x.grown).withColumn("dist", F.round("dist", 2))
 
 
 @query()
 def ml_blz(x):
-    return cl.branch_table(x.autosomes, MIN_SAMPLES).withColumn("z", F.round("z", 4))
+    return cl.branch_table(x.grown, MIN_SAMPLES).withColumn("z", F.round("z", 4))
 
 
 @query()
 def ml_l2c(x):
-    return cl.clusters(x.autosomes, "A", MIN_SAMPLES).unionByName(cl.clusters(x.fpm.where("wtype = 1"), "G", MIN_SAMPLES))
+    return cl.clusters(x.grown, "A", MIN_SAMPLES).unionByName(cl.clusters(cl.grown(x.fpm.where("wtype = 1")), "G", MIN_SAMPLES))
 
 
 @query()
@@ -975,5 +975,5 @@ def ml_distfit(x):
 
 @query()
 def ml_pcaview(x):
-    p = cl.pca(x.autosomes).select("s", "dim", r("score", 2))
-    return p.join(cl.clusters(x.autosomes, "A", MIN_SAMPLES).select("s", "cluster_id"), "s")
+    p = cl.pca(x.grown).select("s", "dim", r("score", 2))
+    return p.join(cl.clusters(x.grown, "A", MIN_SAMPLES).select("s", "cluster_id"), "s")
