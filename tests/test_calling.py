@@ -268,24 +268,6 @@ def test_gram_and_components_against_numpy(spark):
         cl.gram(cells.where("not (s = 2 and widx = 3)")).collect()
 
 
-def test_density_against_numpy(spark):
-    rng = np.random.default_rng(10)
-    x = np.abs(rng.normal(50, 15, 400))
-    cells = spark.createDataFrame([(0, float(v)) for v in x], "s int, fpm double")
-    rows = sorted((r.i, r.x, r.y) for r in qc.density(cells, 32).collect())
-    h, top = 0.9 * x.std() * len(x) ** -0.2, np.quantile(x, 0.96)
-    for i, at, y in rows:
-        want = (np.exp(-0.5 * ((at - x) / h) ** 2) + np.exp(-0.5 * ((at + x) / h) ** 2)).sum() / (len(x) * h * np.sqrt(2 * np.pi))
-        assert at == pytest.approx(i * top / 31) and y == pytest.approx(want, rel=0.01, abs=1e-6)
-
-
-def test_fitted_distributions_rank_the_right_one_first(spark):
-    rng = np.random.default_rng(11)
-    for name, x in (("normal", rng.normal(100, 8, 4000)), ("exponential", rng.exponential(30, 4000)), ("halfnormal", np.abs(rng.normal(0, 20, 4000))), ("lognormal", rng.lognormal(3, 0.7, 4000))):
-        d = spark.createDataFrame([(float(v),) for v in x], "fpm double")
-        assert qc.fitted_distributions(d).first()["name"] == name
-
-
 def test_valid_clusters_by_their_partners(spark):
     c = spark.createDataFrame([("A_01", "", "", 1), ("A_02", "A_01", "", 1), ("A_03", "A_01,A_02,A_04", "", 1), ("A_04", "", "", 1)], "cluster_id string, fit_with string, gender string, valid int")
     m = spark.createDataFrame([(k, i) for k, n in (("A_01", 6), ("A_02", 2), ("A_03", 1), ("A_04", 3)) for i in range(n)], "cluster_id string, s int")
