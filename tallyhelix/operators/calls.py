@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from tallyhelix.functions.scalar import genotype, sv_type, vcf_key, vcf_pos
 
+from .ranges import containing
+
 
 def frag_ratios(calls: DataFrame, cells: DataFrame, models: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``fr``: mean ratio to the CN2 mean over called exons of each call.
@@ -49,14 +51,13 @@ def break_ranges(calls: DataFrame, windows: DataFrame, models: DataFrame, paddin
 
 def with_breakpoints(ranged: DataFrame, bps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``bp``: split-read breakpoints of the sample and type within both ranges, ``start-end-n``."""
-    b = bps.where("n_qnames >= 2").select(F.col("s").alias("b_s"), F.col("chrom").alias("b_chrom"), "bp_start", "bp_end", "cnvtype", "n_qnames")
-    c = ranged.withColumn("svtype", sv_type(F.col("cn")))
-    on = (F.col("s") == F.col("b_s")) & (F.col("chrom") == F.col("b_chrom")) & (F.col("svtype") == F.col("cnvtype")) & F.expr("bp_start between s1 and e1 and bp_end between s2 and e2")
+    b = bps.where("n_qnames >= 2").select("s", "chrom", F.col("cnvtype").alias("svtype"), "bp_start", "bp_end", "n_qnames")
+    key = [*by, "s", "cn", "first_w", "last_w"]
+    c = ranged.select(*key, "chrom", sv_type(F.col("cn")).alias("svtype"), "s1", "e1", "s2", "e2")
     item = F.struct("bp_start", "bp_end", "n_qnames")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat_ws("-", x["bp_start"].cast("string"), x["bp_end"].cast("string"), x["n_qnames"].cast("string"))), ",")
-    key = [*by, "s", "cn", "first_w", "last_w"]
-    got = c.join(b, on).groupBy(*key).agg(text.alias("bp"))
-    return c.join(got, key, "left")
+    got = containing(c, b, ["s", "chrom", "svtype"], ("s1", "e1"), ("s2", "e2"), ("bp_start", "bp_end")).groupBy(*key).agg(text.alias("bp"))
+    return ranged.withColumn("svtype", sv_type(F.col("cn"))).join(got, key, "left")
 
 
 def recalibrated(calls: DataFrame, samples: int, most: dict[int, float], min_gq: float) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import overlapping
+
 
 def _fit_edges(clusters: DataFrame) -> DataFrame:
     """(cluster_id, i, f): one row per partner to fit with, in order."""
@@ -48,10 +50,12 @@ def exons_of_regions(regions: DataFrame, clusters: DataFrame, members: DataFrame
     of = members.join(clusters.select("cluster_id", "valid"), "cluster_id").select("sample", "cluster_id", "valid", F.substring("cluster_id", 1, 1).alias("kind"))
     known = members.select("sample").distinct().withColumn("_known", F.lit(True))
     g = g.join(known, "sample", "left").join(kinds, "chrom", "left").join(of, ["sample", "kind"], "left")
-    fits = (F.col("g.chrom") == F.col("e.chrom")) & (F.col("e.st") <= F.col("g.g_en")) & (F.col("g.g_st") <= F.col("e.en")) & (F.when(F.col("e.wtype") == 0, "A").otherwise("G") == F.col("g.kind")) & (F.col("g.valid") == 1)
-    hit = g.alias("g").join(exons.alias("e"), fits, "left")
+    e = exons.select("chrom", F.col("widx"), "st", "en", F.when(F.col("wtype") == 0, "A").otherwise("G").alias("kind"))
+    of_valid = g.where("valid = 1").select("sample", "chrom", "g_st", "g_en", "kind")
+    found = overlapping(of_valid, e, ["chrom", "kind"], ("g_st", "g_en"), ("st", "en")).select("sample", "chrom", "g_st", "g_en", "kind", "widx")
+    hit = g.join(found, ["sample", "chrom", "g_st", "g_en", "kind"], "left")
     problem = F.when(F.col("_known").isNull(), "no such sample").when(F.col("kind").isNull(), "no such chromosome").when(F.coalesce(F.col("valid"), F.lit(0)) != 1, "cluster not valid").when(F.col("widx").isNull(), "no exon there")
-    return hit.select("sample", F.col("g.chrom").alias("chrom"), F.col("g_st").alias("st"), F.col("g_en").alias("en"), "cluster_id", "widx", problem.alias("problem"))
+    return hit.select("sample", "chrom", F.col("g_st").alias("st"), F.col("g_en").alias("en"), "cluster_id", "widx", problem.alias("problem"))
 
 
 def samples_of_clusters(clusters: DataFrame, members: DataFrame) -> DataFrame:
