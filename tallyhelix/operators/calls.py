@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhelix.functions.scalar import genotype, sv_type, vcf_key, vcf_pos
+from tallyhelix.session import written
 
 from .ranges import containing
 
@@ -51,6 +52,7 @@ def break_ranges(calls: DataFrame, windows: DataFrame, models: DataFrame, paddin
 
 def with_breakpoints(ranged: DataFrame, bps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``bp``: split-read breakpoints of the sample and type within both ranges, ``start-end-n``."""
+    ranged = written(ranged, "ranged")  # a row per call, needed for its levels, its bins and itself
     b = bps.where("n_qnames >= 2").select("s", "chrom", F.col("cnvtype").alias("svtype"), "bp_start", "bp_end", "n_qnames")
     key = [*by, "s", "cn", "first_w", "last_w"]
     c = ranged.select(*key, "chrom", sv_type(F.col("cn")).alias("svtype"), "s1", "e1", "s2", "e2")

@@ -11,7 +11,7 @@ from tallyhelix.operators import calling
 from tallyhelix.operators import calls as ca
 from tallyhelix.operators import cluster as cl
 from tallyhelix.operators import fragments as fr
-from tallyhelix.operators import hmm, qc, reuse
+from tallyhelix.operators import hmm, merging, qc, reuse
 from tallyhelix.operators import models as mo
 from tallyhelix.operators import windows as wi
 from tallyhelix.operators.numbering import numbered
@@ -208,16 +208,27 @@ MERGE_SQL = """select k.chrom, k.pos, k.end_pos, k.alt, k.ckey, k.form, samples.
   cross join samples left join geno_text g on g.chrom = k.chrom and g.pos = k.pos and g.end_pos = k.end_pos and g.alt = k.alt and g.s = samples.s""".format(digest=_digest("b"))
 
 
-def _merged(x):
-    form = F.when(F.max(F.col("bp").isNotNull()).over(Window.partitionBy("chrom", "pos", "end_pos", "alt", F.col("s") % 4)), "GT:GQ:FR:BPR:BP").otherwise("GT:GQ:FR:BPR")
-    g = _geno(x).select("chrom", "pos", "end_pos", "alt", "s", F.concat_ws(":", "gt", F.col("gq").cast("string"), F.format_string("%.2f", "fr"), "bpr", "bp").alias("text"), form.alias("form"))
-    parts = [g.where(F.col("s") % 4 == i) for i in range(4)]
-    return ca.merged_sites(parts, x.samples)
+def _cluster_files(x) -> list[str]:
+    """Written variant files of four groups of samples."""
+    g, at = written(_geno(x), "geno"), _folder(x, "vcfs")
+    for i in range(4):
+        own = {s: n for s, n in x.names.items() if s % 4 == i}
+        lines = ca.variant_lines(ca.variant_rows(g.where(F.col("s") % 4 == i), own))
+        sinks.write_lines(lines, f"{at}/{i}", sinks.vcf_header(list(own.values()), 5.0, "260101", "call"), list(ca.ROW_ORDER))
+    return [f"{at}/{i}" for i in range(4)]
 
 
-@query(MERGE_SQL)
+MERGED_LINES_SQL = f"""select (row_number() over (order by ckey, pos, end_pos, alt, chrom))::bigint place, concat_ws(chr(9), chrom, pos, '.', 'N', alt, '.', 'PASS', concat('SVTYPE=', alt[2:4], ';END=', end_pos), form, texts) as value
+  from (select chrom, pos, end_pos, alt, ckey, form, string_agg(text, chr(9) order by s) texts from ({MERGE_SQL}) group by 1, 2, 3, 4, 5, 6)"""
+
+
+@query(MERGED_LINES_SQL)
 def snk_merged(x):
-    return _merged(x)
+    """The rows of the merged file of four clusters' files, in their order in it."""
+    at = _folder(x, "merged")
+    merging.merge_files(x.spark, _cluster_files(x), list(x.names.values()), at)
+    lines = written(text.read_in_order(x.spark, at), "lines")
+    return numbered(lines.where(~F.col("value").startswith("#")), ["file", "at"]).select("place", "value")
 
 
 @query("select ecode, count(*) n, round(100.0::double * count(*) / sum(count(*)) over (), 6) pct from models group by ecode")
@@ -443,7 +454,10 @@ def join_bp(x):
 
 @query(MERGE_SQL)
 def join_merge(x):
-    return _merged(x)
+    """All sites of four clusters' files by all samples."""
+    sites = merging.merged_sites(merging.called_rows(x.spark, _cluster_files(x), list(x.names.values())))
+    samples = x.spark.createDataFrame(list(x.names.items()), "s int, sample string")
+    return merging.long_rows(sites, samples).join(F.broadcast(samples), "sample").drop("sample")  # a row per sample
 
 
 PREV_VCF_SQL = """with sig as (select cluster_id, string_agg(s::string, ',' order by s) k from members group by 1), old as (select cluster_id, k from sig where cluster_id not in ('A_03', 'G_02')),

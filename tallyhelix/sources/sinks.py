@@ -1,10 +1,12 @@
-"""Writers: counts, breakpoints, clusters, variant files. Paths are given; runs overwrite what they wrote."""
+"""Writers: counts, breakpoints, clusters, variant files. Paths are given and overwritten; runs that must not overwrite write through ``plans.run``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhelix.session import written
+
 CLUSTER_HEADER = "CLUSTER_ID\tFIT_WITH\tGENDER\tVALID\tSAMPLES"
 BP_HEADER = "CHR\tSTART\tEND\tCNVTYPE\tCOUNT-QNAMES\tQNAMES"
 
@@ -36,12 +38,16 @@ def write_clusters(clusters: DataFrame, members: DataFrame, path: str) -> None:
 
 
 def write_lines(lines: DataFrame, path: str, header: list[str], order: list[str]) -> None:
-    """Header lines, then the lines in order, as one gzipped text file: the calls of a cohort, which a reader takes as one file."""
+    """Header lines, then the lines in order, as gzipped text files whose names are in order: one after the other they are one file.
+
+    Lines are dealt to ranges of the order, each of which a task sorts and writes; the header lies before all of them.
+    """
     spark = lines.sparkSession
     first = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order]
     top = spark.createDataFrame([(i, h) for i, h in enumerate(header)], "_k int, value string").select("_k", "value", *first)
-    every = top.unionByName(lines.select(F.lit(len(header)).alias("_k"), "value", *order))
-    every.repartition(1).sortWithinPartitions("_k", *order).select("value").write.mode("overwrite").option("compression", "gzip").text(path)
+    # written first, as ranges are drawn from a sample of the lines
+    every = top.unionByName(written(lines.select(F.lit(len(header)).alias("_k"), "value", *order), "lines"))
+    every.repartitionByRange("_k", *order).sortWithinPartitions("_k", *order).select("value").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def vcf_header(samples: list[str], min_gq: float, date: str, command: str = "") -> list[str]:

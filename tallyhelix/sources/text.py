@@ -120,6 +120,16 @@ def regions(lines: DataFrame) -> DataFrame:
     return must(r, ok, "bad region").select("sample", "chrom", "st", "en")
 
 
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, at): lines of a file or of a folder of files whose names are in order; ``file`` and ``at`` sort them."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+
+
+def vcf_header_lines(spark: SparkSession, path: str) -> list[str]:
+    """The header of a variant file, in order: a few lines."""
+    return [r["value"] for r in read_in_order(spark, path).where(F.col("value").startswith("#")).orderBy("file", "at").collect()]
+
+
 #: Quality notes and the sex that they stand for, null for the sex as given; and what names of dated batches begin with.
 NOTES = {"": None, "suspected XX": "F", "suspected XXY": "XXY", "suspected XXY or contamination": "XXY", "suspected contamination": None}
 DATED = ("Genoscope", "Novogene")
