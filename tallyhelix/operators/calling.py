@@ -106,9 +106,9 @@ def call(cells: DataFrame, clusters: DataFrame, members: DataFrame, windows: Dat
     return written(found, "calls"), m
 
 
-def genotypes(cells: DataFrame, clusters: DataFrame, members: DataFrame, windows: DataFrame, bps: DataFrame, padding: int = 0, min_gq: float = 5.0) -> DataFrame:
-    """(chrom, pos, end_pos, alt, s, gt, gq, fr, bpr, bp) of all clusters."""
+def genotypes(cells: DataFrame, clusters: DataFrame, members: DataFrame, windows: DataFrame, bps: DataFrame, padding: int = 0, min_gq: float = 5.0, keep: bool = False) -> DataFrame:
+    """(chrom, pos, end_pos, alt, s, gt, gq, fr, bpr, bp) of all clusters; with ``keep`` the cluster_id as well."""
     found, m = call(cells, clusters, members, windows, min_gq)
     own = windows.where("wtype <> 2")
     rated = ca.frag_ratios(found, cells, m, BY)
-    return ca.genotypes(ca.with_breakpoints(ca.break_ranges(rated, own, m, padding, BY), bps, BY))
+    return ca.genotypes(ca.with_breakpoints(ca.break_ranges(rated, own, m, padding, BY), bps, BY), BY if keep else ())

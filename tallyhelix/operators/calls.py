@@ -73,11 +73,11 @@ def recalibrated(calls: DataFrame, samples: int, most: dict[int, float], min_gq:
     return out.where(F.col("qs") > min_gq).drop("less")
 
 
-def genotypes(calls: DataFrame) -> DataFrame:
-    """(chrom, pos, end_pos, alt, s, gt, gq, fr, bpr, bp): one row per call, the long form of a variant file."""
+def genotypes(calls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, chrom, pos, end_pos, alt, s, gt, gq, fr, bpr, bp): one row per call, the long form of a variant file."""
     gq = F.bround(F.least(F.col("qs"), F.lit(100.0)), 0).cast("int")
     bpr = F.format_string("%d-%d,%d-%d", "s1", "e1", "s2", "e2")
-    return calls.select("chrom", "pos", "end_pos", F.concat(F.lit("<"), sv_type(F.col("cn")), F.lit(">")).alias("alt"), "s", genotype(F.col("cn"), F.col("fr")).alias("gt"), gq.alias("gq"), F.round("fr", 2).alias("fr"), bpr.alias("bpr"), *(["bp"] if "bp" in calls.columns else []))
+    return calls.select(*by, "chrom", "pos", "end_pos", F.concat(F.lit("<"), sv_type(F.col("cn")), F.lit(">")).alias("alt"), "s", genotype(F.col("cn"), F.col("fr")).alias("gt"), gq.alias("gq"), F.round("fr", 2).alias("fr"), bpr.alias("bpr"), *(["bp"] if "bp" in calls.columns else []))
 
 
 #: Columns in which the rows of a variant file are sorted.

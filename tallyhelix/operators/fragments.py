@@ -15,6 +15,11 @@ KEY = ("sample", "qname")
 KIT = 500_000
 
 
+def sent(windows: DataFrame) -> DataFrame:
+    """Windows to be sent to every executor if there are at most ``KIT``, else as they are."""
+    return F.broadcast(windows) if windows.limit(KIT + 1).count() <= KIT else windows
+
+
 def usable(alignments: DataFrame) -> DataFrame:
     """Well mapped, paired, none of the rejected flags; supplementary alignments stay."""
     flag = F.col("flag")
@@ -164,9 +169,7 @@ def overlaps(parts: DataFrame, windows: DataFrame, width: int = 4096) -> DataFra
     bins = lambda s, e: F.explode(F.sequence(F.floor(s / width), F.floor(e / width)))
     p = parts.withColumn("bin", bins(F.col("s"), F.col("e")))
     w = windows.select("chrom", "widx", F.col("st").alias("ws"), F.col("en").alias("we"), bins(F.col("st"), F.col("en")).alias("bin"))
-    if windows.limit(KIT + 1).count() <= KIT:
-        w = F.broadcast(w)
-    return p.join(w, ["chrom", "bin"]).where("s < we and ws < e").select(*KEY, "widx").distinct()
+    return p.join(sent(w), ["chrom", "bin"]).where("s < we and ws < e").select(*KEY, "widx").distinct()
 
 
 def breakpoints(frags: DataFrame) -> DataFrame:
@@ -178,5 +181,5 @@ def breakpoints(frags: DataFrame) -> DataFrame:
 def counted(hits: DataFrame, samples: DataFrame, windows: DataFrame) -> DataFrame:
     """(sample, widx, n) for every sample and window, zeros kept."""
     n = hits.groupBy("sample", "widx").agg(F.count("*").alias("n"))
-    every = samples.select("sample").crossJoin(F.broadcast(windows.select("widx")))
+    every = samples.select("sample").crossJoin(sent(windows.select("widx")))
     return every.join(n, ["sample", "widx"], "left").select("sample", "widx", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fragments import sent
 from .ranges import overlapping
 
 
@@ -26,7 +27,7 @@ def from_previous(samples: DataFrame, windows: DataFrame, previous: DataFrame, p
     key = ["widx", "chrom", "st", "en", "id"]
     same = F.broadcast(equal(windows.select(*key), previous_windows.select(*key)))  # one row
     known = previous.select("s").distinct().crossJoin(same).where("same").select("s", F.lit(True).alias("_known"))
-    every = samples.select("s").crossJoin(F.broadcast(windows.select("widx"))).join(known, "s", "left")
+    every = samples.select("s").crossJoin(sent(windows.select("widx"))).join(known, "s", "left")
     out = every.join(previous, ["s", "widx"], "left").withColumn("done", F.coalesce("_known", F.lit(False)))
     return out.select("s", "widx", F.when(F.col("done"), F.coalesce("n", F.lit(0))).alias("n"), "done")
 

@@ -15,6 +15,7 @@ from tallyhelix.operators import hmm, merging, qc, reuse
 from tallyhelix.operators import models as mo
 from tallyhelix.operators import windows as wi
 from tallyhelix.operators.numbering import numbered
+from tallyhelix.plans import run
 from tallyhelix.plans.fixture import Fixture
 from tallyhelix.plans.oracle import ARGMAX, sql
 from tallyhelix.session import scratch_dir, written
@@ -927,6 +928,20 @@ def ml_lik_haploid(x):
 SQL["ml_lik_haploid"] = _haploid_sql("select s, widx, " + ", ".join(f"round(l{i} * 1e6, 6) l{i}" for i in range(4)) + " from lik")
 
 
+@query("""select a.sample, w.widx, count(h.qname) n, case when substr(a.sample, 2)::int < 16 then 'linked' else 'counted' end how
+  from (select distinct sample from alignments) a cross join windows w left join hits h on h.sample = a.sample and h.widx = w.widx group by 1, 2""")
+def run_counts(x):
+    """Counts of all samples from binary files, by a run that takes up an earlier run over the first sixteen."""
+    at, names = _folder(x, "run"), list(x.names.values())
+    chroms = [r["chrom"] for r in x.alignments.select("chrom").distinct().orderBy("chrom").collect()]  # names of chromosomes
+    bam.write_bam(x.alignments, f"{at}/bams", [(c, 1 << 28) for c in chroms])
+    paths, windows = [f"{at}/bams/{n}.bam" for n in names], written(x.windows, "windows")
+    run.count(x.spark, paths[:16], windows, f"{at}/one", together=8)
+    done = run.count(x.spark, paths, windows, f"{at}/two", [f"{at}/one"], together=8)
+    how = x.spark.createDataFrame([(s, "linked") for s in done.linked] + [(s, "counted") for s in done.counted], "sample string, how string")
+    return run.Run(x.spark, f"{at}/two").counts().join(F.broadcast(how), "sample")  # a row per sample
+
+
 @query()
 def run_calls(x):
     """CNVs of all samples of all valid clusters, each by the models of its cluster."""
