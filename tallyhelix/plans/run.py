@@ -31,8 +31,8 @@ from tallyhelix.sources import bam, sinks, text
 
 log = logging.getLogger(__name__)
 
-#: Samples, and clusters, whose jobs run side by side.
-TOGETHER = 4
+#: Samples that are counted in one job, and jobs that run side by side.
+BATCH, TOGETHER = 64, 4
 WINDOW = ["widx", "chrom", "st", "en", "id", "wtype"]
 COUNTED = "sample string, counts string, breakpoints string, at double, key string"
 CALLED = "cluster_id string, file string, samples array<string>, fit_with string, min_gq string, at double, key string"
@@ -45,13 +45,15 @@ def windows_of(bed: DataFrame, padding: int = 10) -> DataFrame:
     return w.withColumn("wtype", window_type(F.col("id"), F.col("chrom"))).select(*WINDOW)
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """Of one sample: a binary file, or a folder of them; lines of text; or Parquet."""
-    if path.rstrip("/").endswith(".bam"):
-        return bam.read_bam(spark, [path])
-    if path.rstrip("/").endswith((".sam", ".sam.gz")):
-        return text.read_sam(spark, [path])
-    return spark.read.parquet(path)
+def read_alignments(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Of samples by name: binary files, or folders of them, all at once; files of lines, and Parquet, one by one."""
+    binary = {s: p for s, p in paths.items() if p.rstrip("/").endswith(".bam")}
+    out = bam.read_bam(spark, list(binary.values()))
+    for s, p in paths.items():
+        if s not in binary:
+            one = text.read_sam(spark, [p]) if p.endswith((".sam", ".sam.gz")) else spark.read.parquet(p)
+            out = out.unionByName(one.withColumn("sample", F.lit(s)).select(*out.columns))
+    return out
 
 
 class Run:
@@ -106,6 +108,7 @@ class Run:
     def breakpoints(self, samples: list[str], least: int = 2) -> DataFrame:
         """sample, chrom, bp_start, bp_end, cnvtype, n_qnames."""
         known = self.counted()
+        samples = [s for s in samples if known[s][1]]
         folders = [(known[s][1].rsplit("/", 1)[1], s) for s in samples]
         if not folders:
             return text.breakpoint_table(self.spark.createDataFrame([], "value string, sample string"), least)
@@ -141,12 +144,17 @@ def named(paths: list[str]) -> dict[str, str]:
         sample = re.sub(r"\.[bs]am(\.gz)?$", "", p.rstrip("/").split("/")[-1])
         if sample in out:
             raise ValueError(f"sample given twice: {sample}")
+        if not re.fullmatch(r"[\w.+@~-]+", sample):
+            raise ValueError(f"sample with signs that paths can't have: {sample}")
         out[sample] = p
     return dict(sorted(out.items()))
 
 
-def count(spark: SparkSession, paths: list[str], windows: DataFrame, out: str, previous: list[str] = (), max_gap: int = 1000, together: int = TOGETHER, read=read_alignments) -> Counted:
-    """Counts and breakpoints of every sample: kept where the run has them, linked where the best of the earlier runs has them, else worked out, each sample by jobs of its own."""
+def count(spark: SparkSession, paths: list[str], windows: DataFrame, out: str, previous: list[str] = (), max_gap: int = 1000, together: int = TOGETHER, batch: int = BATCH) -> Counted:
+    """Counts and breakpoints of every sample: kept where the run has them, linked where the best of the earlier runs has them, else worked out.
+
+    Samples are counted in batches; those of a batch that fails are counted one by one, so that only what is broken is left out.
+    """
     run, wanted, done = Run(spark, out), named(paths), Counted()
     run.begin(windows)
     windows = run.windows()
@@ -163,31 +171,46 @@ def count(spark: SparkSession, paths: list[str], windows: DataFrame, out: str, p
             run.log_counted([(s, *known[s]) for s in done.linked])
             todo = [s for s in todo if s not in known]
 
-    def one(sample: str) -> str | None:
+    def work(samples: list[str]) -> None:
         key = uuid.uuid4().hex
-        counts, bps = f"{run.path}/counts/{sample}-{key}", f"{run.path}/breakpoints/{sample}-{key}"
+        counts, bps = f"{run.path}/counts/{key}", f"{run.path}/breakpoints/{key}"
+        frags = written(fr.fragments(read_alignments(spark, {s: wanted[s] for s in samples}), windows, max_gap), "fragments")
+        own = spark.createDataFrame([(s,) for s in samples], "sample string")
+        n = fr.counted(fr.overlaps(fr.intervals(frags), windows), own, windows)
+        n.withColumn("of", F.col("sample")).write.partitionBy("of").parquet(counts)
+        lines = sinks.breakpoint_lines(fr.breakpoints(frags)).withColumn("of", F.col("sample")).select("value", "of")
+        lines.write.option("compression", "gzip").partitionBy("of").text(bps)
+        run.log_counted([(s, *(_folder_of(f"{base}", s) if s in has else "" for base, has in ((counts, samples), (bps, _written(spark, bps))))) for s in samples])
+
+    def apart(samples: list[str]) -> dict[str, str | None]:
+        """sample -> why it failed, or None."""
         try:
-            a = read(spark, wanted[sample]).withColumn("sample", F.lit(sample))
-            frags = written(fr.fragments(a, windows, max_gap), "fragments")
-            own = spark.createDataFrame([(sample,)], "sample string")
-            fr.counted(fr.overlaps(fr.intervals(frags), windows), own, windows).write.parquet(counts)
-            lines = sinks.breakpoint_lines(fr.breakpoints(frags)).select("value")
-            lines.write.option("compression", "gzip").text(bps)
-            run.log_counted([(sample, counts, bps)])
+            work(samples)
+            return dict.fromkeys(samples)
         except Exception as e:  # noqa: BLE001, whatever is wrong with a sample must not stop the others
-            log.warning("no counts of sample %s, which leaves the run: %s", sample, e)
-            return str(e)
-        return None
+            if len(samples) > 1:
+                log.warning("a batch of %d samples is counted one by one: %s", len(samples), e)
+                return {s: why for one in samples for s, why in apart([one]).items()}
+            log.warning("no counts of sample %s, which leaves the run: %s", samples[0], e)
+            return {samples[0]: str(e)}
 
     with ThreadPoolExecutor(together) as pool:
-        for sample, why in zip(todo, pool.map(one, todo), strict=True):
-            if why is None:
-                done.counted.append(sample)
-            else:
-                done.failed[sample] = why
+        for got in pool.map(apart, [todo[i : i + batch] for i in range(0, len(todo), batch)]):
+            done.counted += [s for s, why in got.items() if why is None]
+            done.failed.update({s: why for s, why in got.items() if why is not None})
     return done
 
 
+def _folder_of(base: str, sample: str) -> str:
+    """Where Spark puts the rows of a sample that a table is parted by; names have letters, digits and signs that stand as they are in paths."""
+    return f"{base}/of={sample}"
+
+
+def _written(spark: SparkSession, bps: str) -> set[str]:
+    """Samples that have breakpoints."""
+    return {r["of"] for r in spark.read.schema("value string, of string").text(bps).select("of").distinct().collect()}
+
+
 @dataclass
 class Called:
     """Clusters by what became of their files, and the cohort's file."""

@@ -30,6 +30,22 @@ def counts(spark, at):
     return {(r["sample"], r.widx): r.n for r in run.Run(spark, str(at)).counts().collect()}
 
 
+def r_bps(spark, at, samples):
+    return sorted(tuple(r) for r in run.Run(spark, str(at)).breakpoints(samples).collect())
+
+
+def test_breakpoints_of_a_run(spark, tmp_path):
+    w = spark.createDataFrame(WINDOWS, SCHEMA)
+    split = lambda q: [(q, 99, 0, 100, 60, "50M50S"), (q, 2147, 0, 900, 60, "50S50M"), (q, 147, 0, 960, 60, "60M")]
+    for name, n in (("A", 3), ("B", 1), ("C", 0)):
+        data = bam.head_bytes([("chr1", 5000)]) + b"".join(bam.record(*r) for k in range(n) for r in split(f"q{k}"))
+        (tmp_path / f"{name}.bam").write_bytes(bam.packed(data) + bam.LAST_BLOCK)
+    done = run.count(spark, [str(tmp_path / f"{n}.bam") for n in "ABC"], w, str(tmp_path / "run"), batch=2)
+    assert done.counted == ["A", "B", "C"] and run.Run(spark, str(tmp_path / "run")).counted()["C"][1] == ""
+    assert r_bps(spark, tmp_path / "run", ["A", "B", "C"]) == [("A", "chr1", 149, 900, "DEL", 3)]
+    assert {s: n for (s, k), n in counts(spark, tmp_path / "run").items() if k == 0} == {"A": 3, "B": 1, "C": 0}
+
+
 def test_runs_link_count_and_leave_out(spark, tmp_path):
     w = spark.createDataFrame(WINDOWS, SCHEMA)
     a = write_sample(tmp_path, "A", [("q1", 120), ("q2", 150), ("q3", 1010)])
@@ -55,7 +71,8 @@ def test_runs_link_count_and_leave_out(spark, tmp_path):
     assert (more.linked, more.counted, more.failed) == (["A", "B"], ["D"], {})
     assert counts(spark, two) == {**want, ("D", 0): 1, ("D", 1): 0, ("D", 2): 0}
     assert run.Run(spark, str(two)).counted()["A"] == run.Run(spark, str(one)).counted()["A"]
-    assert not any(n.startswith(("A-", "B-")) for n in os.listdir(two / "counts"))
+    assert {n for key in os.listdir(two / "counts") for n in os.listdir(two / "counts" / key) if n.startswith("of=")} == {"of=D"}
+    assert r_bps(spark, two, ["A", "B", "D"]) == []
 
     # other windows: nothing is linked, and a run does not mix them
     wider = w.withColumn("en", F.col("en") + 5)
