@@ -6,12 +6,16 @@ chromosomes (ranks, running numbers of pseudo-exons) is summed over one row per
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhelix.functions.scalar import bare_chrom
 
+from .models import SORTED, quantiles
+
 ORDER = ("st", "en", "id")
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -54,8 +58,16 @@ def distances(windows: DataFrame) -> DataFrame:
 
 def spacing(windows: DataFrame, quantile: float = 0.8) -> DataFrame:
     """One row (median_len, selected_ied), truncated to whole numbers."""
-    d = distances(windows)
-    return d.agg(F.floor(F.percentile(F.col("en") - F.col("st") + 1, 0.5)).cast("long").alias("median_len"), F.floor(F.percentile(F.when(F.col("ied") > 0, F.col("ied")), quantile)).cast("long").alias("selected_ied"))
+    d = distances(windows).select((F.col("en") - F.col("st") + 1).alias("length"), F.when(F.col("ied") > 0, F.col("ied")).alias("ied"))
+    return _floors(d, median_len=("length", 0.5), selected_ied=("ied", quantile))
+
+
+def _floors(df: DataFrame, **asked: tuple[str, float]) -> DataFrame:
+    """One row: quantiles of columns, truncated; null where a column has no values."""
+    if df.count() <= SORTED:
+        return df.agg(*[F.floor(F.percentile(c, q)).cast("long").alias(n) for n, (c, q) in asked.items()])
+    got = [quantiles(df, c, [q]) for c, q in asked.values()]
+    return df.sparkSession.createDataFrame([tuple(math.floor(v[0]) if v else None for v in got)], ", ".join(f"{n} long" for n in asked))
 
 
 def longest_gaps(windows: DataFrame) -> DataFrame:
@@ -90,5 +102,4 @@ def called_gaps(windows: DataFrame) -> DataFrame:
 
 def gap_cutoffs(windows: DataFrame) -> DataFrame:
     """One row (max_ied, dmax): the median and the 0.9 quantile of gaps."""
-    g = called_gaps(windows)
-    return g.agg(F.floor(F.percentile("gap", 0.5)).cast("long").alias("max_ied"), F.floor(F.percentile("gap", 0.9)).cast("long").alias("dmax"))
+    return _floors(called_gaps(windows).select("gap"), max_ied=("gap", 0.5), dmax=("gap", 0.9))

@@ -609,7 +609,7 @@ PSEUDO_SQL = """select chrom, st, en, id from e union all
 
 @query()
 def win_pseudo(x):
-    return wi.with_pseudo_exons(wi.merged(x.exons))
+    return wi.with_pseudo_exons(written(wi.merged(x.exons), "merged"))
 
 
 SQL["win_pseudo"] = sql("select * from (with e as (select *, st - prev_end - 1 ied from (select *, max(en) over (partition by chrom order by st, en, id rows between unbounded preceding and 1 preceding) prev_end from merged_exons)) " + PSEUDO_SQL + ")")

@@ -27,10 +27,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, a temporary one for this application."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset, a temporary one for this application, which must run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not hasattr(sc, "_tallyhelix_shared"):
             own = tempfile.mkdtemp(prefix="tallyhelix-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)

@@ -11,6 +11,7 @@ from tallyhelix.plans import run
 from tallyhelix.plans.fixture import Fixture
 from tallyhelix.session import written
 from tallyhelix.sources import bam, sinks, text
+from tallyhelix.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 WINDOWS = [(0, "chr1", 100, 300, "E_0", 0), (1, "chr1", 1000, 1200, "E_1", 0), (2, "chr2", 50, 90, "E_2", 0)]
@@ -84,6 +85,25 @@ def test_runs_link_count_and_leave_out(spark, tmp_path):
         run.count(spark, [b, "/elsewhere/B.sam"], w, str(three))
 
 
+def test_files_that_arrive_are_counted_once(spark, tmp_path):
+    w, come = spark.createDataFrame(WINDOWS, SCHEMA), tmp_path / "in"
+    come.mkdir()
+    write_sample(come, "A", [("q1", 120)])
+    write_sample(come, "B", [("q1", 1050)])
+    (come / "notes.txt").write_text("not a sample")
+    go = lambda mark: ingest.watch(spark, str(come), w, str(tmp_path / "run"), str(tmp_path / mark), files=1).awaitTermination()
+    go("mark")
+    assert {s for s, _ in counts(spark, tmp_path / "run")} == {"A", "B"}
+    write_sample(come, "D", [("q9", 130)])
+    go("mark")
+    first = run.Run(spark, str(tmp_path / "run")).counted()
+    go("another mark")  # all files again
+    assert run.Run(spark, str(tmp_path / "run")).counted() == first and set(first) == {"A", "B", "D"}
+    whole = tmp_path / "whole"
+    run.count(spark, [str(come / f"{n}.bam") for n in "ABD"], w, str(whole))
+    assert counts(spark, tmp_path / "run") == counts(spark, whole)
+
+
 def test_of_two_commits_the_first_counts(spark, tmp_path):
     r = run.Run(spark, str(tmp_path / "run"))
     r.log_counted([("A", "first", "x")])
