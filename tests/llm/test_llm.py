@@ -131,6 +131,24 @@ def test_near_lines_of_any_length_are_found(spark, scratch, monkeypatch):
     assert got[1] == len(base) and got[2] == 0
 
 
+def test_near_lines_without_spaces_are_found(spark, scratch):
+    """Long lines of one to four words, with one edit up to as many as the similarity allows, and next to the limits of other kinds of keys."""
+    r, base, near = random.Random(13), [], []
+    letters = {"han": [chr(c) for c in range(0x4E00, 0x4F00)], "latin": list("abcdefghijklmnopqrstuvwxyz0123456789")}
+    for i in range(160):
+        own, size, n = letters[("han", "latin")[i % 2]], (38, 41, 44, 45, 46, 50, 60, 100, 300)[i % 9], 1 + i % 4
+        line = norm(" ".join("".join(r.choice(own) for _ in range(size // n + 1)) for _ in range(n)))
+        other = norm(edited(line, 1 if i % 3 else len(line) // 10, r))
+        # edits that make many words of one leave lines of another kind, whose keys are found with a probability
+        if other and other != line and len(other.split()) <= n + 1 and distance(line, other) <= (1 - linededup.SIMILAR) * max(len(line), len(other)):
+            base.append(line)
+            near.append(other)
+    assert len(near) > 120
+    d = spark.createDataFrame([(1, "\n".join(base)), (2, "\n".join(near))], "doc_id long, text string")
+    got = {x.doc_id: x._kept for x in linededup.dedup(d, scratch).collect()}
+    assert got[1] == len(base) and got[2] == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_recall_against_all_pairs(spark, scratch):
     """Every pair of lines of the least edit similarity, by brute force over the normalised lines of the test data."""
