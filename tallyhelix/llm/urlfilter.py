@@ -19,8 +19,10 @@ from .common import Scratch, ascii_lower, read
 
 #: (host, start of the path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Rounds of the SQL version; the operator itself goes on until scores settle.
-ROUNDS = 8
+#: Rounds of the SQL version, after which less than a 30,000th of a score is still to come; the operator itself goes on until scores settle.
+ROUNDS = 64
+#: Decimals of scores beyond those of one over the number of hosts, so that the grid gets finer as scores get smaller.
+FINE = 12
 DAMPING = 0.85
 #: Scores have settled when a round moves less than this part of the blocking level, all hosts together.
 SETTLED = 1e-3
@@ -48,23 +50,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def propagate(scratch: Scratch, hosts: DataFrame, edges: DataFrame, seed: str, level: float) -> DataFrame:
+def propagate(scratch: Scratch, hosts: DataFrame, edges: DataFrame, seed: str, level: float, places: int = FINE) -> DataFrame:
     """(host, score): personalised PageRank over weighted edges (src, dst, n) from seeds in column ``seed``.
 
-    Hosts without links out keep nothing to pass on; scores are rounded so that order of addition cannot show.
-    Scores begin at the seeds' own part and only grow, on a grid of 1e-12 and below 1, so rounds end. What is
+    Hosts without links out keep nothing to pass on; scores are rounded to ``places`` decimals so that order of addition cannot show.
+    Scores begin at the seeds' own part and only grow, on a grid and below 1, so rounds end. What is
     then still to come is at most DAMPING / (1 - DAMPING) of the last change, far below ``level``.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = scratch.table(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "shares")
     base = hosts.select("host", F.col(seed).alias("s"))
-    rank = base.select("host", F.round((1 - DAMPING) * F.col("s"), 12).alias("score"))
+    rank = base.select("host", F.round((1 - DAMPING) * F.col("s"), places).alias("score"))
     kept = None
     while True:
         for _ in range(STRIDE):
-            flow = rank.join(share, rank["host"] == share["src"]).groupBy("dst").agg(F.sum(F.round(F.col("score") * F.col("w"), 12).cast("decimal(38,12)")).cast("double").alias("got"))
+            flow = rank.join(share, rank["host"] == share["src"]).groupBy("dst").agg(F.sum(F.round(F.col("score") * F.col("w"), places).cast(f"decimal(38,{places})")).cast("double").alias("got"))
             before = rank.select("host", F.col("score").alias("was"))
-            rank = base.join(flow, F.col("host") == F.col("dst"), "left").select("host", F.round((1 - DAMPING) * F.col("s") + DAMPING * F.coalesce("got", F.lit(0.0)), 12).alias("score"))
+            rank = base.join(flow, F.col("host") == F.col("dst"), "left").select("host", F.round((1 - DAMPING) * F.col("s") + DAMPING * F.coalesce("got", F.lit(0.0)), places).alias("score"))
         rank = scratch.table(rank.join(before, "host"), "rank")
         moved = rank.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
         scratch.drop(kept)
@@ -87,9 +89,9 @@ def judge(pages: DataFrame, scratch: Scratch) -> DataFrame:
     hosts = scratch.table(hosts, "hosts")
     sums = hosts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count("*").alias("n")).first()
     hosts = hosts.select("host", (F.col("good") / F.lit(float(sums["g"] or 1))).alias("good"), (F.col("bad") / F.lit(float(sums["b"] or 1))).alias("bad"))
-    level = MULTIPLE / max(sums["n"], 1)
-    trust = propagate(scratch, hosts, edges, "good", level).withColumnRenamed("score", "trust")
-    distrust = propagate(scratch, hosts, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), "bad", level).withColumnRenamed("score", "distrust")
+    level, places = MULTIPLE / max(sums["n"], 1), FINE + len(str(sums["n"]))
+    trust = propagate(scratch, hosts, edges, "good", level, places).withColumnRenamed("score", "trust")
+    distrust = propagate(scratch, hosts, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), "bad", level, places).withColumnRenamed("score", "distrust")
     scores = trust.join(distrust, "host").withColumn("by_host", F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= level), "block").otherwise("allow"))
     scores = scratch.table(scores, "scores")
     out = p.drop("links").join(scores, "host", "left")
@@ -104,9 +106,9 @@ def op4_sql() -> str:
     """The same scores, with one common table expression per round."""
 
     def rounds(tag: str, seed: str, src: str, dst: str) -> str:
-        out = [f"{tag}s as (select e.{src} src, e.{dst} dst, e.n::double / t.total w from edges e join (select {src}, sum(n)::double total from edges group by 1) t using ({src}))", f"{tag}0 as (select host, {seed} score from hosts)"]
+        out = [f"{tag}s as materialized (select e.{src} src, e.{dst} dst, e.n::double / t.total w from edges e join (select {src}, sum(n)::double total from edges group by 1) t using ({src}))", f"{tag}0 as (select host, {seed} score from hosts)"]
         for i in range(1, ROUNDS + 1):
-            out.append(f"{tag}{i} as (select h.host, round({1 - DAMPING!r} * h.{seed} + {DAMPING!r} * coalesce(f.got, 0), 12) score from hosts h left join (select s.dst, sum(round(r.score * s.w, 12)::decimal(38,12))::double got from {tag}{i - 1} r join {tag}s s on r.host = s.src group by 1) f on h.host = f.dst)")
+            out.append(f"{tag}{i} as materialized (select h.host, round({1 - DAMPING!r} * h.{seed} + {DAMPING!r} * coalesce(f.got, 0), 12) score from hosts h left join (select s.dst, sum(round(r.score * s.w, 12)::decimal(38,12))::double got from {tag}{i - 1} r join {tag}s s on r.host = s.src group by 1) f on h.host = f.dst)")
         return ",\n".join(out)
 
     fits = " ".join(f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then {{{i}}}" for i, (h, p, _) in sorted(enumerate(RULES), key=lambda x: -len(x[1][0] + x[1][1])))

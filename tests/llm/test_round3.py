@@ -276,3 +276,49 @@ def test_new_queries_match_their_sql(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)
     assert sorted(map(str, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+# --- 4 and 7: small flows, and rows without ids
+
+
+def test_flows_far_below_a_score_add_up(spark):
+    from tallyhelix.llm import urlfilter
+
+    n = 400
+    edges = [("seed", f"h{i}", 1) for i in range(n)] + [(f"h{i}", "sink", 1) for i in range(n)]
+    hosts = [("seed", 1e-10), ("sink", 0.0), *[(f"h{i}", 0.0) for i in range(n)]]
+    h, e = spark.createDataFrame(hosts, "host string, bad double"), spark.createDataFrame(edges, "src string, dst string, n long")
+    got = {r.host: r.score for r in urlfilter.propagate(Scratch(spark, "t"), h, e, "bad", 1e-11, 22).collect()}
+    assert got["sink"] == pytest.approx(1e-10 * 0.15 * 0.85**2, rel=1e-6) and got["h0"] == pytest.approx(1e-10 * 0.15 * 0.85 / n, rel=1e-6)
+
+
+def test_propagation_over_links_matches_its_sql(spark, tmp_path):
+    from tallyhelix.llm.queries import QUERIES, SQL
+
+    rng = np.random.default_rng(8)
+    names = [f"{'www.' if i % 3 else ''}site{i}.{('net', 'org', 'com', 'example.com', 'io')[i % 5]}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        links = " ".join(f'<a href="https://{names[j]}/x">' for j in np.minimum(59, rng.geometric(0.08, rng.integers(0, 6))))
+        rows.append((i, f"https://{names[rng.integers(60)]}/{('fr', 'de', 'en')[i % 3]}/{i}", f"<p>{links}</p>"))
+    # a chain longer than any fixed few rounds would follow
+    rows += [(300 + i, f"http://chain{i}.io/", f'<a href="//chain{i + 1}.io/">') for i in range(30)] + [(330, "http://chain30.io/", '<a href="//bad.net/">'), (331, "http://bad.net/", None), (332, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = QUERIES["op4_urls"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(SQL["op4_urls"])
+    names_ = [d[0] for d in want.description]
+    have = sorted(map(str, (tuple(r[c] for c in names_) for r in got.collect())))
+    assert have == sorted(map(str, want.fetchall())) and len({r for r in have if "None, 'block'" in r}) > 3
+
+
+def test_rows_without_ids_are_mixed_near_their_target(spark):
+    from tallyhelix.llm import mixing
+
+    rows = [(None, f"word number {i} of a text", "en", "a", *EXTRA) for i in range(600)] + [(i, "other words here", "en", "b", *EXTRA) for i in range(50)]
+    docs = spark.createDataFrame([(r[0], *r[1:4], *EXTRA) for r in rows], DOCS)
+    plan = mixing.mix_plan(docs, Scratch(spark, "t")).where("source = 'a'").collect()
+    taken = sum(r["size"] * r["copies"] for r in plan)
+    assert taken == pytest.approx(plan[0].target, rel=0.1)
+    assert mixing.mix(docs, Scratch(spark, "t")).where("source = 'a'").count() == sum(r["copies"] for r in plan)
