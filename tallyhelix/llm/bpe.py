@@ -62,7 +62,8 @@ class Model:
         self.splitter.spec = None  # read
         self.keys = np.array(sorted(self.merge), np.int64)
         self.ranks = np.array([self.merge[k] for k in self.keys.tolist()], np.int64)
-        self.word_ids: dict[str, tuple] = {}
+        self.word_ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _automaton(self, seq: dict) -> None:
         edges, out = {}, [-1]
@@ -231,34 +232,38 @@ class Model:
 
     # --- texts
     def learn(self, words: set[str]) -> None:
-        """Remembers (ids as little-endian 32 bits, tokens joined by a space) of words not met yet."""
-        new = [w for w in words if w not in self.word_ids]
-        if len(self.word_ids) + len(new) > CACHE:
-            self.word_ids.clear()
-            new = list(words)
+        """Remembers the ids, as little-endian 32 bits, of words not met yet.
+
+        When the table is full a new one begins, which takes words that are met again over from the last one.
+        """
+        if len(self.word_ids) > CACHE:
+            self.older, self.word_ids = self.word_ids, {}
+        new = []
+        for w in words:
+            if w not in self.word_ids:
+                ids = self.older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    self.word_ids[w] = ids
         for w, ids in zip(new, self.encode_words(new), strict=True):
-            self.word_ids[w] = (np.array(ids, "<u4").tobytes(), " ".join(self.names[i] for i in ids).encode())
+            self.word_ids[w] = np.array(ids, "<u4").tobytes()
 
     def encode_texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32 bits, decoded text in UTF-8) of each text."""
+        """(ids as little-endian 32 bits, the text that they decode to in UTF-8) of each text."""
         out = []
         for a, b in chunks(texts):
             pieces = [self.splitter.pieces(t or "") for t in texts[a:b]]
             self.learn(set().union(*[w for p in pieces for _, w in p]))
             known = self.word_ids
             for p in pieces:
-                got = []
-                for special, words in p:
-                    if special is not None:
-                        got.append((special.to_bytes(4, "little"), self.names[special].encode()))
-                    else:
-                        got += [known[w] for w in words]
-                out.append((b"".join([x for x, _ in got]), b" ".join([y for _, y in got])))
+                ids = b"".join([known[w] if special is None else special.to_bytes(4, "little") for special, words in p for w in (words if special is None else ("",))])
+                out.append((ids, self.decode(ids).encode("utf-8", "surrogatepass")))
         return out
 
     def decode(self, ids: bytes) -> str:
         """The tokens' names joined by a space: the library's rule for a tokenizer without decoder."""
-        return " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @functools.lru_cache(2)

@@ -21,7 +21,6 @@ import functools
 import uuid
 import zlib
 from array import array
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyhelix.sources.bam import filesystem
+
 from .common import Scratch, read
 from .words import CACHE, Splitter, chunks, default_path
 
@@ -143,15 +144,6 @@ def read_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else k for k, z in zip(keys.tolist(), nulls.tolist(), strict=True)], per, table[rank]
 
 
-def filesystem(uri: str):
-    """(pyarrow file system, path) of a folder in any store that pyarrow knows."""
-    from pyarrow import fs
-
-    if not urlparse(uri).scheme:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_tokens(docs: DataFrame, folder: str, path: str = TOKENIZER, end: int = END) -> DataFrame:
     """Lazily writes the files when acted on; a row (file, documents, tokens) for each."""
 

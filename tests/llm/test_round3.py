@@ -322,3 +322,39 @@ def test_rows_without_ids_are_mixed_near_their_target(spark):
     taken = sum(r["size"] * r["copies"] for r in plan)
     assert taken == pytest.approx(plan[0].target, rel=0.1)
     assert mixing.mix(docs, Scratch(spark, "t")).where("source = 'a'").count() == sum(r["copies"] for r in plan)
+
+
+# --- 6 and 9: stores, and words that are remembered
+
+
+def test_names_of_stores_in_both_worlds():
+    from pyarrow import fs
+
+    from tallyhelix.llm.tokenfile import filesystem
+
+    at, path = filesystem("file:/a/b")
+    assert isinstance(at, fs.LocalFileSystem) and path == "/a/b" and filesystem("file:///a/b")[1] == "/a/b" and filesystem("/x")[1] == "/x"
+    from tallyhelix.sources import bam
+
+    assert {bam.SCHEMES[s] for s in ("s3a", "s3n")} == {"s3"} and {bam.SCHEMES[s] for s in ("wasbs", "abfss")} == {"abfs"}
+
+
+def test_ids_are_the_librarys_however_few_words_are_remembered(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tallyhelix.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE", 5)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    rng = np.random.default_rng(9)
+    words = ["alpha", "beta", "Ünïcode", "漢字", "don't", "x" * 300, "42½", "<|endoftext|>", "e-mail", "tab\tbed"]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(60)] + ["", " "]
+    m = bpe.Model(public_tokenizers.path("word_bpe_49k.json"))
+    for x in texts:
+        [(ids, decoded)] = m.encode_texts([x])
+        want = t.encode(x, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == t.decode(want, skip_special_tokens=False)
+    assert len(m.word_ids) + len(m.older) < 30
