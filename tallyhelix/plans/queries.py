@@ -172,7 +172,14 @@ def snk_vcf(x):
     return _geno(x).withColumn("bp", F.coalesce("bp", F.lit("")))
 
 
+#: The header that the oracle expects.
 VCF_HEAD = sinks.vcf_header([f"S{s:02d}" for s in range(24)], 5.0, "260101", "call")
+
+
+def _head(x):
+    return sinks.vcf_header(list(x.names.values()), 5.0, "260101", "call")
+
+
 VCF_ROWS_SQL = """select concat_ws(chr(9), k.chrom, k.pos, '.', 'N', k.alt, '.', 'PASS', concat('SVTYPE=', k.alt[2:4], ';END=', k.end_pos), k.form, string_agg(coalesce(g.text, '0/0'), chr(9) order by samples.s)) as value
   from (select chrom, pos, end_pos, alt, case when bool_or(bp is not null) then 'GT:GQ:FR:BPR:BP' else 'GT:GQ:FR:BPR' end form from geno group by 1, 2, 3, 4) k cross join samples
   left join geno_text g on g.chrom = k.chrom and g.pos = k.pos and g.end_pos = k.end_pos and g.alt = k.alt and g.s = samples.s group by k.chrom, k.pos, k.end_pos, k.alt, k.form"""
@@ -182,7 +189,7 @@ VCF_ROWS_SQL = """select concat_ws(chr(9), k.chrom, k.pos, '.', 'N', k.alt, '.',
 def snk_vcf_text(x):
     """The written file, header and rows, read back."""
     at = _folder(x, "vcf")
-    sinks.write_lines(_vcf_lines(x), at, VCF_HEAD, list(ca.ROW_ORDER))
+    sinks.write_lines(_vcf_lines(x), at, _head(x), list(ca.ROW_ORDER))
     return text.read_lines(x.spark, at)
 
 
@@ -190,7 +197,7 @@ def snk_vcf_text(x):
 def src_vcf_header(x):
     """The least score and the samples, from the header of a written file."""
     at = _folder(x, "vcf")
-    sinks.write_lines(_vcf_lines(x), at, VCF_HEAD, list(ca.ROW_ORDER))
+    sinks.write_lines(_vcf_lines(x), at, _head(x), list(ca.ROW_ORDER))
     lines = text.read_lines(x.spark, at)
     return text.vcf_samples(lines).crossJoin(F.broadcast(text.vcf_min_gq(lines)))  # one row
 
