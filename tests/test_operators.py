@@ -1,5 +1,6 @@
 """Hand-computed cases and brute-force checks of the operators."""
 
+import re
 from itertools import product
 
 import numpy as np
@@ -163,3 +164,75 @@ def test_files_round_trip(spark, tmp_path):
     sinks.write_breakpoints(bps, str(tmp_path / "bp"))
     back = text.breakpoint_table(spark.read.schema("value string, sample string").text(str(tmp_path / "bp")))
     assert [tuple(r) for r in back.collect()] == [("S1", "chr1", 5, 9, "DEL", 2)]
+
+
+def _plain_windows(n: int, seed: int):
+    """Windows of two chromosomes in random order, with ends far ahead, equal starts and touching ones."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        st = int(rng.integers(0, 3000))
+        rows.append((f"chr{1 + int(rng.integers(0, 5) == 0)}", st, st + int(rng.choice([1, 5, 20, 400], p=[0.5, 0.3, 0.19, 0.01])), f"w{i}"))
+    return rows
+
+
+WINDOW_ROWS = "chrom string, st long, en long, id string"
+
+
+def _ends_before(rows):
+    """(row, furthest end before on the chromosome) in genome order."""
+    last: dict = {}
+    for r in sorted(rows):
+        yield r, last.get(r[0])
+        last[r[0]] = max(last.get(r[0], r[2]), r[2])
+
+
+def test_distances_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(wi, "BLOCK", 7, raising=False)
+    rows = _plain_windows(200, 3)
+    got = wi.distances(spark.createDataFrame(rows, WINDOW_ROWS))
+    # no task has a whole chromosome
+    assert "windowspecdefinition(chrom" in got._jdf.queryExecution().toString()
+    assert not re.search(r"windowspecdefinition\(chrom#\d+, st#", got._jdf.queryExecution().toString())
+    want = {(*r, None if end is None else r[1] - end - 1) for r, end in _ends_before(rows)}
+    assert {(x.chrom, x.st, x.en, x.id, x.ied) for x in got.collect()} == want
+    longest = {c: max([0, *[x[4] for x in want if x[0] == c and x[4] is not None]]) for c in ("chr1", "chr2")}
+    assert {x.chrom: x.longest_ied for x in wi.longest_gaps(spark.createDataFrame(rows, WINDOW_ROWS)).collect()} == longest
+
+
+def test_merging_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(wi, "BLOCK", 3, raising=False)
+    rows, isles = _plain_windows(200, 4), []
+    for r, end in _ends_before(rows):
+        if end is None or end < r[1]:
+            isles.append([])
+        isles[-1].append(r)
+    got = wi.merged(spark.createDataFrame(rows, WINDOW_ROWS))
+    assert not re.search(r"windowspecdefinition\(chrom#\d+, st#", got._jdf.queryExecution().toString())
+    want = {(i[0][0], i[0][1], max(x[2] for x in i), "-".join(x[3] for x in i)) for i in isles}
+    assert max(map(len, isles)) > 3 and {(x.chrom, x.st, x.en, x.id) for x in got.collect()} == want
+
+
+def test_genome_order_over_ranges(spark):
+    rows = [(c.replace("chr1", "chr10"), *x) for c, *x in _plain_windows(100, 5)]
+    got = wi.genome_sorted(spark.createDataFrame(rows, WINDOW_ROWS))
+    assert not re.search(r"windowspecdefinition\(chrom#\d+, st#", got._jdf.queryExecution().toString())
+    want = sorted(rows, key=lambda r: (int(r[0][3:]), *r[1:]))
+    assert sorted((x.widx, x.chrom, x.st, x.en, x.id) for x in got.collect()) == [(i, *r) for i, r in enumerate(want)]
+
+
+def test_pseudo_exons_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in ("chr2", "chr1"):
+        at = np.cumsum(rng.choice([30, 60, 900, 2000], 80, p=[0.6, 0.3, 0.09, 0.01]))
+        rows += [(c, int(s), int(s) + 10, f"{c}_{i}") for i, s in enumerate(at)]
+    w = spark.createDataFrame(rows, WINDOW_ROWS)
+    whole = sorted(map(tuple, wi.with_pseudo_exons(w).collect()))
+    monkeypatch.setattr(wi, "BLOCK", 7, raising=False)
+    got = wi.with_pseudo_exons(w)
+    assert not re.search(r"windowspecdefinition\(chrom#\d+, st#", got._jdf.queryExecution().toString())
+    assert sorted(map(tuple, got.collect())) == whole
+    # numbered through in genome order
+    new = sorted((int(c[3:]), st, int(name.split("_")[1])) for c, st, _, name in whole if name.startswith("intergenic"))
+    assert len(new) > 20 and [k for *_, k in new] == list(range(1, len(new) + 1))
