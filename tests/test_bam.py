@@ -109,3 +109,17 @@ def test_written_files_are_read_back(spark, tmp_path):
         bam.write_bam(df, str(tmp_path), CONTIGS, tasks=3)
     got = bam.read_bam(spark, [str(tmp_path / "A.bam"), str(tmp_path / "B.bam")], split_bytes=300).orderBy("sample", "qname", "ord").collect()
     assert [tuple(r)[:7] for r in got] == [r[:7] for r in sorted(a, key=lambda r: (r[0], r[1], r[7]))]
+
+
+def test_files_follow_the_alignments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bam, "SORTED", 50, raising=False)
+    data = [(f"S{i % 3}", f"q{i // 2}", 99, "chr1", 100 + i, 60, "50M", i) for i in range(600)]
+    df = spark.createDataFrame(data, "sample string, qname string, flag int, chrom string, pos long, mapq int, cigar string, ord long")
+    bam.write_bam(df, str(tmp_path), CONTIGS)
+    files = list(tmp_path.glob("S*.bam/part-*.bam"))
+    sizes = [bam.read_bam(spark, [str(f)]).count() for f in files]
+    assert sum(sizes) == 600 and max(sizes) <= 150
+    # a range for each task, not a file of each sample in each task
+    assert len(files) <= 12 + 3
+    got = bam.read_bam(spark, [str(tmp_path / f"S{k}.bam") for k in range(3)]).collect()
+    assert sorted((r.sample, r.qname, r.pos) for r in got) == sorted((r[0], r[1], r[4]) for r in data)
