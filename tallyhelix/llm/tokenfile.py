@@ -32,13 +32,17 @@ from pyspark.sql.window import Window
 from tallyhelix.sources.bam import filesystem
 
 from .common import Scratch, read
-from .words import CACHE, Splitter, chunks, default_path
+from .words import Splitter, chunks, default_path
 
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"THTOK001"
 END = 0
 #: A file is closed at the first document that takes it past so many tokens.
 FILE_TOKENS = 1 << 22
+#: Words remembered lately and before that, at most so many each: some 60 MB a worker.
+CACHE = 250_000
+#: Words encoded in one call.
+BATCH = 2_000
 #: Lengths of the four values of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
@@ -51,17 +55,23 @@ class Encoder:
 
         self.splitter = Splitter(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # words are split already: only their bytes are to be mapped before the merges
         self.of_words = type(self.splitter.tokenizer).from_str(self.splitter.tokenizer.to_str())
         self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+        """Has every word in ``known``; when that is full, what was known is kept until it is full again, so words that come back are not encoded anew."""
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(words)
-        for w, e in zip(new, self.of_words.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+            self.known, self.before, new = {}, self.known, words
+        before = self.before
+        self.known.update((w, before[w]) for w in new if w in before)
+        new = [w for w in new if w not in before]
+        for a in range(0, len(new), BATCH):
+            some = new[a : a + BATCH]
+            for w, e in zip(some, self.of_words.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list) -> list[bytes]:
         out = []

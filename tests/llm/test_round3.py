@@ -358,3 +358,29 @@ def test_ids_are_the_librarys_however_few_words_are_remembered(monkeypatch):
         want = t.encode(x, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == t.decode(want, skip_special_tokens=False)
     assert len(m.word_ids) + len(m.older) < 30
+
+
+def test_words_that_come_back_are_not_encoded_anew(monkeypatch):
+    from tallyhelix.llm import tokenfile
+
+    monkeypatch.setattr(tokenfile, "CACHE", 40)
+    monkeypatch.setattr(tokenfile, "BATCH", 3)
+    e = tokenfile.Encoder(tokenfile.default_path(tokenfile.TOKENIZER))
+    encoded = Counter()
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, words, **more):
+            encoded.update(words)
+            return self.inner.encode_batch_fast(words, **more)
+
+    e.of_words = Counted(e.of_words)
+    common = " ".join(["the", "quick", "brown", "fox", "Ünïcode", "don't"])
+    texts = [f"{common} id{i} x{i * 7919} {common}" for i in range(200)]
+    want = [x.ids for x in e.splitter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for t, ids in zip(texts, want, strict=True):
+        assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == ids
+    assert encoded[" fox"] == encoded[" brown"] == 1
+    assert len(e.known) <= 40 and len(e.before) <= 40
