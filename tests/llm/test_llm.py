@@ -805,3 +805,42 @@ def test_pipeline(spark, scratch):
                 ids, decoded = m.encode_texts([texts[r.doc_id]])[0]
                 assert bytes(r.token_ids) == ids and r.decoded_sha256 == hashlib.sha256(decoded).hexdigest()
         docs = out
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, tmp_path):
+    ship(spark)
+    # more rows than the model took before, and one rare word that only a few of them have
+    n = 27_000
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.when(F.col("id") % 4 == 0, F.lit(" vile")).otherwise(F.lit(" fair"))).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    seen = {}
+
+    def counts(sample):
+        seen["counts"] = real(sample)
+        return seen["counts"]
+
+    real, toxicity._sample_counts = toxicity._sample_counts, counts
+    try:
+        (keys, ratio), _ = toxicity.learn(spark, d, labels, Scratch(spark, "all"))
+    finally:
+        toxicity._sample_counts = real
+    cells = seen["counts"].agg(*[F.sum(f"c{i}") for i in range(2 * toxicity.FOLDS)]).first()
+    train = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic = sum(i % 4 == 0 for i in train)
+    assert sum(cells[1::2]) == 10 * toxic and sum(cells[0::2]) == 10 * (len(train) - toxic) and len(keys) == len(ratio) > 0
+
+
+def test_toxicity_joins_give_the_shared_distribution(spark):
+    ship(spark)
+    r = random.Random(5)
+    rows = [(i % 2, i % 5, " ".join("".join(r.choice("abcé") for _ in range(r.randint(1, 11))) for _ in range(20))) for i in range(60)]
+    scratch = Scratch(spark, "lower")
+    counts = scratch.table(toxicity._sample_counts(spark.createDataFrame(rows, "y int, part int, text string")), "counts")
+    t = counts.orderBy("code").toPandas()
+    code, lower = t["code"].to_numpy(), toxicity.shared_lower(t["code"].to_numpy())
+    got = {x.low: x.lower for x in toxicity._shared_lower(counts, scratch).collect()}
+    assert [got[c & ((1 << 48) - 1)] for c in code.tolist()] == pytest.approx(lower.tolist())
+    even, odd = (t[[f"c{2 * k + y}" for k in range(5)]].sum(axis=1).to_numpy() for y in (0, 1))
+    want = dict(zip(*(x.tolist() for x in toxicity.fit(code, lower, even, odd)), strict=True))
+    keys, ratio, others = toxicity._fitted(counts, scratch)
+    assert {k: v for k, v in zip(keys.tolist(), ratio.tolist(), strict=True) if v} == pytest.approx(want) and others.shape == (len(keys), 5)
