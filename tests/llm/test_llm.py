@@ -844,3 +844,20 @@ def test_toxicity_joins_give_the_shared_distribution(spark):
     want = dict(zip(*(x.tolist() for x in toxicity.fit(code, lower, even, odd)), strict=True))
     keys, ratio, others = toxicity._fitted(counts, scratch)
     assert {k: v for k, v in zip(keys.tolist(), ratio.tolist(), strict=True) if v} == pytest.approx(want) and others.shape == (len(keys), 5)
+
+
+def test_lines_that_share_an_end_or_none_are_compared_alike(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdeé ") for _ in range(r.randint(1, 9)))
+    pairs = []
+    for _ in range(300):
+        x = " ".join(word() for _ in range(r.randint(1, 40)))
+        y = list(x)
+        for _ in range(r.randint(0, max(1, len(x) // 6))):
+            y.insert(r.randint(0, len(y)), r.choice("abc")) if r.random() < 0.5 or not y else y.pop(r.randrange(len(y)))
+        pairs.append((x, "".join(y)))
+    d = spark.createDataFrame(pairs + [("", ""), ("", "a"), ("a" * 30, "a" * 33), ("z" * 300, "a" * 300)], "x string, y string")
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) / 10).cast("int")
+    bags = [[F.get(linededup.bag(F.col(c)), i) for i in (0, 1)] for c in ("x", "y")]
+    rows = d.select(linededup.similar(F.col("x"), F.col("y"), most).alias("got"), (F.levenshtein("x", "y") <= most).alias("want"), (linededup.least_edits(*bags) <= most).alias("may")).collect()
+    assert all(x.got == x.want and (x.may or not x.want) for x in rows) and len({x.want for x in rows}) == 2
