@@ -18,6 +18,7 @@ become their ids, as the library does by default; an empty table writes no file.
 from __future__ import annotations
 
 import functools
+import gc
 import uuid
 import zlib
 from array import array
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 from tallyhelix.sources.bam import filesystem
 
 from .common import Scratch, read
-from .words import Splitter, chunks, default_path
+from .words import Splitter, byte_chars, chunks, default_path
 
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"THTOK001"
@@ -41,46 +42,68 @@ END = 0
 FILE_TOKENS = 1 << 22
 #: Words remembered lately and before that, at most so many each: some 60 MB a worker.
 CACHE = 250_000
-#: Words encoded in one call.
-BATCH = 2_000
+#: Words encoded in one call: they come one by one.
+BATCH = 1
 #: Lengths of the four values of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
+class Words:
+    """Words that are split off already: their bytes are mapped here, and the library's model does the merges.
+
+    A call of the whole tokenizer would build a text, places and masks of every token as well, which takes longer than the merges.
+    """
+
+    def __init__(self, tokenizer):
+        self.merged = tokenizer.model.tokenize
+        self.shown = byte_chars()
+        self.ascii = {b: self.shown[b] for b in range(128)}
+
+    def encode_batch_fast(self, words: list[str]) -> list[bytes]:
+        out = []
+        for w in words:
+            chars = w.translate(self.ascii) if w.isascii() else "".join([self.shown[b] for b in w.encode()])
+            out.append(array("I", [t.id for t in self.merged(chars)]).tobytes())
+        return out
+
+
+class Known(dict):
+    """The ids of words, found when a word is first asked for; when full, what was known is kept until it is full again, so words that come back are not encoded anew."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        e = self.encoder
+        if len(self) >= CACHE:
+            e.before = dict(self)
+            self.clear()
+        ids = e.before.get(word)
+        if ids is None:
+            [ids] = e.of_words.encode_batch_fast([word])
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """The tokenizers library with a cache of words, as its merges never cross words."""
 
     def __init__(self, path: str):
-        from tokenizers import pre_tokenizers
-
         self.splitter = Splitter(path)
-        self.known: dict[str, bytes] = {}
+        self.of_words = Words(self.splitter.tokenizer)
+        self.known = Known(self)
         self.before: dict[str, bytes] = {}
-        # words are split already: only their bytes are to be mapped before the merges
-        self.of_words = type(self.splitter.tokenizer).from_str(self.splitter.tokenizer.to_str())
-        self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def learn(self, words: set[str]) -> None:
-        """Has every word in ``known``; when that is full, what was known is kept until it is full again, so words that come back are not encoded anew."""
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known, self.before, new = {}, self.known, words
-        before = self.before
-        self.known.update((w, before[w]) for w in new if w in before)
-        new = [w for w in new if w not in before]
-        for a in range(0, len(new), BATCH):
-            some = new[a : a + BATCH]
-            for w, e in zip(some, self.of_words.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list) -> list[bytes]:
-        out = []
-        for a, b in chunks(texts):
-            pieces = [self.splitter.pieces(t or "") for t in texts[a:b]]
-            self.learn(set().union(*[w for p in pieces for _, w in p]))
-            get = self.known.__getitem__
-            for p in pieces:
-                out.append(b"".join([b"".join(map(get, w)) if s is None else s.to_bytes(4, "little") for s, w in p]))
+        get, out = self.known.__getitem__, []
+        collects = gc.isenabled()
+        gc.disable()  # millions of words are made here, and nothing that refers to itself
+        try:
+            for t in texts:
+                out.append(b"".join([b"".join(map(get, w)) if s is None else s.to_bytes(4, "little") for s, w in self.splitter.pieces(t or "")]))
+        finally:
+            if collects:
+                gc.enable()
         return out
 
 

@@ -384,3 +384,16 @@ def test_words_that_come_back_are_not_encoded_anew(monkeypatch):
         assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == ids
     assert encoded[" fox"] == encoded[" brown"] == 1
     assert len(e.known) <= 40 and len(e.before) <= 40
+
+
+def test_words_are_merged_by_the_model_alone(monkeypatch):
+    from tallyhelix.llm import tokenfile
+
+    e = tokenfile.Encoder(tokenfile.default_path(tokenfile.TOKENIZER))
+    t = e.splitter.tokenizer
+    texts = ["", " ", "a b\tc\r\n\n d", "Ünïcode 漢字 \U0001f600 don't  x" + "y" * 400, "".join(map(chr, range(1, 700))), "<|endoftext|> and <|endoftext|>"]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    seen = []
+    monkeypatch.setattr(e.of_words, "merged", lambda w, merged=e.of_words.merged: seen.append(w) or merged(w))
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+    assert len(seen) == len(set(seen)) > 20
