@@ -861,3 +861,32 @@ def test_lines_that_share_an_end_or_none_are_compared_alike(spark):
     bags = [[F.get(linededup.bag(F.col(c)), i) for i in (0, 1)] for c in ("x", "y")]
     rows = d.select(linededup.similar(F.col("x"), F.col("y"), most).alias("got"), (F.levenshtein("x", "y") <= most).alias("want"), (linededup.least_edits(*bags) <= most).alias("may")).collect()
     assert all(x.got == x.want and (x.may or not x.want) for x in rows) and len({x.want for x in rows}) == 2
+
+
+def test_unlike_lines_of_one_key_are_no_rows(spark, tmp_path, monkeypatch):
+    """Lines that share a run of words only are told apart where they meet; near ones among them are found."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randint(2, 9)))
+    lines = [" ".join([word() for _ in range(20)] + ["one run of words"] + [word() for _ in range(20)]) for _ in range(60)]
+    lines += [x[:100] + "q" + x[104:] for x in lines[:10]]
+    seen, near = [], linededup.near
+    monkeypatch.setattr(linededup, "near", lambda pairs, *more: seen.append(pairs.count()) or near(pairs, *more))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id: x._kept for x in linededup.dedup(docs, Scratch(spark, "t")).collect()}
+    assert got == {i: int(i < 60) for i in range(70)}
+    assert 10 <= sum(seen) < 100
+
+
+def test_ends_of_near_lines_are_like(spark):
+    r, rows = random.Random(13), []
+    for _ in range(300):
+        x = "".join(r.choice("abcdef é") for _ in range(r.randint(41, 200)))
+        at, most, y = r.randint(0, 8) / 8, len(x) // 10, list(x)
+        for _ in range(r.randint(most // 2, most)):  # edits are anywhere or crowd in one place
+            k = r.randint(0, len(y) - 1) if r.random() < 0.3 else int(at * (len(y) - 1))
+            r.choice([lambda: y.pop(k), lambda: y.insert(k, "x"), lambda: y.__setitem__(k, "z")])()
+        rows.append((x, "".join(y)))
+    rows += [("".join(r.choice("abcdef é") for _ in range(150)), "".join(r.choice("abcdef é") for _ in range(150))) for _ in range(50)]
+    d = spark.createDataFrame(rows, "x string, y string").withColumn("most", linededup.edits(F.length("x"), F.length("y")))
+    got = d.select(linededup.end_is_like(F.col("x"), F.col("y"), F.col("most")).alias("may"), (F.levenshtein("x", "y") <= F.col("most")).alias("near")).collect()
+    assert all(g.may or not g.near for g in got) and sum(g.near for g in got) > 100 and sum(not g.may for g in got) > 30
