@@ -9,9 +9,10 @@ are counted in each fragment apart and summed per pair. The two rarest fragments
 are counted first, and pairs that cannot reach the threshold any more go no further.
 Equal sets are one node from the start, with the number of their documents.
 
-Components come first: every set is compared with one leader of each of its keys. Sets that are at least half like a leader have the likest one as their home;
-those of one home are compared with each other in blocks, and what shares a key but neither home nor component pair by pair, so no candidate is left out.
-Links are counted after that within each component, as both ends of a link are in one. Blocks: the sets of a home or component are dealt into blocks of bounded
+Components come first: every set is compared with one leader of each of its keys. Keys whose sets are then in several components still are open. Sets that open keys of
+more than ``CROWD`` sets connect are a crowd and compared with each other in blocks; what else shares an open key is compared pair by pair, so no candidate is left out.
+A crowd that few such keys tie together (``DENSE``) would have more work in blocks than it has pairs, so it goes pair by pair too.
+Links are counted after that within each component, as both ends of a link are in one. Blocks: the sets of a crowd or component are dealt into blocks of bounded
 size, each pair of blocks is one group, and there the overlaps of all pairs are summed fragment by fragment as products of 0-1 matrices. No pair leaves its group as a
 row, only counts of links, or of a group's links those of a forest that spans them.
 
@@ -44,8 +45,8 @@ FILTER_BITS = 1 << 23
 AT_ONCE = 1 << 18
 #: Shingles and sets of a block, on average, and columns of a matrix.
 SHINGLES, MEMBERS, COLUMNS = 1 << 18, 512, 4096
-#: A leader that is so like a set, as PART * intersection >= HOME * union, can be its home.
-HOME = 50
+#: Keys of more sets make a crowd, if the squares of their numbers of sets, times DENSE, sum up to the square of the crowd's at least.
+CROWD, DENSE = 16, 16
 #: Odd numbers that tell the places of a shingle's words apart.
 PLACES = tuple(mix(np.arange(1, N + 1, dtype=U)) | U(1))
 
@@ -393,16 +394,16 @@ def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> Data
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
 
-    def verify(pairs: DataFrame, least: int) -> DataFrame:
-        """(a, b, got, na, nb) of pairs with PART * intersection >= least * union."""
-        enough = f"{PART + least} * (got + {{}}) >= {least} * (na + nb)"
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
+        enough = f"{PART + LEAST} * (got + {{}}) >= {LEAST} * (na + nb)"
         segs = parts(ends(pairs), 0, FIRST)
         early = scratch.table(overlaps(pairs, segs, 0, FIRST).where(enough.format("rest")), "early", pairs.count())
         scratch.drop(segs)
         scratch.free()
         segs = parts(ends(early), FIRST, FRAGMENTS)
         late = overlaps(early.select("a", "b"), segs, FIRST, FRAGMENTS).select("a", "b", F.col("got").alias("more"))
-        out = scratch.table(early.join(late, ["a", "b"]).where(enough.format("more")).select("a", "b", (F.col("got") + F.col("more")).alias("got"), "na", "nb"), "verified", pairs.count())
+        out = scratch.table(early.join(late, ["a", "b"]).where(enough.format("more")).select("a", "b"), "verified", pairs.count())
         scratch.drop(segs, early)
         scratch.free()
         return out
@@ -412,34 +413,38 @@ def component_ids(docs: DataFrame, scratch: Scratch, links: bool = True) -> Data
 
     # every set against the leader, the least id, of each of its keys
     x = met.select("key", F.struct("id", "n", "pos").alias("x"))
-    led = verify(candidates(x.groupBy("key").agg(F.min("x").alias("x")), met.select("key", F.struct("id", "n", "pos").alias("y")), "x.id < y.id"), HOME)
-    found = led.where(f"{PART + LEAST} * got >= {LEAST} * (na + nb)").select("a", "b")
-    like = F.col("got") / (F.col("na") + F.col("nb") - F.col("got"))
-    homes = scratch.table(led.groupBy("b").agg(F.max_by("a", F.struct(like, -F.col("a"))).alias("home")).withColumnRenamed("b", "id"), "homes")
+    led = candidates(x.groupBy("key").agg(F.min("x").alias("x")), met.select("key", F.struct("id", "n", "pos").alias("y")), "x.id < y.id")
+    found = verify(led)
     comps = scratch.table(components(scratch, found), "leaders")
-    where = named.select(F.col("sig").alias("id"), "copies", "n").join(comps, "id", "left").join(homes, "id", "left")
-    where = scratch.table(where.select("id", "copies", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("home", "id").alias("home")), "where")
+    where = scratch.table(named.select(F.col("sig").alias("id"), "copies", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "where")
 
-    # those of one home, in blocks
-    open_ = where.groupBy("home").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("home")
-    crowd = scratch.table(where.join(open_, "home").select(F.col("id").alias("sig"), F.col("home").alias("grp"), "copies", "n"), "crowd")
+    # keys of sets that are in several components still; crowds in blocks
+    here = met.join(where.select("id", "comp"), "id")
+    per = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"), F.min("id").alias("first"))
+    open_ = scratch.table(per.where("c0 <> c1").select("key", "m", "first"), "open")
+    here = scratch.table(here.join(open_, "key"), "mixed")
+    crowded = here.where(F.col("m") > CROWD)
+    crowds = scratch.table(components(scratch, crowded.select(F.col("id").alias("a"), F.col("first").alias("b"))), "crowds")
+    pairs_of = open_.where(F.col("m") > CROWD).join(crowds.withColumnRenamed("id", "first"), "first").groupBy("comp").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
+    dense = crowds.groupBy("comp").agg(F.count("*").cast("double").alias("all")).join(pairs_of, "comp").where(F.col("pairs") * DENSE >= F.col("all") * F.col("all"))
+    crowd = scratch.table(crowds.join(dense.select("comp"), "comp").withColumnRenamed("comp", "grp"), "crowd")
     if not crowd.isEmpty():
-        segs = parts(crowd.select("sig"), 0, FRAGMENTS)
-        found = found.unionByName(scratch.table(spanning_links(crowd, segs), "spans"))
+        segs = parts(crowd.select(F.col("id").alias("sig")), 0, FRAGMENTS)
+        members = where.select("id", "copies", "n").join(crowd, "id").withColumnRenamed("id", "sig")
+        found = found.unionByName(scratch.table(spanning_links(members, segs), "spans"))
         scratch.drop(segs)
-        comps = scratch.table(components(scratch, found), "homed")
+        comps = scratch.table(components(scratch, found), "joined")
         where = where.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
-    # those that share a key, but neither home nor component
-    here = met.join(where.select("id", "comp", "home"), "id")
-    open_ = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("home").alias("h0"), F.max("home").alias("h1")).where("c0 <> c1 and h0 <> h1").select("key")
-    here = scratch.table(here.join(open_, "key"), "mixed")
-    side = lambda name: here.select("key", F.struct("id", "n", "pos", "comp", "home").alias(name))
-    rest = candidates(side("x"), side("y"), "x.id < y.id and x.comp <> y.comp and x.home <> y.home").join(led.select("a", "b"), ["a", "b"], "left_anti")
+    # the others that share a key, pair by pair; all sets of a crowded key are of one crowd
+    done = open_.where(F.col("m") > CROWD).select("key", F.col("first").alias("id")).join(crowd, "id").select("key")
+    left = here.select("key", "id", "n", "pos").join(done, "key", "left_anti").join(where.select("id", "comp"), "id").join(crowd, "id", "left")
+    left = scratch.table(left.withColumn("grp", F.coalesce("grp", "id")), "left")
+    side = lambda name: left.select("key", F.struct("id", "n", "pos", "comp", "grp").alias(name))
+    rest = candidates(side("x"), side("y"), "x.id < y.id and x.comp <> y.comp and x.grp <> y.grp").join(led, ["a", "b"], "left_anti")
     rest = scratch.table(rest, "rest")
     if not rest.isEmpty():
-        more = verify(rest, LEAST).select("a", "b")
-        comps = scratch.table(components(scratch, found.unionByName(more)), "comps")
+        comps = scratch.table(components(scratch, found.unionByName(verify(rest))), "comps")
     scratch.drop(met, here)
     of_sets = named.select("sig", "copies", "n").join(comps.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     of_sets = scratch.table(of_sets, "components")

@@ -890,3 +890,18 @@ def test_ends_of_near_lines_are_like(spark):
     d = spark.createDataFrame(rows, "x string, y string").withColumn("most", linededup.edits(F.length("x"), F.length("y")))
     got = d.select(linededup.end_is_like(F.col("x"), F.col("y"), F.col("most")).alias("may"), (F.levenshtein("x", "y") <= F.col("most")).alias("near")).collect()
     assert all(g.may or not g.near for g in got) and sum(g.near for g in got) > 100 and sum(not g.may for g in got) > 30
+
+
+@pytest.mark.parametrize("dense", [ngram.DENSE, 0])
+def test_a_crowd_of_near_copies_is_no_rows_of_pairs(spark, scratch, monkeypatch, dense):
+    """Copies that are less like each other than the threshold meet in blocks, and by rows where blocks are ruled out; the links are the same."""
+    monkeypatch.setattr(ngram, "DENSE", dense)
+    texts = [changed(prose(120, 70), random.Random(k).sample(range(120), 4 + k % 9)) for k in range(150)] + [prose(60, 71), "", "one two", "one two"]
+    seen, overlaps = [], ngram.overlaps
+    monkeypatch.setattr(ngram, "overlaps", lambda pairs, segs, low, high: seen.append(pairs.count() if low == 0 else 0) or overlaps(pairs, segs, low, high))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = groups(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram.component_ids(d, scratch, links=False).collect()} == want
+    assert len({c for _, c in want.values()}) > 30
+    if dense:
+        assert sum(seen) < 10 * len(texts)
