@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhelix.llm import ann, bpe, linededup, media, mixing, ngram, sharding, tokenfile, toxicity, urlfilter
-from tallyhelix.llm.common import Scratch, components, ship
+from tallyhelix.llm.common import Scratch, components, linked, ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, comp string, key string"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -905,3 +905,35 @@ def test_a_crowd_of_near_copies_is_no_rows_of_pairs(spark, scratch, monkeypatch,
     assert len({c for _, c in want.values()}) > 30
     if dense:
         assert sum(seen) < 10 * len(texts)
+
+
+def test_crowds_of_one_key_meet_leaders_before_each_other(spark, scratch):
+    """Crowds of links: other leaders connect what the first ones do not, and what is left is as connected as all pairs make it, wherever ``fits`` depends on the posting."""
+    r = random.Random(14)
+    at = {i: r.random() for i in range(300)}
+    rows = sorted({(r.randrange(30), i, r.choice([0, 0, 0, 1, 9])) for i in at for _ in range(12)})
+    rows = list({(k, i): (k, i, p) for k, i, p in rows}.values()) + [(100, 900, 0), (100, 901, 0), (101, 900, 0), (101, 901, 0), (102, 902, 1), (102, 903, 9)]
+    at |= {900: 5.0, 901: 5.01, 902: 6.0, 903: 6.01}
+    values = spark.createDataFrame(list(at.items()), "id long, v double").cache()
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        both = pairs.join(values.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(values.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
+        return both.where("abs(x - y) <= 0.1").select("a", "b")
+
+    up = {i: i for i in at}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, i, p in rows:
+        for k2, j, q in rows:
+            if k == k2 and i < j and abs(p - q) <= 1 and abs(at[i] - at[j]) <= 0.1:
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    postings = spark.createDataFrame(rows, "key long, id long, pos int")
+    got = {x.id: x.comp for x in linked(scratch, postings, verify, "abs(x.pos - y.pos) <= 1", alike="pos = 0").collect()}
+    assert {i: got.get(i, i) for i in at} == {i: top(i) for i in at} and got[901] == 900 and 902 not in got
+    assert sum(seen) < 8000, seen
